@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from payscope.functions.text import strip
 
-# The two accepted spellings of a date, tried in this order.
+# The two accepted spellings of a date, tried in this order. There is no year 0.
 DATE_SHAPES = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}$", "M/d/yyyy"),
 )
 
 
 def parse_date(raw: Column) -> Column:
     """The date of a raw text, NULL when it is blank, unreadable or not a calendar day."""
     text = strip(raw)
-    tries = [F.when(text.rlike(shape), F.try_to_date(text, form)) for shape, form in DATE_SHAPES]
-    day = F.coalesce(*tries)
-    return F.when(F.year(day) >= 1, day)
+    (first_shape, first_form), (shape, form) = DATE_SHAPES
+    return F.when(text.rlike(first_shape), F.try_to_date(text, first_form)).when(
+        text.rlike(shape), F.try_to_date(text, form)
+    )
 
 
 def quarter_label(day: Column) -> Column:
-    return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
+    """`2023Q2`. The day appears once in the expression, as it may be a parse of a raw text."""
+    return F.date_format(day, "y'Q'q")
 
 
 def quarter_of(raw: Column) -> Column:

@@ -16,7 +16,12 @@ NUMBER = (
     r"|(?<![A-Za-z-])\d+%?"
 )
 MARKER = r"\[([A-Za-z0-9_-]+)\]"
-TOKEN = r"\[[A-Za-z0-9_-]+\]|" + NUMBER
+
+# The same with a look-ahead in front, so that most characters of a text cost one test.
+FAST_NUMBER = rf"(?=[$0-9])(?:{NUMBER})"
+FAST_TOKEN = rf"(?=[\[$0-9])(?:\[[A-Za-z0-9_-]+\]|{NUMBER})"
+HAS_DIGIT = "[0-9]"
+HAS_DIGIT_OR_MARKER = r"[0-9\[]"
 
 # Spellings that scoring looks for (see operators/scoring.py and canary.py).
 SCORED_NUMBER = r"\$?-?\d[\d,]*(?:\.\d+)?%?"
@@ -79,7 +84,7 @@ def numeric_leaves(payload: Column) -> Column:
             F.replace(scalar, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\")
         )
         plain = F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>")[0]
-        stated = F.filter(all_numbers(plain, NUMBER), lambda n: ~is_year(n))
+        stated = F.filter(all_numbers(plain, FAST_NUMBER), lambda n: ~is_year(n))
         return F.transform(stated, stated_value)
 
     return F.flatten(

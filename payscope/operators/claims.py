@@ -24,10 +24,11 @@ def number_spans(texts: DataFrame, key: str = "answer_id", text: str = "answer_t
     Digits inside a marker are part of the marker. Years are left out.
     """
     pieces = F.arrays_zip(
-        F.split(text, N.TOKEN, -1).alias("gap"),
-        N.all_numbers(F.col(text), N.TOKEN).alias("raw"),
+        F.split(text, N.FAST_TOKEN, -1).alias("gap"),
+        N.all_numbers(F.col(text), N.FAST_TOKEN).alias("raw"),
     )
-    tokens = texts.select(key, F.posexplode(pieces).alias("pos", "piece")).select(
+    worth_reading = texts.filter(F.col(text).rlike(N.HAS_DIGIT_OR_MARKER))
+    tokens = worth_reading.select(key, F.posexplode(pieces).alias("pos", "piece")).select(
         key,
         "pos",
         F.length("piece.gap").alias("gap"),
@@ -68,12 +69,13 @@ def cited_numbers(
         F.split(text, r"\[[A-Za-z0-9_-]+\]", -1).alias("words"),
         F.regexp_extract_all(text, F.lit(N.MARKER), F.lit(1)).alias("marker"),
     )
-    segments = answers.select(key, F.posexplode(pieces).alias("segment", "piece")).select(
+    worth_reading = answers.filter(F.col(text).rlike(N.HAS_DIGIT))
+    segments = worth_reading.select(key, F.posexplode(pieces).alias("segment", "piece")).select(
         key,
         "segment",
         F.col("piece.marker").alias("marker"),
-        N.all_numbers(F.col("piece.words"), N.NUMBER).alias("found"),
-        F.element_at(F.split("piece.words", N.NUMBER, -1), -1).alias("rest"),
+        N.all_numbers(F.col("piece.words"), N.FAST_NUMBER).alias("found"),
+        F.element_at(F.split("piece.words", N.FAST_NUMBER, -1), -1).alias("rest"),
     )
     counted = segments.filter(F.size("found") > 0).select(
         key,

@@ -15,19 +15,8 @@ from payscope.sources.dictionary import ProductDictionary
 UNKNOWN = "(unknown)"
 
 
-def payer_name() -> Column:
-    return F.coalesce(blank_to_null(F.col("manufacturer")), F.lit(UNKNOWN))
-
-
-def scan_counts(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
-    """Rows scanned and rows matched for each program year, in one pass over the filings."""
-    return (
-        filings.groupBy(F.col(S.PROGRAM_YEAR).try_cast("int").alias("year"))
-        .agg(
-            F.count("*").alias("rows_scanned"),
-            F.count_if(mentions_any(dictionary)).alias("rows_matched"),
-        )
-    )
+def payer_name(column: str = "manufacturer") -> Column:
+    return F.coalesce(blank_to_null(F.col(column)), F.lit(UNKNOWN))
 
 
 def counts_by_product(landed: DataFrame) -> DataFrame:
@@ -73,9 +62,9 @@ def counts_from_manifests(manifests: DataFrame) -> DataFrame:
     return exploded("product").unionByName(exploded("manufacturer"))
 
 
-def is_other_payer(of_record: Sequence[str]) -> Column:
+def is_other_payer(of_record: Sequence[str], column: str = "manufacturer") -> Column:
     """The payer is none of the manufacturers of record (whole name, whatever the case)."""
-    return ~F.lower(payer_name()).isin([m.lower() for m in of_record])
+    return ~F.lower(payer_name(column)).isin([m.lower() for m in of_record])
 
 
 def other_payer_share(landed: DataFrame, dictionary: ProductDictionary) -> DataFrame:
@@ -105,18 +94,15 @@ def top_other_payers(landed: DataFrame, dictionary: ProductDictionary, n: int =
     )
 
 
-def manifest_rows(filings: DataFrame, landed: DataFrame, dictionary: ProductDictionary) -> DataFrame:
-    """The scalar part of a manifest for each year that was scanned to its end."""
-    shares = other_payer_share(landed, dictionary).select("year", "other_share_pct")
-    return (
-        scan_counts(filings, dictionary)
-        .join(shares, "year", "left")
-        .select(
-            "year",
-            "rows_scanned",
-            "rows_matched",
-            F.coalesce("other_share_pct", F.lit(0.0)).alias("non_manufacturer_of_record_share_pct"),
-            F.lit(True).alias("complete"),
-            F.lit(None).cast("string").alias("error"),
-        )
+def manifest_rows(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
+    """The scalar part of a manifest for each year that was scanned to its end, in one pass."""
+    is_match = mentions_any(dictionary)
+    is_other = is_match & is_other_payer(dictionary.manufacturers_of_record, S.PAYER)
+    share = F.try_divide(F.lit(100.0) * F.count_if(is_other), F.count_if(is_match))
+    return filings.groupBy(F.col(S.PROGRAM_YEAR).try_cast("int").alias("year")).agg(
+        F.count("*").alias("rows_scanned"),
+        F.count_if(is_match).alias("rows_matched"),
+        F.coalesce(F.round(share, 2), F.lit(0.0)).alias("non_manufacturer_of_record_share_pct"),
+        F.lit(True).alias("complete"),
+        F.lit(None).cast("string").alias("error"),
     )

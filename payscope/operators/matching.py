@@ -27,14 +27,23 @@ _FIELDS = [
 ]
 
 
+def _has_plain_terms(dictionary: ProductDictionary) -> bool:
+    """Terms that a text contains exactly when its stripped form does."""
+    return all(
+        t and t == t.strip(WHITE_SPACE) and _BETWEEN_FIELDS not in t for t in dictionary.terms
+    )
+
+
 def mentions_any(dictionary: ProductDictionary) -> Column:
     """Does any of the ten product fields contain any term?"""
+    if not _has_plain_terms(dictionary):
+        return F.size(matches_column(dictionary)) > 0
     text = F.lower(F.concat_ws(_BETWEEN_FIELDS, *[F.col(field) for _, field in _FIELDS]))
     return text.rlike("|".join(re.escape(t) for t in dictionary.terms))
 
 
-def with_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
-    """Relevant rows only, with `matches`: one (slot, field, term) for each field that matched.
+def matches_column(dictionary: ProductDictionary) -> Column:
+    """One (slot, field, term) for each field that matches.
 
     The array is in canonical order: by slot, and the name field before the category field. A
     field counts once, with the first term in dictionary order that its stripped text contains.
@@ -64,11 +73,14 @@ def with_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame
             ).alias("term"),
         ),
     )
-    matches = F.filter(found, lambda m: m["term"].isNotNull()).alias("matches")
-    exact_test = all(t and t == t.strip(WHITE_SPACE) and _BETWEEN_FIELDS not in t for t in terms)
-    if exact_test:
-        return filings.filter(mentions_any(dictionary)).select("*", matches)
-    return filings.select("*", matches).filter(F.size("matches") > 0)
+    return F.filter(found, lambda m: m["term"].isNotNull())
+
+
+def with_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
+    """Relevant rows only, with their `matches`."""
+    return filings.filter(mentions_any(dictionary)).select(
+        "*", matches_column(dictionary).alias("matches")
+    )
 
 
 def slot_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:

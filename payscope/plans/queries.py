@@ -143,8 +143,7 @@ def manifest_counts(spark, d):
 
 @_query
 def manifest_rows(spark, d):
-    rows = manifest.manifest_rows(tb.filings(spark, d), tb.landed(spark, d), tb.PRODUCTS)
-    return rows.drop("error")
+    return manifest.manifest_rows(tb.filings(spark, d), tb.PRODUCTS).drop("error")
 
 
 @_query

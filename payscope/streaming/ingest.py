@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -67,20 +67,32 @@ def quarter_totals(spark: SparkSession, table: str) -> DataFrame:
 
 
 def _changes(new: DataFrame, old: DataFrame) -> DataFrame:
-    """What `new` changes in the quarterly totals, where `old` holds the rows it replaces."""
+    """What `new` changes in the quarterly totals, where `old` holds the rows stored before.
 
-    def signed(rows: DataFrame, sign: int) -> DataFrame:
-        return rows.select(
-            "quarter", (F.col("amount_usd") * sign).alias("usd"), F.lit(sign).alias("payments")
+    Each row of `new` adds its dollars to its quarter and takes those of the row it replaces from
+    that row's quarter. A row that is older than the stored one changes nothing.
+    """
+    stored = old.select(
+        KEY, *[F.col(c).alias(f"old_{c}") for c in ("quarter", "amount_usd", "ingest_seq")]
+    )
+    is_known = F.col("old_amount_usd").isNotNull()
+
+    def entry(quarter: str, usd: Column, payments: int) -> Column:
+        return F.struct(
+            F.col(quarter).alias("quarter"), usd.alias("usd"), F.lit(payments).alias("payments")
         )
 
+    plus = entry("quarter", F.col("amount_usd"), 1)
+    minus = F.when(is_known, entry("old_quarter", -F.col("old_amount_usd"), -1))
     return (
-        signed(new, 1)
-        .unionByName(signed(old, -1))
-        .groupBy("quarter")
+        new.join(stored, KEY, "left")
+        .filter(~is_known | (F.col("ingest_seq") > F.col("old_ingest_seq")))
+        .select(F.explode(F.array(plus, minus)).alias("e"))
+        .filter(F.col("e").isNotNull())
+        .groupBy("e.quarter")
         .agg(
-            F.sum("usd").cast("decimal(38,2)").alias("usd"),
-            F.sum("payments").cast("long").alias("payments"),
+            F.sum("e.usd").cast("decimal(38,2)").alias("usd"),
+            F.sum("e.payments").cast("long").alias("payments"),
         )
         .filter((F.col("usd") != 0) | (F.col("payments") != 0))
     )
@@ -97,13 +109,8 @@ def apply_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     _write_batch(newest, f"{table}/log", batch_id)
     stored = spark.read.schema(newest.schema).parquet(f"{table}/log/{BATCH}={batch_id}")
     before = _log(spark, table, sequence, batch_id).drop(BATCH)
-    touched = latest(before.join(stored.select(KEY), KEY, "left_semi"))
-    seen = touched.select(KEY, F.col("ingest_seq").alias("_old_seq"))
-    winners = stored.join(seen, KEY, "left").filter(
-        F.col("_old_seq").isNull() | (F.col("ingest_seq") > F.col("_old_seq"))
-    )
-    replaced = touched.join(winners.select(KEY), KEY, "left_semi")
-    _write_batch(_changes(winners, replaced), f"{table}/changes", batch_id)
+    replaced = latest(before.join(stored.select(KEY), KEY, "left_semi"))
+    _write_batch(_changes(stored, replaced), f"{table}/changes", batch_id)
 
 
 def start_ingest(
