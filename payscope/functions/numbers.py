@@ -83,7 +83,8 @@ def numeric_leaves(payload: Column) -> Column:
         quoted = F.replace(
             F.replace(scalar, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\")
         )
-        plain = F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>")[0]
+        texts = F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>")
+        plain = F.get(texts, F.lit(0))
         stated = F.filter(all_numbers(plain, FAST_NUMBER), lambda n: ~is_year(n))
         return F.transform(stated, stated_value)
 

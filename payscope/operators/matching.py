@@ -104,7 +104,7 @@ def land(filings: DataFrame, dictionary: ProductDictionary, dataset: Column) ->
     field. Its product is the stripped name in that slot, or the term when the name is blank.
     """
     names = F.array(*[F.coalesce(strip(F.col(n)), F.lit("")) for n in S.NAME_FIELDS])
-    first = F.col("matches")[0]
+    first = F.get("matches", F.lit(0))
     matched = with_matches(filings, dictionary).select(
         "*",
         first.alias("_first"),

@@ -44,7 +44,9 @@ def screen(queries: DataFrame, sql: str = "sql") -> DataFrame:
     body = F.when(F.col("_text").endswith(";"), strip(F.expr("left(_text, length(_text) - 1)")))
     targets = F.transform(F.regexp_extract_all("_body", F.lit(_TARGET), F.lit(1)), F.lower)
     refused = F.array_except("_targets", F.array(*[F.lit(t) for t in ALLOWED_TABLES]))
-    first_refused = F.filter("_targets", lambda t: F.array_contains(F.col("_refused"), t))[0]
+    first_refused = F.get(
+        F.filter("_targets", lambda t: F.array_contains(F.col("_refused"), t)), F.lit(0)
+    )
     body_column = F.col("_body")
     reason = (
         F.when(F.col("_text") == "", F.lit("empty query"))

@@ -14,54 +14,79 @@ def _reason(record_id: Column, what: str) -> Column:
     return F.concat(F.lit("record "), record_id, F.lit(": " + what))
 
 
-def typed(landed: DataFrame) -> DataFrame:
-    """Every landed row with typed values and `reject_reason` (NULL when the row can load).
+_TEXT_REQUIRED = ("manufacturer", "product", "matched_field", "source_year_dataset")
 
-    A date that cannot be read does not reject the row: it stays, without a date. Other columns
-    of the input (such as an ingest sequence) are kept.
-    """
-    c = {f.name: F.col(f.name) for f in S.PAYMENT}
-    year = strip(c["program_year"]).try_cast("int")
-    amount = strip(c["amount_usd"]).try_cast(S.AMOUNT_TYPE)
-    number = strip(c["amount_usd"]).try_cast("double")
-    is_number = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
-    record = c["record_id"]
+
+def _year() -> Column:
+    return strip(F.col("program_year")).try_cast("int")
+
+
+def _amount() -> Column:
+    return strip(F.col("amount_usd")).try_cast(S.AMOUNT_TYPE)
+
+
+def _reject_reason() -> Column:
+    """Why a landed row cannot load, NULL when it can. Checked in the order of the columns."""
+    record, amount = F.col("record_id"), F.col("amount_usd")
+    number = strip(amount).try_cast("double")
+    is_number = F.coalesce(~F.isnan(number) & (F.abs(number) != float("inf")), F.lit(False))
     reason = (
         F.when(is_missing(record), F.lit("row without record_id"))
-        .when(is_missing(c["program_year"]), _reason(record, "program_year is missing"))
-        .when(year.isNull(), _reason(record, "program_year is not an integer"))
-        .when(is_missing(c["amount_usd"]), _reason(record, "amount_usd is missing"))
-        .when(~F.coalesce(is_number, F.lit(False)), _reason(record, "amount_usd is not numeric"))
-        .when(amount.isNull(), _reason(record, "amount_usd is out of range"))
+        .when(is_missing(F.col("program_year")), _reason(record, "program_year is missing"))
+        .when(_year().isNull(), _reason(record, "program_year is not an integer"))
+        .when(is_missing(amount), _reason(record, "amount_usd is missing"))
+        .when(
+            _amount().isNull(),
+            F.when(is_number, _reason(record, "amount_usd is out of range")).otherwise(
+                _reason(record, "amount_usd is not numeric")
+            ),
+        )
     )
-    for name in ("manufacturer", "product", "matched_field", "source_year_dataset"):
-        reason = reason.when(is_missing(c[name]), _reason(record, f"{name} is missing"))
+    for name in _TEXT_REQUIRED:
+        reason = reason.when(is_missing(F.col(name)), _reason(record, f"{name} is missing"))
+    return reason
+
+
+def _can_load() -> Column:
+    """The same decision as a plain predicate, without building a text."""
+    fits = _year().isNotNull() & _amount().isNotNull()
+    for name in ("record_id", *_TEXT_REQUIRED):
+        fits = fits & (F.col(name) != "")
+    return fits
+
+
+def _typed_columns(landed: DataFrame) -> list[Column]:
     values = {
-        "record_id": record,
-        "program_year": year,
-        "payment_date": parse_date(c["payment_date"]),
-        "amount_usd": amount,
-        "manufacturer": c["manufacturer"],
-        "product": c["product"],
-        "matched_field": c["matched_field"],
-        "source_year_dataset": c["source_year_dataset"],
+        "program_year": _year(),
+        "payment_date": parse_date(F.col("payment_date")),
+        "amount_usd": _amount(),
     }
-    extra = [name for name in landed.columns if name not in S.PAYMENT.names]
-    return landed.select(
-        *[values.get(n, blank_to_null(c[n])).alias(n) for n in S.PAYMENT.names],
-        *extra,
-        reason.alias("reject_reason"),
-    )
+    required = ("record_id", *_TEXT_REQUIRED)
+    columns = [
+        values.get(n, F.col(n) if n in required else blank_to_null(F.col(n))).alias(n)
+        for n in S.PAYMENT.names
+    ]
+    return columns + [F.col(n) for n in landed.columns if n not in S.PAYMENT.names]
+
+
+def typed(landed: DataFrame) -> DataFrame:
+    """Every landed row with typed values and `reject_reason` (NULL when the row can load).
+
+    A date that cannot be read does not reject the row: it stays, without a date. Other columns
+    of the input (such as an ingest sequence) are kept.
+    """
+    return landed.select(*_typed_columns(landed), _reject_reason().alias("reject_reason"))
 
 
 def good_rows(landed: DataFrame) -> DataFrame:
-    return typed(landed).filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return landed.filter(_can_load()).select(*_typed_columns(landed))
 
 
 def rejected_rows(landed: DataFrame) -> DataFrame:
     """The quarantine: rows as landed, with the reason."""
-    reasoned = typed(landed.select("*", F.struct(*landed.columns).alias("_raw")))
-    return reasoned.filter(F.col("reject_reason").isNotNull()).select("_raw.*", "reject_reason")
+    return landed.select("*", _reject_reason().alias("reject_reason")).filter(
+        F.col("reject_reason").isNotNull()
+    )
 
 
 def load_stats(landed: DataFrame) -> DataFrame:
