@@ -114,23 +114,39 @@ def whole_number_leaves(payload: Column) -> Column:
     return F.transform(plain, lambda s: F.trim(s).try_cast("double"))
 
 
+def _halves(x: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two of half its digits (Veltkamp)."""
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    return high, x - high
+
+
+def rounds_to(candidate: Column, claim: Column, decimals: Column) -> Column:
+    """Is the claim the candidate rounded to that many decimals, exact halves to even?
+
+    Decided on the exact product of the candidate and the power of ten (Dekker): plain double
+    arithmetic would err for values such as 0.345, which is a little less than it looks.
+    """
+    power = F.pow(F.lit(10.0), decimals.cast("double"))
+    shown = F.rint(claim * power)
+    product = candidate * power
+    (c_high, c_low), (p_high, p_low) = _halves(candidate), _halves(power)
+    lost = c_low * p_low - (((product - c_high * p_high) - c_low * p_high) - c_high * p_low)
+    off = product - shown
+    beyond_half = (F.abs(off) - 0.5) + F.when(off < 0, -lost).otherwise(lost)
+    return (beyond_half < 0) | ((beyond_half == 0) & (F.pmod(shown, F.lit(2.0)) == 0))
+
+
 def close(claim: Column, candidate: Column, decimals: Column) -> Column:
     """Is the candidate what the claim states?
 
-    Equal, or within half a percent, or equal once rounded to the decimals the claim shows. The
-    last test is on the distance, which is exact for numbers this close: less than half a unit of
-    the last shown digit, or exactly half of it and the shown digit even.
+    Equal, or within half a percent, or equal once rounded to the decimals the claim shows.
     """
-    distance = F.abs(candidate - claim)
     base = F.when(candidate != 0, F.abs(candidate)).when(claim != 0, F.abs(claim)).otherwise(1.0)
-    unit = F.pow(F.lit(10.0), -decimals.cast("double"))
-    half = unit * 0.5
-    even = F.pmod(F.round(claim / unit), F.lit(2.0)) == 0
     return (
         (candidate == claim)
-        | (distance <= base * RELATIVE_TOLERANCE)
-        | (distance < half)
-        | ((distance == half) & even)
+        | (F.abs(candidate - claim) <= base * RELATIVE_TOLERANCE)
+        | rounds_to(candidate, claim, decimals)
     )
 
 
