@@ -26,10 +26,8 @@ def complete_only(
     Spark prunes incomplete years before reading them. Years without a manifest do not qualify.
     """
     ready = complete_years(manifests)
-    kept = rows
-    if years is not None:
-        kept = kept.filter(F.col(year_column).isin(list(years)))
     year = F.col(year_column).cast("string").try_cast("int")
+    kept = rows if years is None else rows.filter(year.isin(list(years)))
     return kept.join(ready, year == ready["year"], "left_semi")
 
 

@@ -10,6 +10,6 @@ from payscope.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4, app="payscope-tests")
+    session = local_session(4, partitions=2, app="payscope-tests")
     yield session
     session.stop()
