@@ -71,19 +71,25 @@ def cited_numbers(
     )
     worth_reading = answers.filter(F.col(text).rlike(N.HAS_DIGIT))
     segments = worth_reading.select(key, F.posexplode(pieces).alias("segment", "piece")).select(
-        key,
-        "segment",
-        F.col("piece.marker").alias("marker"),
-        N.all_numbers(F.col("piece.words"), N.FAST_NUMBER).alias("found"),
-        F.element_at(F.split("piece.words", N.FAST_NUMBER, -1), -1).alias("rest"),
+        key, "segment", F.col("piece.words").alias("words"), F.col("piece.marker").alias("marker")
     )
-    counted = segments.filter(F.size("found") > 0).select(
-        key,
-        "segment",
-        "marker",
-        "rest",
-        F.filter("found", lambda raw: ~is_year(raw)).alias("stated"),
-        (~is_year(F.element_at("found", -1))).alias("last_counts"),
+    counted = (
+        segments.filter(F.col("words").rlike(N.HAS_DIGIT))
+        .select(
+            key,
+            "segment",
+            "marker",
+            N.all_numbers(F.col("words"), N.FAST_NUMBER).alias("found"),
+            F.element_at(F.split("words", N.FAST_NUMBER, -1), -1).alias("rest"),
+        )
+        .select(
+            key,
+            "segment",
+            "marker",
+            "rest",
+            F.filter("found", lambda raw: ~is_year(raw)).alias("stated"),
+            (~is_year(F.try_element_at("found", F.lit(-1)))).alias("last_counts"),
+        )
     )
     touching = F.col("last_counts") & (F.col("rest") == "")
     adjacent = F.col("last_counts") & N.is_blank(F.col("rest"))
