@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from payscope.functions.calendar import ordinal_quarter, quarter_ordinal
 from payscope.functions.smoothing import holt_winters
+from payscope.operators.series import windows_summary
 
 # The 80 % two-sided normal quantile, the season and the default holdout.
 Z_80 = 1.2816
@@ -287,6 +288,35 @@ def final_forecasts(
     )
 
 
+def store_run(
+    series: DataFrame,
+    path: str,
+    train_end: str = TRAIN_END,
+    horizon: int = HORIZON,
+    season: int = SEASON,
+    models: Mapping[str, SeriesModel | None] | None = None,
+) -> None:
+    """Score, choose, refit and store: tables forecasts, holdout, primary, windows and skipped.
+
+    Each series is in either forecasts or skipped. The holdout is stored first and read for the
+    choice of models, so every model is fitted once for it.
+    """
+    models = MODELS if models is None else dict(models)
+    spark = series.sparkSession
+    skips = skipped(series, train_end, horizon, season, tuple(models))
+    skips.write.mode("overwrite").parquet(f"{path}/skipped")
+    tested = holdout(series, train_end, horizon, season, models)
+    holdout_scores(tested).write.mode("overwrite").parquet(f"{path}/holdout")
+    scores = spark.read.parquet(f"{path}/holdout")
+    primary = primary_models(scores, tuple(models))
+    primary.write.mode("overwrite").parquet(f"{path}/primary")
+    final = final_forecasts(
+        series, spark.read.parquet(f"{path}/primary"), horizon, season, models
+    )
+    final.write.mode("overwrite").parquet(f"{path}/forecasts")
+    windows_summary(series, train_end, horizon).write.mode("overwrite").parquet(f"{path}/windows")
+
+
 def lookup(requests: DataFrame, forecasts: DataFrame, skips: DataFrame) -> DataFrame:
     """Answer requests (request_id, series_key, horizon) from stored forecasts, with a status.
 

@@ -11,7 +11,12 @@ from payscope.functions.text import is_missing
 
 
 def complete_years(manifests: DataFrame) -> DataFrame:
-    return manifests.filter(F.coalesce(F.col("complete"), F.lit(False))).select("year").distinct()
+    """Years of complete manifests.
+
+    The comparison of the year is true for all of them. Spark prunes partitions at run time only
+    for a join side with a comparison in its filter; a boolean column alone does not count.
+    """
+    return manifests.filter(F.col("complete") & (F.col("year") > 0)).select("year").distinct()
 
 
 def complete_only(

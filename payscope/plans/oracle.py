@@ -624,6 +624,19 @@ FROM (SELECT record_id, coalesce(try_strptime(payment_date, '%Y-%m-%d'),
     "coerce_good": query(
         "SELECT * REPLACE (CAST(amount_usd AS DOUBLE) AS amount_usd) FROM fx_payments", "fx_payments"
     ),
+    "csv_filings": query(
+        "SELECT record_id, program_year, quarter, nullif(manufacturer, '') AS manufacturer, product, "
+        "amount_usd FROM fx_landed",
+        "fx_landed",
+    ),
+    "landed_json": query(
+        "SELECT * REPLACE (CAST(amount_usd AS DOUBLE) AS amount_usd) FROM fx_payments", "fx_payments"
+    ),
+    "landing_gate": query(
+        "SELECT record_id, program_year, product FROM fx_landed "
+        "WHERE CAST(program_year AS INTEGER) % 3 <> 0",
+        "fx_landed",
+    ),
     "coerce_rejects": query(
         "SELECT record_id, amount_usd, manufacturer, reject_reason FROM fx_typed "
         "WHERE reject_reason IS NOT NULL",
@@ -911,6 +924,14 @@ GROUP BY f.series_key
         "WHERE coalesce(naive_reason, ets_reason) IS NOT NULL",
         "fx_skips",
     ),
+    "forecast_run": query(
+        """
+SELECT series_key, n AS n_quarters, CASE WHEN naive_reason IS NULL THEN 'seasonal_naive' END AS model,
+       CASE WHEN naive_reason IS NULL THEN 4 END AS steps, naive_reason AS reason
+FROM fx_skips
+""",
+        "fx_skips",
+    ),
     "own_model": query(
         """
 SELECT series_key, 'season_mean' AS model, CASE WHEN n >= 4 THEN h END AS h,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from payscope import schemas as S
 from payscope.functions import calendar as C
 from payscope.functions import numbers as N
-from payscope.functions.text import evidence_id, series_evidence_id
+from payscope.functions.text import blank_to_null, evidence_id, series_evidence_id
 from payscope.operators import (
     canary,
     causal,
@@ -28,6 +28,7 @@ from payscope.operators import (
 )
 from payscope.plans import testbed as tb
 from payscope.session import scratch_dir
+from payscope.sources import filings as filing_files
 from payscope.sources import traces as trace_files
 from payscope.streaming import ingest
 
@@ -93,6 +94,43 @@ def load_statistics(spark, d):
     return typing.load_stats(tb.landed(spark, d))
 
 
+# --- files --------------------------------------------------------------------------------------
+
+
+@_query
+def csv_filings(spark, d):
+    """Filings written as wide CSV files by program year, read back by header, matched."""
+    path = scratch_dir(spark, "csv")
+    tb.filings(spark, d).write.csv(path, header=True)
+    rows = filing_files.read_filings(spark, [path])
+    return matching.land(rows, tb.PRODUCTS, tb.dataset_name()).select(
+        "record_id",
+        "program_year",
+        "quarter",
+        blank_to_null(F.col("manufacturer")).alias("manufacturer"),
+        "product",
+        "amount_usd",
+    )
+
+
+@_query
+def landed_json(spark, d):
+    """Landed records written as gzipped JSON lines, read back and typed."""
+    path = scratch_dir(spark, "json")
+    tb.landed(spark, d).write.json(path, compression="gzip")
+    rows = typing.good_rows(filing_files.read_landed_json(spark, path)).select(*S.PAYMENT.names)
+    return rows.withColumn("amount_usd", F.col("amount_usd").cast("double"))
+
+
+@_query
+def landing_gate(spark, d):
+    """Landed records stored by program year; only years with a complete manifest are read."""
+    path = scratch_dir(spark, "landing")
+    filing_files.write_landed(tb.landed(spark, d), path)
+    kept = gating.complete_only(spark.read.parquet(path), tb.manifests(spark, d))
+    return kept.select("record_id", "program_year", "product")
+
+
 # --- gates, manifests, upsert -------------------------------------------------------------------
 
 
@@ -397,6 +435,23 @@ def model_choice(spark, d):
     return forecast.final_forecasts(_series(spark, d), primary)
 
 
+@_query
+def forecast_run(spark, d):
+    """A whole run stored as tables; from them the window, model and skip of each series."""
+    path = scratch_dir(spark, "forecast")
+    forecast.store_run(_fine(spark, d), path, tb.TRAIN_END, models=_NAIVE_ONLY)
+    windows = spark.read.parquet(f"{path}/windows")
+    stored = spark.read.parquet(f"{path}/forecasts").groupBy("series_key", "model").agg(
+        F.count("*").alias("steps")
+    )
+    skips = spark.read.parquet(f"{path}/skipped")
+    return (
+        windows.join(stored, "series_key", "left")
+        .join(skips, "series_key", "left")
+        .select("series_key", "n_quarters", "model", "steps", "reason")
+    )
+
+
 @_query
 def own_model(spark, d):
     """A model of the user's own, run on every series: the mean of the last season."""

@@ -65,6 +65,11 @@ def test_scans_are_pruned(spark):
     assert "l_comment" not in plan and "l_shipdate" not in plan and "o_totalprice" not in plan
 
 
+def test_gate_prunes_year_partitions(spark):
+    plan = plan_of(contract.queries()["landing_gate"](spark, SF))
+    assert "dynamicpruning" in plan
+
+
 SCREENED = [
     ("SELECT COUNT(*) FROM payments", None, "SELECT COUNT(*) FROM payments LIMIT 5000"),
     ("SELECT 1 FROM payments limit 7 ;", None, "SELECT 1 FROM payments limit 7"),
