@@ -154,10 +154,3 @@ def close_strict(claim: Column, candidate: Column) -> Column:
     """The web variant: within half a percent of the larger of both, no rounding."""
     larger = F.greatest(F.abs(candidate), F.abs(claim))
     return (candidate == claim) | (F.abs(candidate - claim) <= larger * RELATIVE_TOLERANCE)
-
-
-def scaled(candidate: Column, is_percent: Column) -> Column:
-    """The forms in which evidence may hold a claim: a percent also as a fraction, and back."""
-    return F.when(
-        is_percent, F.array(candidate, candidate * 100, candidate / 100)
-    ).otherwise(F.array(candidate))

@@ -81,60 +81,61 @@ def score_rows(rows: DataFrame) -> DataFrame:
     return scored.withColumn("status", status).drop("_numbers")
 
 
+def _holding_place(cells: DataFrame, run: str, by: str) -> DataFrame:
+    """The one cell per run and target that holds the wanted place, counting in order of `by`.
+
+    Reads (run, which, place, `by`, n). The place that is returned counts from that cell's start.
+    """
+    so_far = (
+        Window.partitionBy(run, "which").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    start = F.col("_upto") - F.col("n")
+    return (
+        cells.withColumn("_upto", F.sum("n").over(so_far))
+        .filter((F.col("place") >= start) & (F.col("place") < F.col("_upto")))
+        .select(run, "which", by, (F.col("place") - start).alias("place"))
+    )
+
+
 def latency_percentiles(rows: DataFrame, run: str, latency: str = "latency_ms") -> DataFrame:
     """Exact p50 and p95 of each run: the values at fixed places of the sorted latencies.
 
     p50 is at place n div 2 and p95 at place round(0.95 n - 0.5), halves to even, both from 0 and
-    p95 no further than n - 1. No run is sorted as one group. Equal latencies are counted first.
-    The counts are then placed by an order-preserving bucket of the latency, of which there are
-    at most some 700,000 for any double, and within each bucket apart from the others.
+    p95 no further than n - 1.
+
+    No run is sorted as one group. Equal latencies are counted first. The counts are summed by
+    coarse buckets in the order of the values (at most some 700,000 for any double), then only the
+    bucket that holds the place is split into a thousand finer ones, and only the values of one of
+    those are put in order.
     """
     value = F.col(latency).cast("double")
+    size = F.log1p(F.greatest(F.col("v"), F.lit(0.0)))
     counts = (
         rows.filter(value.isNotNull())
         .groupBy(run, value.alias("v"))
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.log1p(F.greatest(F.col("v"), F.lit(0.0))) * 1000))
-    )
-    buckets = counts.groupBy(run, "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = (
-        Window.partitionBy(run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(run)
-    placed = buckets.select(
-        run,
-        "bucket",
-        "in_bucket",
-        F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("start"),
-        F.sum("in_bucket").over(whole).alias("total"),
+        .withColumn("coarse", F.floor(size * 1e3))
+        .withColumn("fine", F.floor(size * 1e6))
     )
+    buckets = counts.groupBy(run, "coarse").agg(F.sum("n").alias("n"))
     total = F.col("total")
     place95 = F.least(total - 1, F.bround(total * 0.95 - 0.5).cast("long"))
-    wanted = placed.select(
+    targets = buckets.groupBy(run).agg(F.sum("n").alias("total")).select(
         run,
-        "bucket",
-        "start",
-        "in_bucket",
         F.inline(
             F.array(
                 F.struct(F.lit("p50").alias("which"), F.floor(total / 2).alias("place")),
                 F.struct(
-                    F.lit("p95").alias("which"), F.greatest(place95, F.lit(0)).alias("place")
+                    F.lit("p95").alias("which"),
+                    F.greatest(place95, F.lit(0).cast("long")).alias("place"),
                 ),
             )
         ),
-    ).filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("in_bucket")))
-    up_to = (
-        Window.partitionBy(run, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = (
-        counts.join(wanted.select(run, "bucket").distinct(), [run, "bucket"], "left_semi")
-        .withColumn("upto", F.sum("n").over(up_to))
-    )
-    hits = ranked.join(wanted, [run, "bucket"]).filter(
-        (F.col("place") < F.col("start") + F.col("upto"))
-        & (F.col("place") >= F.col("start") + F.col("upto") - F.col("n"))
     )
+    coarse = _holding_place(buckets.join(targets, run), run, "coarse")
+    split = counts.join(coarse, [run, "coarse"]).groupBy(run, "which", "place", "fine")
+    fine = _holding_place(split.agg(F.sum("n").alias("n")), run, "fine")
+    hits = _holding_place(counts.join(fine, [run, "fine"]), run, "v")
     return hits.groupBy(run).agg(
         F.max(F.when(F.col("which") == "p50", F.col("v"))).alias("p50_ms"),
         F.max(F.when(F.col("which") == "p95", F.col("v"))).alias("p95_ms"),

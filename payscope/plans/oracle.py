@@ -734,6 +734,10 @@ FROM fx_years WHERE year % 5 <> 0
     "fact_total": query(
         f"SELECT {_TOTAL} FROM fx_payments WHERE program_year BETWEEN 1995 AND 1999", "fx_payments"
     ),
+    "fact_total_all": query(f"SELECT {_TOTAL} FROM fx_payments", "fx_payments"),
+    "fact_one_quarter": query(
+        f"SELECT {_TOTAL} FROM fx_payments WHERE quarter = '1997Q1'", "fx_payments"
+    ),
     "fact_top_specialty": query(
         f"SELECT physician_specialty, {_TOTAL} FROM fx_payments WHERE physician_specialty IS NOT NULL "
         "GROUP BY 1 ORDER BY total_usd DESC, 1 LIMIT 1",

@@ -228,6 +228,16 @@ def fact_total(spark, d):
     return rollups.total_dollars(tb.payments(spark, d), 1995, 1999)
 
 
+@_query
+def fact_total_all(spark, d):
+    return rollups.total_dollars(tb.payments(spark, d))
+
+
+@_query
+def fact_one_quarter(spark, d):
+    return rollups.total_dollars(tb.payments(spark, d).filter(F.col("quarter") == "1997Q1"))
+
+
 @_query
 def fact_top_specialty(spark, d):
     return rollups.top_group(tb.payments(spark, d), "physician_specialty")

@@ -41,11 +41,3 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/payscope-{purpose}-{uuid.uuid4().hex}"
-
-
-def written(df, purpose: str):
-    """`df` written once to the shared folder and read back: survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
