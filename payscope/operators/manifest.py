@@ -19,12 +19,6 @@ def payer_name(column: str = "manufacturer") -> Column:
     return F.coalesce(blank_to_null(F.col(column)), F.lit(UNKNOWN))
 
 
-def counts_by_product(landed: DataFrame) -> DataFrame:
-    return landed.groupBy(F.col("program_year").try_cast("int").alias("year"), "product").agg(
-        F.count("*").alias("rows_matched")
-    )
-
-
 def counts_by_manufacturer(landed: DataFrame) -> DataFrame:
     return landed.groupBy(
         F.col("program_year").try_cast("int").alias("year"), payer_name().alias("manufacturer")

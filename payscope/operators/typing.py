@@ -78,8 +78,18 @@ def typed(landed: DataFrame) -> DataFrame:
     return landed.select(*_typed_columns(landed), _reject_reason().alias("reject_reason"))
 
 
+def loadable(landed: DataFrame) -> DataFrame:
+    """Landed rows that can load, values still as landed."""
+    return landed.filter(_can_load())
+
+
+def as_payments(rows: DataFrame) -> DataFrame:
+    """Typed values of loadable rows. Call it late: after rows have been dropped by other steps."""
+    return rows.select(*_typed_columns(rows))
+
+
 def good_rows(landed: DataFrame) -> DataFrame:
-    return landed.filter(_can_load()).select(*_typed_columns(landed))
+    return as_payments(loadable(landed))
 
 
 def rejected_rows(landed: DataFrame) -> DataFrame:

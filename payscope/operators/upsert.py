@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from payscope.operators.typing import as_payments, loadable
+
 KEY = "record_id"
 SEQUENCE = "ingest_seq"
 
@@ -21,6 +23,14 @@ def latest(rows: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFra
     )
 
 
+def latest_payments(landed: DataFrame, sequence: str = SEQUENCE) -> DataFrame:
+    """Landed rows with a sequence to typed payments, one per record.
+
+    Rows that cannot load do not take part. Only the rows that win are parsed.
+    """
+    return as_payments(latest(loadable(landed), KEY, sequence))
+
+
 def merge(target: DataFrame, source: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFrame:
     """The target after `source` is written over it: all columns of a known key are replaced.
 

@@ -148,16 +148,16 @@ def resume_years(spark, d):
 
 @_query
 def upsert_latest(spark, d):
-    rows = upsert.latest(typing.good_rows(tb.line_payments(spark, d)))
-    return _payment_columns(rows)
+    return _payment_columns(upsert.latest_payments(tb.line_payments(spark, d)))
 
 
 @_query
 def upsert_merge(spark, d):
-    rows = typing.good_rows(tb.line_payments(spark, d))
+    rows = tb.line_payments(spark, d)
     is_correction = F.year("ingest_seq.d") >= 1999
-    target = upsert.latest(rows.filter(~is_correction)).drop("ingest_seq")
-    return _payment_columns(upsert.merge(target, rows.filter(is_correction)))
+    target = upsert.latest_payments(rows.filter(~is_correction)).drop("ingest_seq")
+    source = typing.good_rows(rows.filter(is_correction))
+    return _payment_columns(upsert.merge(target, source))
 
 
 def _payment_columns(rows: DataFrame) -> DataFrame:
@@ -737,10 +737,14 @@ def ledger_latest(spark, d):
 
 
 def _ingested(spark: SparkSession, d: str):
-    """All lines as files of a landing folder, loaded from there as a stream in several batches."""
+    """All lines as files of a landing folder, loaded from there as a stream in several batches.
+
+    The rows of a record are spread over the files, so batches correct each other, and some rows
+    arrive after newer ones of their record.
+    """
     base = scratch_dir(spark, "stream")
     rows = tb.line_payments(spark, d)
-    rows.repartitionByRange(6, "ingest_seq").write.parquet(f"{base}/landing")
+    rows.repartition(6, "ingest_seq.p").write.parquet(f"{base}/landing")
     stream = (
         spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landing")
     )

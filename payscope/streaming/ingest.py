@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from payscope import schemas as S
-from payscope.operators.typing import good_rows
-from payscope.operators.upsert import KEY, latest
+from payscope.operators.upsert import KEY, latest, latest_payments
 
 BATCH = "batch_id"
 _CHANGES = T.StructType(
@@ -105,7 +104,7 @@ def apply_batch(batch: DataFrame, batch_id: int, table: str) -> None:
     """
     spark = batch.sparkSession
     sequence = batch.schema["ingest_seq"].dataType
-    newest = latest(good_rows(batch).select(*S.PAYMENT.names, "ingest_seq"))
+    newest = latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq")
     _write_batch(newest, f"{table}/log", batch_id)
     stored = spark.read.schema(newest.schema).parquet(f"{table}/log/{BATCH}={batch_id}")
     before = _log(spark, table, sequence, batch_id).drop(BATCH)

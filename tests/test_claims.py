@@ -2,7 +2,6 @@ import json
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from payscope.functions import numbers as N
 from payscope.operators import claims

@@ -91,6 +91,15 @@ def test_trace_files(spark, tmp_path):
     assert (row.case_id, row.answer_text, row.steps[0].detail.tool) == ("top-state", "5", "query_tool")
 
 
+def test_case_files(spark, tmp_path):
+    (tmp_path / "cases.json").write_text(
+        '[{"id": "a", "question": "?", "gold": {"value": 5, "expected_table": "payments"}, "parts": ["x"]},'
+        ' {"id": "b", "question": "?", "gold": null, "expect_abstain": true}]'
+    )
+    rows = {r.id: r for r in files.read_cases(spark, str(tmp_path / "cases.json")).collect()}
+    assert rows["a"].gold.value == 5.0 and rows["b"].gold is None and rows["b"].expect_abstain
+
+
 ROWS = (
     "run_id int, id string, answer string, accepted boolean, unverified array<string>, sql string, "
     "expected_columns array<string>, gold_numbers array<double>, error string"

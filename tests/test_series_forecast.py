@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from payscope.functions.smoothing import holt_winters
 from payscope.operators import causal, forecast, series
