@@ -77,9 +77,13 @@ def matches_column(dictionary: ProductDictionary) -> Column:
 
 
 def with_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
-    """Relevant rows only, with their `matches`."""
+    """Relevant rows only, with their `matches`.
+
+    The array comes out of a one-element explode. Conditions on it, or on what is derived from it,
+    are not copied below that step, so each row is matched once whatever is asked later.
+    """
     return filings.filter(mentions_any(dictionary)).select(
-        "*", matches_column(dictionary).alias("matches")
+        "*", F.explode(F.array(matches_column(dictionary))).alias("matches")
     )
 
 
