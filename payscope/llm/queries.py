@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payscope.llm import license_scan, secret_scan, topk_search
+from payscope.llm import license_scan, merkle, mixing, packing, secret_scan, topk_search
 from payscope.llm.common import table
 
 
@@ -24,9 +25,25 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find(table(spark, sf_dir, "documents")))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
     "op3_license_scan": op3_license_scan,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
