@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -57,6 +57,33 @@ def by_batch(
     return df.mapInArrow(run, schema)
 
 
+LAST_ID = (1 << 63) - 1  # where a null doc_id stands
+
+
+def row_key() -> list[Column]:
+    """What a decision about a document is joined back by: its id and its text."""
+    return [
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"),
+    ]
+
+
+def repeated(docs: DataFrame, total: DataFrame) -> DataFrame:
+    """The documents, same columns, as often as `total` says.
+
+    It has one row (_doc, _text, _rows, _copies) per key: the rows that there are, the copies that
+    shall be. Rows with equal id and text share them evenly.
+    """
+    joined = docs.select("*", *row_key()).join(total.filter("_copies > 0"), ["_doc", "_text"])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    place = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.xxhash64(F.lit(0), *others)))
+    n = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(
+        F.col("_copies") * (F.col("_place") - 1) / F.col("_rows")
+    )
+    counted = joined.withColumn("_place", place).withColumn("_n", n.cast("int")).filter("_n > 0")
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).select(*docs.columns)
+
+
 def ratio_up(n: int, size: int) -> int:
     """How many parts of at most `size` make up n; at least one."""
     return max(1, -(-n // size))

@@ -29,9 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payscope.llm.common import staged
+from payscope.llm.common import LAST_ID, staged
 
-LAST_ID = (1 << 63) - 1  # where a null doc_id stands
 DOC = ["_id", "_ha", "_hb"]  # a document: where its first copy stands, and its text
 CELL = 16  # bits of a rank that lie in one cell
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payscope.llm.common import staged
+from payscope.llm.common import repeated, row_key, staged
 
 UNIT = 1 << 24
 WEIGHTS = (5, 2, 1)
@@ -34,9 +34,9 @@ def word_count(text: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", "source", F.when(F.col("text").isNull(), F.lit(0)).otherwise(word_count(F.col("text"))).cast("long").alias("size")
-    )
+    """doc_id, source, size and row key of every document."""
+    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(word_count(F.col("text"))).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), *row_key())
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -72,9 +72,9 @@ def _salt(doc_id: Column) -> Column:
 
 
 def sample(documents: DataFrame, shares: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies of each document.
+    """The columns of `documents` with source_size, target and copies.
 
-    `documents` has doc_id, source and size; `shares` has source, source_size and target.
+    `documents` has doc_id, source, size and others; `shares` has source, source_size and target.
     """
     binary = F.bin("size")
     celled = documents.select(
@@ -108,13 +108,25 @@ def sample(documents: DataFrame, shares: DataFrame) -> DataFrame:
     return (
         celled.join(starts, at_cell)
         .withColumn("upto", upto)
-        .select("doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+        .select(*documents.columns, "source_size", "target", crossed.cast("long").alias("copies"))
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The columns of query op5: how many words of each document the mix takes."""
+def copies(docs: DataFrame) -> DataFrame:
+    """Every document with its size, its source's size and target, and how often it is emitted."""
     documents = staged(sized(docs), "sizes")
     sources = documents.groupBy("source").agg(F.sum("size").alias("source_size"))
-    taken = sample(documents, targets(sources))
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return sample(documents, targets(sources))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The columns of query op5: how many words of each document the mix takes."""
+    return copies(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of documents, all columns, each as often as it is emitted."""
+    total = copies(docs).groupBy("_doc", "_text").agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    return repeated(docs, total)

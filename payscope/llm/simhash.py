@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payscope.llm.common import by_batch, staged, texts
+from payscope.llm.common import by_batch, repeated, row_key, staged, texts
 from payscope.llm.components import components
 
 BITS = 64
@@ -65,19 +65,17 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every whole text."""
+    """doc_id, row key and fingerprint (fp, as a signed long) of every whole text."""
 
     def work():
         def each(batch):
             every = [fingerprint(t, width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            return {
-                "doc_id": batch.column("doc_id"),
-                "fp": pa.array(np.array(every, dtype=np.uint64).view(np.int64)),
-            }
+            made = {c: batch.column(c) for c in ("doc_id", "_doc", "_text")}
+            return made | {"fp": pa.array(np.array(every, dtype=np.uint64).view(np.int64))}
 
         return each
 
-    return by_batch(texts(docs), work, "doc_id bigint, fp bigint")
+    return by_batch(texts(docs, *row_key()), work, "doc_id bigint, _doc bigint, _text bigint, fp bigint")
 
 
 def near(
@@ -219,19 +217,32 @@ def links(distinct: DataFrame, radius: int = 4, chunk: int = 16384) -> DataFrame
     return placed.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
-    printed = staged(fingerprints(docs, width), "simhash")
+def members(printed: DataFrame, radius: int = 4) -> DataFrame:
+    """of (a fingerprint) and root (one for each component), from rows with `fp`."""
     nodes = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left")
+    return rooted.select(F.col("fp").alias("of"), "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable) of every row."""
+    printed = staged(fingerprints(docs, width).select("doc_id", "fp"), "simhash")
+    rooted = members(printed, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    member = rooted.join(least, "root").select("of", "component_id")
     return printed.join(member, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest doc_id, then text hash."""
+    printed = staged(fingerprints(docs, width), "simhash")
+    keyed = printed.join(members(printed, radius), F.col("fp") == F.col("of"))
+    chosen = keyed.groupBy("root").agg(F.min(F.struct("_doc", "_text")).alias("key")).select("key.*")
+    rows = printed.groupBy("_doc", "_text").agg(F.count("*").alias("_rows"))
+    return repeated(docs, rows.join(chosen, ["_doc", "_text"]).withColumn("_copies", F.lit(1)))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of query op9."""
     return found.select(
