@@ -4,8 +4,8 @@ Patterns give the base findings. The method adds strings that no pattern names:
 Markov models are trained from labelled samples, one on random strings, one on ordinary
 identifiers, and a string is a finding if its log-likelihood ratio speaks for the random model.
 
-The labelled samples come from all texts: what the patterns find is random, every other long run
-of identifier characters is ordinary. Transitions are counted in the tasks and summed by Spark, so
+The labelled samples come from all texts: what the patterns find is random; another long run of
+identifier characters is ordinary if it holds no digits within letters. Transitions are counted in the tasks and summed by Spark, so
 what reaches the driver is one table of pairs of characters, whatever the number of texts.
 
 Null texts are empty and have no findings. Repeated rows are each scanned. An empty table gives an
@@ -105,10 +105,13 @@ def scan(docs: DataFrame, least: int = 16) -> DataFrame:
 
 
 def samples(scanned: DataFrame) -> DataFrame:
-    """Labelled samples (token, random): what the patterns found, and what they left."""
+    """Labelled samples (token, random): what the patterns found, and what looks like a name.
+
+    Candidates with digits within letters teach neither model: secrets may be among them.
+    """
     found = scanned.select(F.explode("samples").alias("token"), F.lit(True).alias("random"))
     rest = scanned.select(F.explode("candidates.token").alias("token"), F.lit(False).alias("random"))
-    return found.unionByName(rest)
+    return found.unionByName(rest.filter(~F.col("token").rlike("[A-Za-z][0-9]+[A-Za-z]")))
 
 
 def transition_counts(labelled: DataFrame) -> DataFrame:
@@ -135,28 +138,30 @@ def transition_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("random", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5, uniform: float = 0.5) -> list[list[float]]:
+def train(labelled: DataFrame, smoothing: float = 0.5, backoff: float = 4.0, uniform: float = 0.5) -> list[list[float]]:
     """Log-likelihood ratio of each transition, random against ordinary.
 
-    The random model is a mixture of the trained one and of evenly distributed characters
-    (`uniform` is the weight of the latter), as samples seldom hold every alphabet of secrets.
-    The table has one row per character and one for the start: its size is fixed.
+    Rare transitions back off to how often the character occurs at all. The random model is a
+    mixture of the trained one and of evenly distributed characters (`uniform` is the weight of the
+    latter), as samples seldom hold every alphabet of secrets. The table has one row per character
+    and one for the start: its size is fixed.
     """
     size = len(ALPHABET)
     counts = {r: [[0.0] * size for _ in range(size + 1)] for r in (True, False)}
     for row in transition_counts(labelled).toLocalIterator():
         counts[row["random"]][row["a"]][row["b"]] = float(row["n"])
-    ratios = []
-    for chosen, plain in zip(counts[True], counts[False], strict=True):
-        n, m = sum(chosen) + smoothing * size, sum(plain) + smoothing * size
-        ratios.append(
-            [
-                math.log((1 - uniform) * (x + smoothing) / n + uniform / size)
-                - math.log((y + smoothing) / m)
-                for x, y in zip(chosen, plain, strict=True)
-            ]
-        )
-    return ratios
+
+    def chances(table: list[list[float]]) -> list[list[float]]:
+        total = [sum(column) + smoothing for column in zip(*table, strict=True)]
+        single = [n / sum(total) for n in total]
+        return [
+            [(n + backoff * p) / (sum(row) + backoff) for n, p in zip(row, single, strict=True)] for row in table
+        ]
+
+    return [
+        [math.log((1 - uniform) * p + uniform / size) - math.log(q) for p, q in zip(chosen, plain, strict=True)]
+        for chosen, plain in zip(chances(counts[True]), chances(counts[False]), strict=True)
+    ]
 
 
 def score(token: str, ratios: list[list[float]]) -> float:
