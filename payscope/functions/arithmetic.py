@@ -1,86 +1,37 @@
-"""Recompute arithmetic that a text states, such as `(120 - 100) / 100 * 100`."""
+"""Recompute derivations that are given as steps of arithmetic."""
 
 from __future__ import annotations
 
-import math
-import re
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_LEXEME = re.compile(r"\s*(?:((?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|([-+*/%()]))")
-_BINDS = {"+": 1, "-": 1, "*": 2, "/": 2, "%": 2, "plus": 3, "minus": 3}
-
-
-def _lexemes(text: str) -> list:
-    found, at, text = [], 0, text.strip()
-    while at < len(text):
-        m = _LEXEME.match(text, at)
-        if m is None:
-            raise ValueError("not arithmetic")
-        found.append(float(m[1]) if m[1] is not None else m[2])
-        at = m.end()
-    return found
-
-
-def _apply(values: list, operator: str) -> None:
-    right = values.pop()
-    if operator in ("plus", "minus"):
-        values.append(right if operator == "plus" else -right)
-        return
-    left = values.pop()
-    if operator == "+":
-        values.append(left + right)
-    elif operator == "-":
-        values.append(left - right)
-    elif operator == "*":
-        values.append(left * right)
-    elif operator == "/":
-        values.append(left / right)
-    else:
-        values.append(left % right)
-
-
-def value_of(text: str | None) -> float | None:
-    """The value of `+ - * / %` over numbers, signs and brackets; None for anything else."""
-    values: list = []
-    waiting: list = []
-    operand_next = True
-    try:
-        for item in _lexemes(text or ""):
-            if isinstance(item, float) or item == "(":
-                if not operand_next:
-                    return None
-                if item == "(":
-                    waiting.append(item)
-                else:
-                    values.append(item)
-                    operand_next = False
-            elif item == ")":
-                if operand_next:
-                    return None
-                while waiting[-1] != "(":
-                    _apply(values, waiting.pop())
-                waiting.pop()
-            elif operand_next:
-                if item not in "+-":
-                    return None
-                waiting.append("plus" if item == "+" else "minus")
-            else:
-                while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[item]:
-                    _apply(values, waiting.pop())
-                waiting.append(item)
-                operand_next = True
-        if operand_next or "(" in waiting:
-            return None
-        while waiting:
-            _apply(values, waiting.pop())
-    except (ValueError, IndexError, ZeroDivisionError, OverflowError):
-        return None
-    return values[0] if math.isfinite(values[0]) else None
-
 
-@F.pandas_udf(T.DoubleType())
-def evaluate(expressions: pd.Series) -> pd.Series:
-    return expressions.map(value_of).astype("float64")
+#: One step: an operator of + - * / %, and each operand as a number or as the result of an earlier
+#: step (counted from 0). `(120 - 100) / 100` is [(-, 120, 100), (/, step 0, 100)].
+STEPS = (
+    "array<struct<op:string,left:double,left_step:int,right:double,right_step:int>>"
+)
+
+
+def recomputed(steps: Column) -> Column:
+    """The result of the last step; NULL when a step has no value (unknown operator, missing
+    operand, division by zero, overflow) or there is none."""
+
+    def operand(done: Column, value: Column, step: Column) -> Column:
+        return F.when(step.isNull(), value).otherwise(F.get(done, step))
+
+    def add(done: Column, step: Column) -> Column:
+        a = operand(done, step["left"], step["left_step"])
+        b = operand(done, step["right"], step["right_step"])
+        remainder = a - b * F.floor(a / F.nullif(b, F.lit(0.0)))
+        value = (
+            F.when(step["op"] == "+", a + b)
+            .when(step["op"] == "-", a - b)
+            .when(step["op"] == "*", a * b)
+            .when(step["op"] == "/", a / F.nullif(b, F.lit(0.0)))
+            .when(step["op"] == "%", remainder)
+        )
+        finite = F.when(F.abs(value) < float("inf"), value)
+        return F.concat(done, F.array(finite))
+
+    values = F.aggregate(steps, F.array().cast("array<double>"), add)
+    return F.try_element_at(values, F.lit(-1))

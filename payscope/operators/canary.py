@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from payscope.functions import numbers as N
 from payscope.functions.text import is_missing
 from payscope.operators.scoring import is_abstention
+from payscope.session import stored
+
+
+SPLIT = 4096  # even parts of a bucket of latencies
 
 
 def stated_numbers(answer: Column) -> Column:
@@ -103,21 +107,22 @@ def latency_percentiles(rows: DataFrame, run: str, latency: str = "latency_ms")
     p50 is at place n div 2 and p95 at place round(0.95 n - 0.5), halves to even, both from 0 and
     p95 no further than n - 1.
 
-    No run is sorted as one group. Equal latencies are counted first. The counts are summed by
-    coarse buckets in the order of the values (at most some 700,000 for any double), then only the
-    bucket that holds the place is split into a thousand finer ones, and only the values of one of
-    those are put in order.
+    No run is sorted as one group. Equal latencies are counted first and the counts stored, so the
+    rows are read once. The place is then looked for in ever finer buckets: those of a scale that
+    is logarithmic on both sides of zero (at most some 1,400,000 for any double), then `SPLIT`
+    even parts of the bucket that holds the place, and again of that part. Only the values of the
+    last part are put in order.
     """
     value = F.col(latency).cast("double")
-    size = F.log1p(F.greatest(F.col("v"), F.lit(0.0)))
-    counts = (
+    coarse = F.signum("v") * F.log1p(F.abs("v")) * 1e3
+    counts = stored(
         rows.filter(value.isNotNull())
         .groupBy(run, value.alias("v"))
         .agg(F.count("*").alias("n"))
-        .withColumn("coarse", F.floor(size * 1e3))
-        .withColumn("fine", F.floor(size * 1e6))
+        .withColumn("cell", F.floor(coarse)),
+        "latencies",
     )
-    buckets = counts.groupBy(run, "coarse").agg(F.sum("n").alias("n"))
+    buckets = counts.groupBy(run, "cell").agg(F.sum("n").alias("n"))
     total = F.col("total")
     place95 = F.least(total - 1, F.bround(total * 0.95 - 0.5).cast("long"))
     targets = buckets.groupBy(run).agg(F.sum("n").alias("total")).select(
@@ -132,16 +137,28 @@ def latency_percentiles(rows: DataFrame, run: str, latency: str = "latency_ms")
             )
         ),
     )
-    coarse = _holding_place(buckets.join(targets, run), run, "coarse")
-    split = counts.join(coarse, [run, "coarse"]).groupBy(run, "which", "place", "fine")
-    fine = _holding_place(split.agg(F.sum("n").alias("n")), run, "fine")
-    hits = _holding_place(counts.join(fine, [run, "fine"]), run, "v")
+    found = _holding_place(buckets.join(targets, run), run, "cell")
+    inside = counts.join(found, [run, "cell"]).select(run, "which", "place", "v", "n")
+    for _ in range(2):
+        inside = _narrowed(inside, run)
+    hits = _holding_place(inside, run, "v")
     return hits.groupBy(run).agg(
         F.max(F.when(F.col("which") == "p50", F.col("v"))).alias("p50_ms"),
         F.max(F.when(F.col("which") == "p95", F.col("v"))).alias("p95_ms"),
     )
 
 
+def _narrowed(inside: DataFrame, run: str) -> DataFrame:
+    """Of the values (run, which, place, v, n), those in the even part that holds the place."""
+    ends = inside.groupBy(run, "which").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    width = F.col("high") - F.col("low")
+    part = F.when(width > 0, F.floor((F.col("v") - F.col("low")) / width * SPLIT)).otherwise(F.lit(0))
+    parts = inside.join(ends, [run, "which"]).withColumn("cell", part.cast("long")).drop("low", "high")
+    sums = parts.groupBy(run, "which", "place", "cell").agg(F.sum("n").alias("n"))
+    found = _holding_place(sums, run, "cell")
+    return parts.drop("place").join(found, [run, "which", "cell"]).drop("cell")
+
+
 def rollup(scored: DataFrame, run: str, recorded: float = 8.0, tolerance: float = 0.0) -> DataFrame:
     """One record per run: rows, correct rows, errors, and whether the count is as recorded."""
     observed = F.count_if(F.col("correct"))

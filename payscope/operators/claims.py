@@ -1,7 +1,7 @@
 """Check every number stated in a text against the evidence that the text cites.
 
-Finding numbers and giving them their markers is row-local and needs no shuffle. A text is cut at
-its markers; each piece ends with the marker that may speak for the numbers in it. Only the short
+Giving stated numbers their markers is row-local and needs no shuffle (only `number_spans`, which
+states character positions, puts the tokens of a text in order). A text is cut at its markers; each piece ends with the marker that may speak for the numbers in it. Only the short
 rows (answer, number, cited id) are shuffled, to meet the evidence.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payscope.functions import numbers as N
-from payscope.functions.arithmetic import evaluate
+from payscope.functions.arithmetic import STEPS, recomputed
 
 AS_WRITTEN = "as_written"
 CLAIM_ONCE = "claim_once"
@@ -124,35 +124,37 @@ def _citable(
 ) -> DataFrame:
     """One row per id that an answer may cite: evidence before derivations, later before earlier."""
     leaves = N.whole_number_leaves if strict else N.numeric_leaves
-    rows = evidence.select(
-        key,
-        F.col("evidence_id").alias("source_id"),
-        F.lit(1).alias("rank"),
-        F.col("position").cast("long").alias("position"),
-        "payload",
-        F.lit(None).cast("double").alias("result"),
-        F.lit(None).cast("double").alias("recomputed"),
-    )
+    def candidates(frame: DataFrame, source_id: str, rank: int, payload: Column, result: Column, steps: Column):
+        return frame.select(
+            key,
+            F.col(source_id).alias("source_id"),
+            F.lit(rank).alias("rank"),
+            F.col("position").cast("long").alias("position"),
+            payload.cast("string").alias("payload"),
+            result.cast("double").alias("result"),
+            steps.cast(STEPS).alias("steps"),
+        )
+
+    nothing = F.lit(None)
+    rows = candidates(evidence, "evidence_id", 1, F.col("payload"), nothing, nothing)
     if derivations is not None and not strict:
         rows = rows.unionByName(
-            derivations.select(
-                key,
-                F.col("derivation_id").alias("source_id"),
-                F.lit(0).alias("rank"),
-                F.col("position").cast("long").alias("position"),
-                F.lit(None).cast("string").alias("payload"),
-                "result",
-                evaluate(F.col("expression")).alias("recomputed"),
-            )
+            candidates(derivations, "derivation_id", 0, nothing, F.col("result"), F.col("steps"))
         )
     best = Window.partitionBy(key, "source_id").orderBy(
         F.col("rank").desc(), F.col("position").desc()
     )
+    # Payloads and steps are read for the rows that win only.
     return (
         rows.withColumn("nth", F.row_number().over(best))
         .filter("nth = 1")
         .select(
-            key, "source_id", "rank", leaves(F.col("payload")).alias("leaves"), "result", "recomputed"
+            key,
+            "source_id",
+            "rank",
+            leaves(F.col("payload")).alias("leaves"),
+            "result",
+            recomputed(F.col("steps")).alias("recomputed"),
         )
     )
 
@@ -168,7 +170,7 @@ def verdicts(
     """Every stated number with `passed` and a reason.
 
     `evidence` is (key, evidence_id, position, payload JSON) and `derivations` is (key,
-    derivation_id, position, expression, result); both are scoped by answer.
+    derivation_id, position, steps, result); both are scoped by answer.
     """
     strict = mode == STRICT
     stated = cited_numbers(answers, mode, key, text)
@@ -186,8 +188,8 @@ def verdicts(
         return forms
 
     in_evidence = F.exists("leaves", holds)
-    result, recomputed = F.col("result"), F.col("recomputed")
-    recomputes = F.abs(recomputed - result) <= F.greatest(
+    result, again = F.col("result"), F.col("recomputed")
+    recomputes = F.abs(again - result) <= F.greatest(
         F.abs(result), F.lit(1e-9)
     ) * F.lit(N.DERIVATION_TOLERANCE)
     reason = (
@@ -199,7 +201,7 @@ def verdicts(
                 F.lit("not in evidence")
             ),
         )
-        .when(recomputed.isNull(), F.lit("derivation invalid"))
+        .when(again.isNull(), F.lit("derivation invalid"))
         .when(~F.coalesce(recomputes, F.lit(False)), F.lit("derivation recomputes differently"))
         .when(same(result), F.lit("matches derivation"))
         .otherwise(F.lit("derivation gives another number"))

@@ -1,20 +1,23 @@
 """Forecast every quarterly series, score models on held-out quarters, choose and refit.
 
-The seasonal-naive model is windows and joins. Holt-Winters has no built-in form, so it runs as a
-grouped pandas function: one series per group, where a series is a few values per year.
+The seasonal-naive model alone is windows and joins. Holt-Winters has no built-in form, so it runs
+in a pandas function, one series at a time, where a series is a few values per year. `run_models`
+does a whole run that way, in one pass over series that are one row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from payscope.functions.calendar import ordinal_quarter, quarter_ordinal
 from payscope.functions.smoothing import holt_winters
-from payscope.operators.series import windows_summary
+from payscope.session import stored
 
 # The 80 % two-sided normal quantile, the season and the default holdout.
 Z_80 = 1.2816
@@ -288,68 +291,227 @@ def final_forecasts(
     )
 
 
+def naive_model(history: list, horizon: int, season: int) -> tuple:
+    """The last season repeated; the spread is that of the differences to one season earlier."""
+    values = np.asarray(history, dtype="float64")
+    if len(values) < season:
+        raise ValueError(f"{NAIVE} needs at least {season} observations")
+    changes = values[season:] - values[:-season]
+    spread = float(np.std(changes, ddof=1)) if len(changes) > 1 else 0.0
+    point = values[-season:][np.arange(horizon) % season]
+    return point, point - Z_80 * spread, point + Z_80 * spread
+
+
+_STEP = "h int, q int, point double, lower_80 double, upper_80 double"
+_RUN = f"""series_key string, reason string, n_quarters long, first_q int, last_q int, n_train long,
+    tested array<struct<model string, actual double, {_STEP}>>,
+    scores array<struct<model string, n_train long, n_test long, mae double, coverage_80 double>>,
+    primary_model string, mae double,
+    forecasts array<struct<model string, n_history long, {_STEP}>>"""
+
+
+def run_models(
+    series: DataFrame,
+    train_end: str = TRAIN_END,
+    horizon: int = HORIZON,
+    season: int = SEASON,
+    models: Mapping[str, SeriesModel] | None = None,
+) -> DataFrame:
+    """Skip, test, score, choose and refit in one pass: one row per series.
+
+    The series is read once and shuffled once; a series is a few values per year, so one group is
+    small. The reasons for skipping, the scores and the choice are those of `skipped`,
+    `holdout_scores` and `primary_models`; a model that is not chosen is not refitted.
+    """
+    chosen = dict(IN_ONE_PASS if models is None else models)
+    columns = T.StructType.fromDDL(_RUN).names
+    year, quarter = train_end.split("Q")
+    end = int(year) * 4 + int(quarter) - 1
+
+    def steps(made: tuple, start: int) -> list[dict]:
+        point, lower, upper = made
+        return [
+            {
+                "h": h + 1,
+                "q": start + h + 1,
+                "point": float(point[h]),
+                "lower_80": float(lower[h]),
+                "upper_80": float(upper[h]),
+            }
+            for h in range(horizon)
+        ]
+
+    def of_series(q: list[int], value: list[float]) -> dict:
+        by_quarter = dict(zip(q, value, strict=True))
+        train = [v for at, v in zip(q, value, strict=True) if at <= end]
+        tested, scores, best = [], [], None
+        for name, model in chosen.items():
+            try:
+                made = steps(model(train, horizon, season), end)
+            except ValueError:
+                continue
+            pairs = [{"model": name, "actual": by_quarter[s["q"]], **s} for s in made]
+            mae = float(np.mean([abs(p["actual"] - p["point"]) for p in pairs]))
+            inside = [p["lower_80"] <= p["actual"] <= p["upper_80"] for p in pairs]
+            tested += pairs
+            scores.append(
+                {
+                    "model": name,
+                    "n_train": len(train),
+                    "n_test": len(pairs),
+                    "mae": mae,
+                    "coverage_80": float(np.mean(inside)),
+                }
+            )
+            if best is None or mae < best[1]:
+                best = (name, mae)
+        final = []
+        if best is not None:
+            made = chosen[best[0]](value, horizon, season)
+            final = [{"model": best[0], "n_history": len(value), **s} for s in steps(made, q[-1])]
+        return {
+            "tested": tested,
+            "scores": scores,
+            "primary_model": best and best[0],
+            "mae": best and best[1],
+            "forecasts": final,
+        }
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                points = sorted((p["q"], p["value"]) for p in r["points"])
+                q, value = [p[0] for p in points], [p[1] for p in points]
+                row = {
+                    "series_key": r["series_key"],
+                    "reason": r["reason"],
+                    "n_quarters": len(q),
+                    "first_q": q[0],
+                    "last_q": q[-1],
+                    "n_train": sum(x <= end for x in q),
+                }
+                rows.append(row | (of_series(q, value) if r["reason"] is None else {}))
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in columns})
+
+    points = F.collect_list(F.struct(quarter_ordinal(F.col("quarter")).alias("q"), "value"))
+    compact = stored(series.groupBy("series_key").agg(points.alias("points")), "series")
+    opened = compact.select("series_key", F.inline("points")).select(
+        "series_key", ordinal_quarter(F.col("q")).alias("quarter"), "value"
+    )
+    reasons = skipped(opened, train_end, horizon, season, tuple(chosen))
+    return compact.join(reasons, "series_key", "left").mapInPandas(run, _RUN)
+
+
+#: Models for one pass over short series, in the order that decides ties.
+IN_ONE_PASS: dict[str, SeriesModel] = {NAIVE: naive_model, ETS: ets_model}
+
+
+def run_holdout(run: DataFrame) -> DataFrame:
+    """Each held-out quarter of a run next to its forecast, as `holdout` gives it."""
+    return run.select("series_key", "n_train", F.inline("tested")).select(
+        "series_key",
+        "model",
+        "n_train",
+        ordinal_quarter(F.col("q")).alias("quarter"),
+        "actual",
+        "point",
+        "lower_80",
+        "upper_80",
+    )
+
+
+def run_forecasts(run: DataFrame) -> DataFrame:
+    """The final forecasts of a run, as `final_forecasts` gives them."""
+    return run.select("series_key", F.inline("forecasts")).select(
+        "series_key",
+        "model",
+        "n_history",
+        "h",
+        ordinal_quarter(F.col("q")).alias("quarter"),
+        "point",
+        "lower_80",
+        "upper_80",
+    )
+
+
 def store_run(
     series: DataFrame,
     path: str,
     train_end: str = TRAIN_END,
     horizon: int = HORIZON,
     season: int = SEASON,
-    models: Mapping[str, SeriesModel | None] | None = None,
+    models: Mapping[str, SeriesModel] | None = None,
 ) -> None:
-    """Score, choose, refit and store: tables forecasts, holdout, primary, windows and skipped.
+    """Score, choose, refit and store: tables runs, forecasts, holdout, primary, windows, skipped.
 
-    Each series is in either forecasts or skipped. The holdout is stored first and read for the
-    choice of models, so every model is fitted once for it.
+    Each series is in either forecasts or skipped. The run is computed once and stored; the other
+    tables are parts of it.
     """
-    models = MODELS if models is None else dict(models)
     spark = series.sparkSession
-    skips = skipped(series, train_end, horizon, season, tuple(models))
-    skips.write.mode("overwrite").parquet(f"{path}/skipped")
-    tested = holdout(series, train_end, horizon, season, models)
-    holdout_scores(tested).write.mode("overwrite").parquet(f"{path}/holdout")
-    scores = spark.read.parquet(f"{path}/holdout")
-    primary = primary_models(scores, tuple(models))
-    primary.write.mode("overwrite").parquet(f"{path}/primary")
-    final = final_forecasts(
-        series, spark.read.parquet(f"{path}/primary"), horizon, season, models
-    )
-    final.write.mode("overwrite").parquet(f"{path}/forecasts")
-    windows_summary(series, train_end, horizon).write.mode("overwrite").parquet(f"{path}/windows")
-
-
-def lookup(requests: DataFrame, forecasts: DataFrame, skips: DataFrame) -> DataFrame:
+    run_models(series, train_end, horizon, season, models).write.mode("overwrite").parquet(f"{path}/runs")
+    run = spark.read.parquet(f"{path}/runs")
+    quarters = (ordinal_quarter(F.col("first_q")), ordinal_quarter(F.col("last_q")))
+    parts = {
+        "skipped": run.filter(F.col("reason").isNotNull()).select("series_key", "reason"),
+        "holdout": run.select("series_key", F.inline("scores")),
+        "primary": run.filter(F.col("primary_model").isNotNull()).select("series_key", "primary_model", "mae"),
+        "forecasts": run_forecasts(run),
+        "windows": run.select(
+            "series_key",
+            quarters[0].alias("first_quarter"),
+            quarters[1].alias("last_quarter"),
+            "n_quarters",
+            "n_train",
+            (F.col("last_q") - F.col("first_q") + 1 != F.col("n_quarters")).alias("has_gaps"),
+        ),
+    }
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def lookup(
+    requests: DataFrame,
+    forecasts: DataFrame,
+    skips: DataFrame,
+    windows: DataFrame | None = None,
+    scores: DataFrame | None = None,
+) -> DataFrame:
     """Answer requests (request_id, series_key, horizon) from stored forecasts, with a status.
 
     A request that cannot be met gives one row without values: the series was skipped, is
-    unknown, or has fewer stored quarters than asked for.
+    unknown, or has fewer stored quarters than asked for. Requests without a series are answered
+    at once and meet no join. With `windows` and `scores` (the stored tables of a run) each answer
+    also states the training window and how its model did on the held-out quarters.
     """
-    stored = forecasts.groupBy("series_key").agg(F.max("h").alias("available"))
+    nothing = F.coalesce(F.col("series_key"), F.lit("")) == ""
+    stored_steps = forecasts.groupBy("series_key").agg(F.max("h").alias("available"))
     status = (
-        F.when(F.coalesce(F.col("series_key"), F.lit("")) == "", F.lit("series is required"))
-        .when(F.col("reason").isNotNull(), F.concat(F.lit("no forecast: "), "reason"))
+        F.when(F.col("reason").isNotNull(), F.concat(F.lit("no forecast: "), "reason"))
         .when(F.col("available").isNull(), F.lit("unknown series"))
         .when(F.col("horizon") > F.col("available"), F.lit("horizon too long"))
         .otherwise(F.lit("ok"))
     )
     judged = (
-        requests.join(stored, "series_key", "left")
+        requests.filter(~nothing)
+        .join(stored_steps, "series_key", "left")
         .join(skips, "series_key", "left")
         .select("request_id", "series_key", "horizon", status.alias("status"))
     )
-    rows = forecasts.select("series_key", "model", "h", "quarter", "point", "lower_80", "upper_80")
+    columns = ["model", "h", "quarter", "point", "lower_80", "upper_80"]
+    facts = forecasts.select("series_key", *columns)
+    if windows is not None:
+        facts = facts.join(windows.select("series_key", "first_quarter", "last_quarter", "n_train"), "series_key")
+        columns += ["first_quarter", "last_quarter", "n_train"]
+    if scores is not None:
+        facts = facts.join(scores.select("series_key", "model", "mae", "coverage_80"), ["series_key", "model"])
+        columns += ["mae", "coverage_80"]
+    rows = facts.withColumnRenamed("series_key", "_of")
     wanted = (
-        (judged["series_key"] == rows["series_key"])
-        & (judged["status"] == "ok")
-        & (rows["h"] <= judged["horizon"])
+        (F.col("series_key") == F.col("_of")) & (F.col("status") == "ok") & (F.col("h") <= F.col("horizon"))
     )
-    return judged.join(rows, wanted, "left").select(
-        "request_id",
-        judged["series_key"],
-        "status",
-        "model",
-        "h",
-        "quarter",
-        "point",
-        "lower_80",
-        "upper_80",
+    found = judged.join(rows, wanted, "left").select("request_id", "series_key", "status", *columns)
+    unnamed = requests.filter(nothing).select(
+        "request_id", "series_key", F.lit("series is required").alias("status")
     )
+    return found.unionByName(unnamed, allowMissingColumns=True)

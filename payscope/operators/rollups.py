@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from payscope.functions.ratios import guarded_percent
 
-ROW_CAP = 5000
-
-
 def _total() -> Column:
     return F.sum("amount_usd").cast("double").alias("total_usd")
 
@@ -96,6 +93,6 @@ def year_count(payments: DataFrame, year: int) -> DataFrame:
     return payments.filter(F.col("program_year") == year).agg(F.count("*").alias("row_count"))
 
 
-def capped(result: DataFrame, cap: int = ROW_CAP) -> DataFrame:
-    """Result rows of a user query, never more than the cap of the query surface."""
+def capped(result: DataFrame, cap: int) -> DataFrame:
+    """At most `cap` rows of a user query that sets no limit of its own."""
     return result.limit(cap)

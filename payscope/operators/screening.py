@@ -34,11 +34,11 @@ _WORD = r"(?i)\b(?:" + "|".join(WRITE_WORDS) + r")\b"
 _TARGET = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)"
 
 
-def screen(queries: DataFrame, sql: str = "sql") -> DataFrame:
+def screen(queries: DataFrame, sql: str = "sql", row_cap: int = ROW_CAP) -> DataFrame:
     """Adds `accepted`, `reason` (NULL when accepted) and `normalized` (NULL when refused).
 
     Common table expressions are refused, as is any comment. One `;` at the end is dropped. A
-    text without LIMIT gets the row cap.
+    text without LIMIT gets `row_cap`.
     """
     text = strip(F.coalesce(F.col(sql), F.lit("")))
     body = F.when(F.col("_text").endswith(";"), strip(F.expr("left(_text, length(_text) - 1)")))
@@ -61,7 +61,7 @@ def screen(queries: DataFrame, sql: str = "sql") -> DataFrame:
         )
     )
     capped = F.when(body_column.rlike(r"(?i)\bLIMIT\s+\d+"), body_column).otherwise(
-        F.concat(body_column, F.lit(f" LIMIT {ROW_CAP}"))
+        F.concat(body_column, F.lit(f" LIMIT {row_cap}"))
     )
     return (
         queries.withColumn("_text", text)

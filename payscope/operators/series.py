@@ -40,7 +40,7 @@ def national_series(payments: DataFrame) -> DataFrame:
     )
 
 
-def specialty_series(payments: DataFrame, top_n: int = 5) -> DataFrame:
+def specialty_series(payments: DataFrame, top_n: int) -> DataFrame:
     aggregate = specialty_quarters(payments)
     top = F.broadcast(top_specialties(aggregate, top_n).select("specialty"))
     return aggregate.join(top, "specialty", "left_semi").select(
@@ -50,10 +50,10 @@ def specialty_series(payments: DataFrame, top_n: int = 5) -> DataFrame:
     )
 
 
-def all_series(payments: DataFrame, top_n: int | None = 5) -> DataFrame:
+def all_series(payments: DataFrame, top_n: int | None = None) -> DataFrame:
     """National and specialty series from one pass, as grouping sets over the small aggregate.
 
-    With `top_n=None` every specialty has its series.
+    Every specialty has its series unless `top_n` asks for the largest ones only.
     """
     aggregate = specialty_quarters(payments)
     cubed = aggregate.groupingSets(

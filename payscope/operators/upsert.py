@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from payscope.operators.typing import as_payments, loadable
+from payscope.session import stored
 
 KEY = "record_id"
 SEQUENCE = "ingest_seq"
@@ -35,10 +36,10 @@ def merge(target: DataFrame, source: DataFrame, key: str = KEY, sequence: str =
     """The target after `source` is written over it: all columns of a known key are replaced.
 
     The anti join is over all program years, because a correction may move a record to another
-    year. `source` is reduced to one row per key first; `target` has one row per key already. A
-    small source is broadcast by its size, and then the target is not shuffled at all. The source
-    is read twice, so store it first when it is costly to compute.
+    year. `source` is reduced to one row per key and stored in the shared folder, so it is computed
+    once; `target` has one row per key already. A small source is broadcast by its size, and then
+    the target is not shuffled at all.
     """
-    newest = latest(source, key, sequence).drop(sequence)
+    newest = stored(latest(source, key, sequence).drop(sequence), "merge")
     kept = target.join(newest.select(key), key, "left_anti")
     return kept.unionByName(newest)

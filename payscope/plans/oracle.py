@@ -35,7 +35,7 @@ _view(
     "fx_filings",
     (),
     """
-SELECT CAST(o_orderkey AS VARCHAR) AS record_id,
+SELECT o_orderkey || '-' || chunk AS record_id,
        CAST(year(o_orderdate) AS VARCHAR) AS program_year,
        CASE WHEN o_orderkey % 97 = 0 THEN ''
             WHEN o_orderkey % 101 = 0 THEN 'n/a'
@@ -51,24 +51,23 @@ SELECT CAST(o_orderkey AS VARCHAR) AS record_id,
             ELSE CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) END AS amount_usd,
        names, categories
 FROM (
-    SELECT l_orderkey,
+    SELECT l_orderkey, chunk,
            max(CASE WHEN slot = 1 THEN l_suppkey END) AS first_suppkey,
            list(name ORDER BY slot) AS names,
            list(category ORDER BY slot) AS categories
     FROM (
-        SELECT l_orderkey, l_suppkey, slot,
+        SELECT l_orderkey, l_suppkey, place // 5 AS chunk, place % 5 + 1 AS slot,
                CASE l_returnflag WHEN 'R' THEN '' WHEN 'A' THEN upper(p_name) ELSE p_name END AS name,
                CASE l_returnflag WHEN 'R' THEN p_type || ' ' || p_name ELSE p_type END AS category
         FROM (
             SELECT *, row_number() OVER (
                        PARTITION BY l_orderkey
                        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice
-                   ) AS slot
+                   ) - 1 AS place
             FROM lineitem
         ) JOIN part ON l_partkey = p_partkey
-        WHERE slot <= 5
     )
-    GROUP BY l_orderkey
+    GROUP BY l_orderkey, chunk
 )
 JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey
@@ -261,6 +260,53 @@ FROM (
 """,
 )
 
+_view(
+    "fx_exact",
+    (),
+    """
+SELECT series_key, first_q, last_q, q, q // 4 || 'Q' || (q % 4 + 1) AS quarter,
+       CAST(n * 1000 + n % 3 * 10 * (q - first_q) + [0, 7, 3, 11][q % 4 + 1] * (1 + n % 5) AS DOUBLE) AS value,
+       n % 3 AS trend
+FROM (
+    SELECT c_nationkey || ' ' || c_mktsegment || ' ' || o_orderpriority AS series_key, count(*) AS n,
+           min(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) AS first_q,
+           max(year(o_orderdate) * 4 + quarter(o_orderdate) - 1) AS last_q
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+), unnest(range(first_q, last_q + 5)) AS r(q)
+""",
+)
+
+_view(
+    "fx_naive_scores",
+    ("fx_fine",),
+    f"""
+SELECT f.series_key, max(f.n) AS n_train, count(*) AS n_test,
+       round(sum(abs(a.value - point)) / count(*), 4) AS mae
+FROM (
+    SELECT series_key, n, {_END} + h AS q, last_season[h] AS point
+    FROM (
+        SELECT series_key, count(*) AS n, list(value ORDER BY q) FILTER (WHERE back <= 4) AS last_season
+        FROM (
+            SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY q DESC) AS back
+            FROM fx_fine WHERE q <= {_END}
+        ) GROUP BY series_key
+    ), unnest(range(1, 5)) AS r(h)
+) f
+JOIN fx_fine a ON a.series_key = f.series_key AND a.q = f.q
+GROUP BY f.series_key
+""",
+)
+
+_view(
+    "fx_windows",
+    ("fx_fine",),
+    f"""
+SELECT series_key, count(*) AS n_quarters, min(quarter) AS first_quarter, max(quarter) AS last_quarter,
+       count(*) FILTER (WHERE q <= {_END}) AS n_train
+FROM fx_fine GROUP BY 1
+""",
+)
+
 _view(
     "fx_groups",
     (),
@@ -660,6 +706,35 @@ FROM (SELECT record_id, coalesce(try_strptime(payment_date, '%Y-%m-%d'),
         "fx_years",
     ),
     "upsert_latest": query(f"SELECT {_PAYMENT_COLUMNS} FROM fx_latest", "fx_latest"),
+    "csv_mixed": query(
+        """
+SELECT record_id, program_year, quarter,
+       CASE WHEN CAST(program_year AS INTEGER) % 3 <> 2 THEN physician_id END AS physician_id, product, amount_usd,
+       nature_of_payment || CASE WHEN CAST(program_year AS INTEGER) % 3 = 2
+                                 THEN chr(10) || '"second", line' ELSE '' END AS nature_of_payment
+FROM fx_landed
+""",
+        "fx_landed",
+    ),
+    "csv_quarantine": query(
+        """
+SELECT program_year AS year, count(*) FILTER (WHERE k % 7 <> 0) AS n_good,
+       count(*) FILTER (WHERE k % 7 = 0) AS n_broken
+FROM (SELECT program_year, CAST(split_part(record_id, '-', 1) AS BIGINT) AS k FROM fx_filings)
+GROUP BY 1
+""",
+        "fx_filings",
+    ),
+    "upsert_stamped": query(
+        """
+SELECT record_id, CAST(program_year AS INTEGER) AS program_year, day AS payment_date, quarter,
+       physician_specialty, CASE WHEN fixed THEN 'ZZ' ELSE physician_state END AS physician_state,
+       manufacturer, product, CASE WHEN fixed THEN 7.5 ELSE CAST(usd AS DOUBLE) END AS amount_usd
+FROM (SELECT *, CAST(split_part(record_id, '-', 1) AS BIGINT) % 4 = 0 AS fixed FROM fx_typed)
+WHERE manufacturer <> '' AND (fixed OR reject_reason IS NULL)
+""",
+        "fx_typed",
+    ),
     "upsert_merge": query(f"SELECT {_PAYMENT_COLUMNS} FROM fx_latest", "fx_latest"),
     "manifest_counts": query(
         f"""
@@ -841,8 +916,7 @@ FROM (
         """
 SELECT k AS series_key, 'f_' || replace(replace(k, ':', '_'), ' ', '_') AS evidence_id
 FROM (SELECT 'national' AS k UNION ALL
-      SELECT 'specialty:' || specialty FROM (SELECT specialty FROM fx_order_payments GROUP BY 1
-             ORDER BY sum(usd) DESC, 1 LIMIT 5))
+      SELECT 'specialty:' || specialty FROM (SELECT DISTINCT specialty FROM fx_order_payments))
 """,
         "fx_order_payments",
     ),
@@ -928,13 +1002,36 @@ GROUP BY f.series_key
         "WHERE coalesce(naive_reason, ets_reason) IS NOT NULL",
         "fx_skips",
     ),
+    # A series that follows the model exactly is continued exactly.
+    "hw_forecast": query(
+        f"""
+SELECT series_key, quarter, {_END} - first_q + 1 AS n_train, value AS actual, value AS point,
+       value AS lower_80, value AS upper_80
+FROM fx_exact
+WHERE q > {_END} AND q <= {_END} + 4 AND first_q <= {_END} - 7 AND last_q >= {_END} + 4
+""",
+        "fx_exact",
+    ),
+    # Without a trend both models are exact and the first one stays; with one only Holt-Winters is.
+    "model_choice": query(
+        f"""
+SELECT series_key, CASE WHEN trend = 0 THEN 'seasonal_naive' ELSE 'ets' END AS model,
+       last_q - first_q + 1 AS n_history, q - last_q AS h, quarter, value AS point
+FROM fx_exact
+WHERE q > last_q AND first_q <= {_END} - 7 AND last_q >= {_END} + 4
+""",
+        "fx_exact",
+    ),
     "forecast_run": query(
         """
-SELECT series_key, n AS n_quarters, CASE WHEN naive_reason IS NULL THEN 'seasonal_naive' END AS model,
-       CASE WHEN naive_reason IS NULL THEN 4 END AS steps, naive_reason AS reason
-FROM fx_skips
+SELECT series_key, n_quarters, first_quarter, last_quarter, CASE WHEN reason IS NULL THEN 1 END AS models,
+       CASE WHEN reason IS NULL THEN 4 END AS steps, CASE WHEN reason IS NULL THEN mae END AS naive_mae, reason
+FROM (SELECT *, coalesce(naive_reason, ets_reason) AS reason FROM fx_skips)
+JOIN fx_windows USING (series_key) LEFT JOIN fx_naive_scores USING (series_key)
 """,
         "fx_skips",
+        "fx_windows",
+        "fx_naive_scores",
     ),
     "own_model": query(
         """
@@ -950,11 +1047,13 @@ WHERE n >= 4 OR h = 1
     ),
     "forecast_lookup": query(
         """
-SELECT request_id, status, h, CASE WHEN h IS NOT NULL THEN
-           (last_q + h) // 4 || 'Q' || ((last_q + h) % 4 + 1) END AS quarter,
-       last_season[h] AS point
+SELECT request_id, status, CASE WHEN h IS NOT NULL THEN 'seasonal_naive' END AS model, h,
+       CASE WHEN h IS NOT NULL THEN (last_q + h) // 4 || 'Q' || ((last_q + h) % 4 + 1) END AS quarter,
+       last_season[h] AS point, CASE WHEN h IS NOT NULL THEN first_quarter END AS first_quarter,
+       CASE WHEN h IS NOT NULL THEN last_quarter END AS last_quarter,
+       CASE WHEN h IS NOT NULL THEN n_train END AS n_train, CASE WHEN h IS NOT NULL THEN mae END AS mae
 FROM (
-    SELECT r.*, n.last_q, n.last_season, CASE
+    SELECT r.*, n.last_q, n.last_season, w.first_quarter, w.last_quarter, w.n_train, m.mae, CASE
         WHEN r.series_key = '' THEN 'series is required'
         WHEN naive_reason IS NOT NULL THEN 'no forecast: ' || naive_reason
         WHEN n.series_key IS NULL THEN 'unknown series'
@@ -963,12 +1062,17 @@ FROM (
     FROM (
         SELECT c_custkey AS request_id, c_custkey % 6 + 1 AS horizon, CASE c_custkey % 10
             WHEN 0 THEN 'national' WHEN 1 THEN '' WHEN 2 THEN 'specialty:none'
-            ELSE 'specialty:' || c_nationkey || ' ' || c_mktsegment || ' 1-URGENT' END AS series_key
+            ELSE 'specialty:' || c_nationkey || ' ' || c_mktsegment || ' '
+                 || ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][c_custkey % 5 + 1]
+            END AS series_key
         FROM customer
     ) r
     LEFT JOIN fx_naive n USING (series_key) LEFT JOIN fx_skips s USING (series_key)
+    LEFT JOIN fx_windows w USING (series_key) LEFT JOIN fx_naive_scores m USING (series_key)
 )
 """,
+        "fx_windows",
+        "fx_naive_scores",
         "fx_naive",
         "fx_skips",
     ),
@@ -1093,9 +1197,8 @@ FROM fx_scores
         "fx_canary_numbers",
     ),
     "canary_gold": query(
-        "SELECT physician_state AS id, unnest([0, 1]) AS nth, "
-        "unnest([total_usd, CAST(payment_count AS DOUBLE)]) AS value "
-        "FROM v_q_by_state WHERE quarter = '1997Q1'",
+        "SELECT coalesce(quarter, '?') || ' ' || physician_state AS id, unnest([0, 1]) AS nth, "
+        "unnest([total_usd, CAST(payment_count AS DOUBLE)]) AS value FROM v_q_by_state",
         "v_q_by_state",
     ),
     "canary_scores": query(
@@ -1138,6 +1241,7 @@ FROM fx_canary GROUP BY run_id
         "fx_canary",
     ),
     "stream_upsert": query(f"SELECT {_PAYMENT_COLUMNS} FROM fx_latest", "fx_latest"),
+    "stream_filings": query(f"SELECT {_PAYMENT_COLUMNS} FROM fx_payments", "fx_payments"),
     "stream_quarter_totals": query(
         f"SELECT quarter, {_TOTAL}, count(*) AS payment_count FROM fx_latest GROUP BY 1", "fx_latest"
     ),

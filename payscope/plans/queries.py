@@ -113,6 +113,75 @@ def csv_filings(spark, d):
     )
 
 
+@_query
+def csv_mixed(spark, d):
+    """One folder of files with several layouts: columns in another order or missing, and line
+    breaks within quotes."""
+    path = scratch_dir(spark, "csv-mixed")
+    rows = tb.filings(spark, d)
+    year = F.col(S.PROGRAM_YEAR).cast("int") % 3
+    broken_line = F.concat(F.col(S.NATURE), F.lit('\n"second", line'))
+    layouts = (
+        rows.filter(year == 0),
+        rows.filter(year == 1).select(*reversed(rows.columns)),
+        rows.filter(year == 2).withColumn(S.NATURE, broken_line).drop(S.RECIPIENT_NPI),
+    )
+    for layout in layouts:
+        layout.write.mode("append").csv(path, header=True, escape='"')
+    found = matching.land(filing_files.read_filings(spark, [path]), tb.PRODUCTS, tb.dataset_name())
+    return found.select(
+        "record_id",
+        "program_year",
+        "quarter",
+        "physician_id",
+        "product",
+        "amount_usd",
+        "nature_of_payment",
+    )
+
+
+@_query
+def csv_quarantine(spark, d):
+    """Records with too few cells, written among good ones, are kept apart; both are counted."""
+    path = scratch_dir(spark, "csv-broken")
+    rows = tb.filings(spark, d)
+    key = F.substring_index(S.RECORD_ID, "-", 1).cast("long")
+    # A header of three names: records with fewer or more cells do not fit it.
+    named = rows.select(
+        S.RECORD_ID, S.PROGRAM_YEAR, F.when(key % 7 == 0, F.lit("a")).otherwise("b").alias(S.NATURE)
+    )
+    lines = F.when(F.col(S.NATURE) == "a", F.concat_ws(",", S.RECORD_ID, S.PROGRAM_YEAR)).otherwise(
+        F.concat_ws(",", S.RECORD_ID, S.PROGRAM_YEAR, S.NATURE)
+    )
+    header = ",".join(named.columns)
+    text = named.select(S.RECORD_ID, lines.alias("value"))
+    # One text per task, with the header in front.
+    body = text.groupBy(F.pmod(F.xxhash64(S.RECORD_ID), F.lit(64)).alias("file")).agg(
+        F.concat(F.lit(header + "\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("value")
+    )
+    body.write.partitionBy("file").text(path)
+    good = filing_files.read_filings(spark, [path]).groupBy(F.col(S.PROGRAM_YEAR).alias("year")).agg(
+        F.count("*").alias("n_good")
+    )
+    broken = filing_files.broken_filings(spark, [path]).groupBy(
+        F.element_at(F.split("record", ","), 2).alias("year")
+    ).agg(F.count("*").alias("n_broken"))
+    return good.join(broken, "year", "full_outer")
+
+
+@_query
+def upsert_stamped(spark, d):
+    """Two landings of records, the second with corrections: the later written row stays."""
+    paths = [scratch_dir(spark, "landing-first"), scratch_dir(spark, "landing-second")]
+    rows = tb.landed(spark, d)
+    key = F.substring_index("record_id", "-", 1).cast("long")
+    rows.write.json(paths[0])
+    fixed = rows.filter(key % 4 == 0).withColumn("amount_usd", F.lit("7.50")).withColumn("physician_state", F.lit("ZZ"))
+    fixed.write.json(paths[1])
+    landed = filing_files.read_landed_json(spark, paths)
+    return _payment_columns(upsert.latest_payments(landed))
+
+
 @_query
 def landed_json(spark, d):
     """Landed records written as gzipped JSON lines, read back and typed."""
@@ -312,8 +381,7 @@ GROUP BY p.product_generic, p.program_year, p.n, p.urgent, p.usd, p.first_day
 @_query
 def user_select_cte(spark, d):
     rollups.register_views(tb.payments(spark, d))
-    out = rollups.capped(spark.sql(USER_CTE))
-    return out.withColumn("state_usd", F.round("state_usd", 2))
+    return spark.sql(USER_CTE).withColumn("state_usd", F.round("state_usd", 2))
 
 
 @_query
@@ -333,7 +401,7 @@ def capped_select(spark, d):
         "SELECT record_id, CAST(amount_usd AS DOUBLE) AS amount_usd FROM payments "
         "ORDER BY amount_usd DESC, record_id"
     )
-    return rollups.capped(rows)
+    return rollups.capped(rows, screening.ROW_CAP)
 
 
 @_query
@@ -427,38 +495,50 @@ def series_skips(spark, d):
     return forecast.skipped(_fine(spark, d), tb.TRAIN_END)
 
 
-def _series(spark, d):
-    return series.all_series(tb.order_payments(spark, d))
-
-
 @_query
 def hw_forecast(spark, d):
+    """Holt-Winters on held-out quarters, over series that follow its model exactly."""
     models = {forecast.ETS: forecast.ets_model}
-    tested = forecast.holdout(_series(spark, d), tb.TRAIN_END, models=models)
-    return tested.withColumn("n_train", F.col("n_train").cast("long"))
+    tested = forecast.holdout(tb.exact_series(spark, d), tb.TRAIN_END, models=models)
+    return tested.select(
+        "series_key",
+        "quarter",
+        F.col("n_train").cast("long").alias("n_train"),
+        "actual",
+        *[F.round(c, 1).alias(c) for c in ("point", "lower_80", "upper_80")],
+    )
 
 
 @_query
 def model_choice(spark, d):
-    scores = forecast.holdout_scores(forecast.holdout(_series(spark, d), tb.TRAIN_END))
-    primary = forecast.primary_models(scores)
-    return forecast.final_forecasts(_series(spark, d), primary)
+    """Which model each exact series gets, and its forecasts after the last quarter."""
+    run = forecast.run_models(tb.exact_series(spark, d), tb.TRAIN_END)
+    return forecast.run_forecasts(run).select(
+        "series_key",
+        "model",
+        "n_history",
+        F.col("h").cast("long").alias("h"),
+        "quarter",
+        F.round("point", 1).alias("point"),
+    )
 
 
 @_query
 def forecast_run(spark, d):
-    """A whole run stored as tables; from them the window, model and skip of each series."""
+    """A whole run of both models stored as tables; the window, steps and skip of each series."""
     path = scratch_dir(spark, "forecast")
-    forecast.store_run(_fine(spark, d), path, tb.TRAIN_END, models=_NAIVE_ONLY)
+    forecast.store_run(_fine(spark, d), path, tb.TRAIN_END)
     windows = spark.read.parquet(f"{path}/windows")
-    stored = spark.read.parquet(f"{path}/forecasts").groupBy("series_key", "model").agg(
-        F.count("*").alias("steps")
+    final = spark.read.parquet(f"{path}/forecasts").groupBy("series_key").agg(
+        F.count("*").alias("steps"), F.countDistinct("model").alias("models")
     )
+    naive = spark.read.parquet(f"{path}/holdout").filter(F.col("model") == forecast.NAIVE)
     skips = spark.read.parquet(f"{path}/skipped")
     return (
-        windows.join(stored, "series_key", "left")
+        windows.join(final, "series_key", "left")
+        .join(naive.select("series_key", F.round("mae", 4).alias("naive_mae")), "series_key", "left")
         .join(skips, "series_key", "left")
-        .select("series_key", "n_quarters", "model", "steps", "reason")
+        .select("series_key", "n_quarters", "first_quarter", "last_quarter", "models", "steps", "naive_mae", "reason")
     )
 
 
@@ -484,28 +564,38 @@ def own_model(spark, d):
 
 @_query
 def forecast_lookup(spark, d):
-    all_fine = _fine(spark, d)
-    skips = forecast.skipped(all_fine, tb.TRAIN_END, models=(forecast.NAIVE,))
-    usable = all_fine.join(skips, "series_key", "left_anti")
-    stored = forecast.labelled(forecast.seasonal_naive(usable))
+    path = scratch_dir(spark, "forecast")
+    forecast.store_run(_fine(spark, d), path, tb.TRAIN_END, models={forecast.NAIVE: forecast.naive_model})
+    run = {t: spark.read.parquet(f"{path}/{t}") for t in ("forecasts", "skipped", "windows", "holdout")}
     customer = tb.table(spark, d, "customer").select(
         F.col("c_custkey").alias("request_id"),
         F.col("c_nationkey").cast("string").alias("k"),
         "c_mktsegment",
     )
     key = F.col("request_id") % 10
+    kinds = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    priority = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("request_id") % 5).cast("int"))
     requests = customer.select(
         "request_id",
         F.when(key == 0, "national")
         .when(key == 1, "")
         .when(key == 2, "specialty:none")
-        .otherwise(F.concat(F.lit("specialty:"), F.concat_ws(" ", "k", "c_mktsegment", F.lit("1-URGENT"))))
+        .otherwise(F.concat(F.lit("specialty:"), F.concat_ws(" ", "k", "c_mktsegment", priority)))
         .alias("series_key"),
         (F.col("request_id") % 6 + 1).alias("horizon"),
     )
-    found = forecast.lookup(requests, stored, skips)
+    found = forecast.lookup(requests, run["forecasts"], run["skipped"], run["windows"], run["holdout"])
     return found.select(
-        "request_id", "status", F.col("h").cast("long").alias("h"), "quarter", "point"
+        "request_id",
+        "status",
+        "model",
+        F.col("h").cast("long").alias("h"),
+        "quarter",
+        "point",
+        "first_quarter",
+        "last_quarter",
+        "n_train",
+        F.round("mae", 4).alias("mae"),
     )
 
 
@@ -681,8 +771,10 @@ def canary_numbers(spark, d):
 
 @_query
 def canary_gold(spark, d):
-    gold = rollups.quarterly_by_state(tb.payments(spark, d)).filter("quarter = '1997Q1'")
-    keyed = gold.select(F.col("physician_state").alias("id"), "quarter", "total_usd", "payment_count")
+    """The numbers of every row of the state view are gold."""
+    gold = rollups.quarterly_by_state(tb.payments(spark, d))
+    row_id = F.concat_ws(" ", F.coalesce("quarter", F.lit("?")), "physician_state")
+    keyed = gold.select(row_id.alias("id"), "quarter", "total_usd", "payment_count")
     return canary.gold_numbers(keyed, "id").select(
         "id", F.posexplode("gold_numbers").alias("nth", "value")
     ).withColumn("nth", F.col("nth").cast("long"))
@@ -761,5 +853,24 @@ def stream_upsert(spark, d):
 
 @_query
 def stream_quarter_totals(spark, d):
-    path, _ = _ingested(spark, d)
-    return ingest.quarter_totals(spark, path)
+    path, sequence = _ingested(spark, d)
+    return ingest.quarter_totals(spark, path, sequence)
+
+
+@_query
+def stream_filings(spark, d):
+    """Filings as files of a landing folder; the product match runs inside the stream."""
+    base = scratch_dir(spark, "stream-filings")
+    rows = tb.filings(spark, d).withColumn("ingest_seq", F.col(S.RECORD_ID))
+    rows.repartition(4, S.RECORD_ID).write.parquet(f"{base}/landing")
+    stream = (
+        spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landing")
+    )
+
+    def to_landed(batch: DataFrame) -> DataFrame:
+        found = matching.land(batch, tb.PRODUCTS, tb.dataset_name())
+        return found.withColumn("ingest_seq", F.col("record_id"))
+
+    ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", to_landed).awaitTermination()
+    current = ingest.current(spark, f"{base}/table", rows.schema["ingest_seq"].dataType)
+    return _payment_columns(current)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from payscope import schemas as S
+from payscope.functions.calendar import ordinal_quarter
 from payscope.operators.matching import land
 from payscope.operators.typing import good_rows
 from payscope.sources.dictionary import ProductDictionary
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide all-text row per order that has lines."""
+    """Wide all-text rows: five lines of an order fill one, so an order has as many as it needs."""
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -54,11 +55,16 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"
     )
-    first_five = lines.select("*", F.row_number().over(order).alias("slot")).filter("slot <= 5")
+    at = F.row_number().over(order) - 1
+    slots = len(S.SLOTS)
+    placed = lines.select(
+        "*", F.floor(at / slots).cast("int").alias("chunk"), (at % slots + 1).alias("slot")
+    )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     flag = F.col("l_returnflag")
-    cells = first_five.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    cells = placed.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey",
+        "chunk",
         "l_suppkey",
         "slot",
         F.when(flag == "R", "")
@@ -70,13 +76,13 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("category"),
     )
 
-    def at(slot: int, column: str) -> Column:
+    def cell(slot: int, column: str) -> Column:
         return F.max(F.when(F.col("slot") == slot, F.col(column)))
 
-    wide = cells.groupBy("l_orderkey").agg(
-        at(1, "l_suppkey").alias("first_suppkey"),
-        *[at(n, "name").alias(S.NAME_FIELDS[n - 1]) for n in S.SLOTS],
-        *[at(n, "category").alias(S.CATEGORY_FIELDS[n - 1]) for n in S.SLOTS],
+    wide = cells.groupBy("l_orderkey", "chunk").agg(
+        cell(1, "l_suppkey").alias("first_suppkey"),
+        *[cell(n, "name").alias(S.NAME_FIELDS[n - 1]) for n in S.SLOTS],
+        *[cell(n, "category").alias(S.CATEGORY_FIELDS[n - 1]) for n in S.SLOTS],
     )
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -93,7 +99,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "/", F.month(day).cast("string"), F.dayofmonth(day).cast("string"), F.year(day).cast("string")
     )
     return joined.select(
-        key.cast("string").alias(S.RECORD_ID),
+        F.concat_ws("-", key.cast("string"), F.col("chunk").cast("string")).alias(S.RECORD_ID),
         F.year(day).cast("string").alias(S.PROGRAM_YEAR),
         F.when(key % 97 == 0, "")
         .when(key % 101 == 0, "n/a")
@@ -124,7 +130,7 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed good rows; one row per record already, because a record is an order."""
+    """Typed good rows; one row per record already."""
     return good_rows(landed(spark, sf_dir))
 
 
@@ -258,6 +264,30 @@ def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that follow level + trend + season exactly, one per fine group of orders.
+
+    A group's series runs from its first to its last quarter; level and trend come from its number
+    of orders.
+    """
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    day = F.col("o_orderdate")
+    q = (F.year(day) * 4 + F.quarter(day) - 1).cast("int")
+    group = F.concat_ws(
+        " ", F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), F.col("o_orderpriority")
+    )
+    groups = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(group.alias("series_key"))
+        .agg(F.count("*").alias("n"), F.min(q).alias("first"), F.max(q).alias("last"))
+    )
+    points = groups.select("*", F.explode(F.sequence("first", "last")).alias("q"))
+    season = F.element_at(F.array(*[F.lit(x) for x in (0, 7, 3, 11)]), (F.col("q") % 4 + 1).cast("int"))
+    value = F.col("n") * 1000 + F.col("n") % 3 * 10 * (F.col("q") - F.col("first")) + season * (1 + F.col("n") % 5)
+    return points.select("series_key", ordinal_quarter(F.col("q")).alias("quarter"), value.cast("double").alias("value"))
+
+
 # --- answers, evidence, traces ------------------------------------------------------------------
 
 
@@ -369,21 +399,31 @@ def derived_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """returned / sales * 100, or (sales - kept) / sales * 100; every ninth lacks an operand."""
     k = F.col("k")
-    sales, returned = F.col("sales").cast("string"), F.col("returned").cast("string")
-    kept = (F.col("sales") - F.col("returned")).cast("decimal(18,2)").cast("string")
-    expression = (
-        F.when(k % 9 == 8, F.lit("returned / sales * 100"))
-        .when(k % 2 == 0, F.concat(returned, F.lit(" / "), sales, F.lit(" * 100")))
-        .otherwise(
-            F.concat(F.lit("("), sales, F.lit(" - "), kept, F.lit(") / "), sales, F.lit(" * 100"))
+    sales = F.col("sales").cast("double")
+    returned = F.when(k % 9 != 8, F.col("returned").cast("double"))
+    kept = F.when(k % 9 != 8, (F.col("sales") - F.col("returned")).cast("double"))
+
+    def step(op: str, left: Column | int, right: Column) -> Column:
+        earlier = isinstance(left, int)
+        return F.struct(
+            F.lit(op).alias("op"),
+            (F.lit(None).cast("double") if earlier else left).alias("left"),
+            (F.lit(left) if earlier else F.lit(None).cast("int")).alias("left_step"),
+            right.alias("right"),
+            F.lit(None).cast("int").alias("right_step"),
         )
+
+    hundred = F.lit(100.0)
+    steps = F.when(k % 2 == 0, F.array(step("/", returned, sales), step("*", 0, hundred))).otherwise(
+        F.array(step("-", sales, kept), step("/", 0, sales), step("*", 1, hundred))
     )
     return maker_facts(spark, sf_dir).select(
         _id("a_").alias("answer_id"),
         _id("d_").alias("derivation_id"),
         F.lit(1).alias("position"),
-        expression.alias("expression"),
+        steps.alias("steps"),
         F.when(k % 4 == 3, F.lit(30.5)).otherwise(F.col("raw_share") * 100).alias("result"),
     )
 

@@ -6,10 +6,13 @@ On a cluster the submitter owns the configuration.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "payscope") -> SparkSession:
@@ -32,12 +35,27 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "payscop
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for tables that cut lineage, under the folder named in spark.checkpoint.dir.
 
-    A cluster must name a shared folder there. Only a local-mode session may fall back to a
-    temporary folder of this machine, because there driver and executors are one process.
+    A cluster must name a shared folder there. Only a local-mode session that names none (tests)
+    uses one of this machine, because there driver and executors are one process; such folders
+    are deleted when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or None
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        root = tempfile.gettempdir()
+        root = _own_root()
     return f"{root.rstrip('/')}/payscope-{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _own_root() -> str:
+    root = tempfile.mkdtemp(prefix="payscope-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, read back from a table in the shared folder: computed once, lineage cut."""
+    path = scratch_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,58 +2,126 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payscope import schemas as S
 
+BROKEN = "_broken_record"
+SEQUENCE = "ingest_seq"
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of one file, read by Spark's own CSV reader from its first record."""
-    return spark.read.csv(path, header=True, enforceSchema=False, escape='"').columns
 
+def write_order(paths: Sequence[str] = ()) -> Column:
+    """Where a row stands in its source: place of its path in `paths`, file, block, row.
 
-def read_filings(
-    spark: SparkSession, paths: Sequence[str], multiline: bool = False
-) -> DataFrame:
-    """Filing rows of all given files as text columns, one job for all years.
+    Unique for every row of a file source, and in the order in which rows are written over each
+    other: later paths, later files by name, later rows win.
+    """
+    file = F.col("_metadata.file_path")
+    place = F.lit(-1)
+    for n, path in enumerate(paths):
+        place = F.when(file.contains(path.rstrip("/").split("://")[-1]), F.lit(n)).otherwise(place)
+    return F.struct(
+        place.alias("path"),
+        file.alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def file_layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per file of the paths (files or folders): its header, and whether a line break
+    stands within quotes.
 
-    Files are grouped by header, so a year with other columns, or in another order, is read by
-    name. Only the columns an analysis needs are parsed. `multiline` keeps line breaks inside
-    quotes, but makes each file one task; leave it off for files without them, so that a file of
-    many gigabytes is split.
+    One scan of all files as lines, however many there are. A line with an odd number of quotes
+    opens or closes a quotation that goes on in another line.
     """
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(_header(spark, path)), []).append(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
+        "value",
+        (quotes % 2 == 1).alias("odd"),
+    )
+    return lines.groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.max("odd").alias("has_breaks")
+    )
+
+
+def _parsed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All rows of all files by column name; what is broken is in BROKEN."""
+    layouts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for file in file_layouts(spark, paths).collect():  # one row per file
+        header = (file["header"] or "").lstrip("\ufeff").rstrip("\r")
+        names = tuple(next(csv.reader([header]), []))
+        layouts.setdefault((names, file["has_breaks"]), []).append(file["file"])
+    order = write_order(paths)
     parts = []
-    for names, files in by_header.items():
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.csv(
-            files, schema=schema, header=True, escape='"', multiLine=multiline, encoding="UTF-8"
+    for (names, has_breaks), files in layouts.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+        # All cells are looked at, as a record is broken by their number.
+        rows = spark.read.option("columnPruning", "false").csv(
+            files,
+            schema=schema,
+            header=True,
+            escape='"',
+            multiLine=has_breaks,
+            encoding="UTF-8",
+            columnNameOfCorruptRecord=BROKEN,
         )
+        # Spark does not read this column alone, so another one is named beside it.
+        first = F.col(f"`{names[0]}`")
+        broken = F.coalesce(F.col(BROKEN), F.when(first == "\0", first))
         parts.append(
             rows.select(
                 *[
                     (F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c)
                     for c in S.FILING_COLUMNS
-                ]
+                ],
+                broken.alias(BROKEN),
+                order.alias(SEQUENCE),
             )
         )
+    if not parts:
+        columns = [T.StructField(c, T.StringType()) for c in [*S.FILING_COLUMNS, BROKEN]]
+        place = "path int, file string, block bigint, row bigint"
+        return spark.createDataFrame([], T.StructType([*columns, T.StructField(SEQUENCE, T.StructType.fromDDL(place))]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
-    """Landed records, one JSON object per line, plain or gzipped; blank lines give no row.
+def read_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Filing rows of all given files and folders as text columns, with `ingest_seq`.
+
+    Files are grouped by header, so a file with other columns, or in another order, is read by
+    name, also within one folder. Line breaks within quotes are kept: only files that have some are
+    read as a whole, one task each; all others are split. Records that do not fit their header are
+    left out here; `broken_filings` has them.
+    """
+    return _parsed(spark, paths).filter(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Quarantine: the records that `read_filings` leaves out, (file, record)."""
+    return _parsed(spark, paths).filter(F.col(BROKEN).isNotNull()).select(
+        F.col(f"{SEQUENCE}.file").alias("file"), F.col(BROKEN).alias("record")
+    )
+
+
+def read_landed_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Landed records, one JSON object per line, plain or gzipped, with `ingest_seq`.
 
-    Year directories named `directory_year=2023` appear as the column `directory_year`. A gzipped
-    file is one task: land it once as Parquet for repeated reads.
+    Blank lines give no row. Year directories named `directory_year=2023` appear as the column
+    `directory_year`. A gzipped file is one task: land it once as Parquet for repeated reads. Of
+    several paths, the later ones count as written later.
     """
-    return spark.read.schema(S.LANDED).json(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = spark.read.schema(S.LANDED).json(paths)
+    return rows.select("*", write_order(paths).alias(SEQUENCE))
 
 
 def write_landed(landed: DataFrame, path: str) -> None:

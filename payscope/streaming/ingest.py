@@ -1,99 +1,48 @@
 """Continuous loading: new files are matched, typed and written over the payments, batch by batch.
 
-Each micro-batch is one more partition of an append-only log of typed rows, so a repeated batch
-replaces its own partition and changes nothing else. The current table is the newest row per
-record over the log. Quarterly totals are kept the same way, as the change that each batch makes:
-what its new rows add, less what the rows they replace had added before.
+Each micro-batch is one more partition of an append-only log of typed rows. A batch reads and writes
+its own rows and nothing else, so its cost does not grow with what was loaded before; a repeated
+batch replaces its own partition and changes nothing else. The current table is the newest row per
+record over the log, and quarterly totals are an aggregate of it: one pass, when they are asked for.
+`compact` keeps that pass as short as the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from payscope import schemas as S
-from payscope.operators.upsert import KEY, latest, latest_payments
+from payscope.operators.upsert import latest, latest_payments
 
 BATCH = "batch_id"
-_CHANGES = T.StructType(
-    [
-        T.StructField("quarter", T.StringType()),
-        T.StructField("usd", T.DecimalType(38, 2)),
-        T.StructField("payments", T.LongType()),
-        T.StructField(BATCH, T.LongType()),
-    ]
-)
-
-
-def _log_schema(sequence: T.DataType) -> T.StructType:
-    return T.StructType(
-        [*S.PAYMENT.fields, T.StructField("ingest_seq", sequence), T.StructField(BATCH, T.LongType())]
-    )
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+def _write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{table}/log/{BATCH}={batch_id}")
 
 
-def _log(spark: SparkSession, table: str, sequence: T.DataType, before: int | None) -> DataFrame:
-    """The log of all batches, or of those before the given one."""
-    rows = spark.read.schema(_log_schema(sequence)).option("basePath", f"{table}/log").parquet(
-        f"{table}/log"
+def _log(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
+    schema = T.StructType(
+        [*S.PAYMENT.fields, T.StructField("ingest_seq", sequence), T.StructField(BATCH, T.LongType())]
     )
-    return rows if before is None else rows.filter(F.col(BATCH) < before)
+    return spark.read.schema(schema).option("basePath", f"{table}/log").parquet(f"{table}/log")
 
 
 def current(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
     """The payments table as of the last batch: one row per record."""
-    return latest(_log(spark, table, sequence, None)).drop("ingest_seq", BATCH)
-
-
-def quarter_totals(spark: SparkSession, table: str) -> DataFrame:
-    """Dollars and rows of each quarter, from the changes of all batches."""
-    changes = spark.read.schema(_CHANGES).option("basePath", f"{table}/changes").parquet(
-        f"{table}/changes"
-    )
-    return (
-        changes.groupBy("quarter")
-        .agg(F.sum("usd").alias("usd"), F.sum("payments").alias("payment_count"))
-        .filter("payment_count > 0")
-        .select("quarter", F.col("usd").cast("double").alias("total_usd"), "payment_count")
-    )
-
+    return latest(_log(spark, table, sequence)).drop("ingest_seq", BATCH)
 
-def _changes(new: DataFrame, old: DataFrame) -> DataFrame:
-    """What `new` changes in the quarterly totals, where `old` holds the rows stored before.
 
-    Each row of `new` adds its dollars to its quarter and takes those of the row it replaces from
-    that row's quarter. A row that is older than the stored one changes nothing.
-    """
-    stored = old.select(
-        KEY, *[F.col(c).alias(f"old_{c}") for c in ("quarter", "amount_usd", "ingest_seq")]
-    )
-    is_known = F.col("old_amount_usd").isNotNull()
-
-    def entry(quarter: str, usd: Column, payments: int) -> Column:
-        return F.struct(
-            F.col(quarter).alias("quarter"), usd.alias("usd"), F.lit(payments).alias("payments")
-        )
-
-    plus = entry("quarter", F.col("amount_usd"), 1)
-    minus = F.when(is_known, entry("old_quarter", -F.col("old_amount_usd"), -1))
-    return (
-        new.join(stored, KEY, "left")
-        .filter(~is_known | (F.col("ingest_seq") > F.col("old_ingest_seq")))
-        .select(F.explode(F.array(plus, minus)).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .groupBy("e.quarter")
-        .agg(
-            F.sum("e.usd").cast("decimal(38,2)").alias("usd"),
-            F.sum("e.payments").cast("long").alias("payments"),
-        )
-        .filter((F.col("usd") != 0) | (F.col("payments") != 0))
+def quarter_totals(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
+    """Dollars and rows of each quarter, as of the last batch."""
+    newest = latest(_log(spark, table, sequence).select("record_id", "quarter", "amount_usd", "ingest_seq"))
+    return newest.groupBy("quarter").agg(
+        F.sum("amount_usd").cast("double").alias("total_usd"), F.count("*").alias("payment_count")
     )
 
 
@@ -102,14 +51,7 @@ def apply_batch(batch: DataFrame, batch_id: int, table: str) -> None:
 
     A row that is older than the stored one of its record does not replace it.
     """
-    spark = batch.sparkSession
-    sequence = batch.schema["ingest_seq"].dataType
-    newest = latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq")
-    _write_batch(newest, f"{table}/log", batch_id)
-    stored = spark.read.schema(newest.schema).parquet(f"{table}/log/{BATCH}={batch_id}")
-    before = _log(spark, table, sequence, batch_id).drop(BATCH)
-    replaced = latest(before.join(stored.select(KEY), KEY, "left_semi"))
-    _write_batch(_changes(stored, replaced), f"{table}/changes", batch_id)
+    _write_batch(latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq"), table, batch_id)
 
 
 def start_ingest(
@@ -137,7 +79,4 @@ def start_ingest(
 
 def compact(spark: SparkSession, table: str, sequence: T.DataType, target: str) -> None:
     """Write the current table once, as the first batch of a fresh log at `target`."""
-    rows = latest(_log(spark, table, sequence, None).drop(BATCH))
-    _write_batch(rows, f"{target}/log", 0)
-    stored = spark.read.schema(rows.schema).parquet(f"{target}/log/{BATCH}=0")
-    _write_batch(_changes(stored, stored.limit(0)), f"{target}/changes", 0)
+    _write_batch(latest(_log(spark, table, sequence)).drop(BATCH), target, 0)

@@ -43,13 +43,13 @@ def connect(sf_dir):
 
 
 def compare(spark, con, sf_dir, name, function, sql):
-    """None when both agree, else what differs; and both times."""
+    """None when both agree, else what differs; and both times. A query without SQL fails."""
     start = time.time()
     frame = function(spark, sf_dir)
     got = [tuple(r) for r in frame.collect()]
     spark_sec = time.time() - start
     if sql is None:
-        return None, spark_sec, 0.0, len(got)
+        return "no SQL to compare with", spark_sec, 0.0, len(got)
     start = time.time()
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]

@@ -4,10 +4,12 @@ import re
 import pytest
 
 from payscope.functions import numbers as N
+from payscope.functions.arithmetic import STEPS
 from payscope.operators import claims
 
 EVIDENCE = "answer_id string, evidence_id string, position int, payload string"
-DERIVATIONS = "answer_id string, derivation_id string, position int, expression string, result double"
+SHARE = [("/", 1234.56, None, 5000.0, None), ("*", None, 0, 100.0, None)]
+DERIVATIONS = "answer_id string, derivation_id string, position int, " + f"steps {STEPS}, result double"
 
 
 def check(spark, text, payloads=(), derivations=(), mode=claims.AS_WRITTEN):
@@ -67,21 +69,21 @@ def test_last_evidence_of_an_id_wins(spark):
 
 
 @pytest.mark.parametrize(
-    "stated,expression,result,reason",
+    "stated,steps,result,reason",
     [
-        ("24.69%", "1234.56 / 5000 * 100", 24.6912, "matches derivation"),
-        ("30.0%", "1234.56 / 5000 * 100", 30.0, "derivation recomputes differently"),
-        ("30.0%", "1234.56 / 5000 * 100", 24.6912, "derivation gives another number"),
-        ("30.0%", "open('x')", 30.0, "derivation invalid"),
+        ("24.69%", SHARE, 24.6912, "matches derivation"),
+        ("30.0%", SHARE, 30.0, "derivation recomputes differently"),
+        ("30.0%", SHARE, 24.6912, "derivation gives another number"),
+        ("30.0%", [("open", 1.0, None, 2.0, None)], 30.0, "derivation invalid"),
     ],
 )
-def test_derivations(spark, stated, expression, result, reason):
-    rows = check(spark, f"It was {stated} [d] of all.", [], [("d", expression, result)])[2]
+def test_derivations(spark, stated, steps, result, reason):
+    rows = check(spark, f"It was {stated} [d] of all.", [], [("d", steps, result)])[2]
     assert rows == [(stated, "d", reason)]
 
 
 def test_evidence_goes_before_a_derivation_of_the_same_id(spark):
-    assert check(spark, "It was 5 [x].", [("x", 5)], [("x", "1+1", 2.0)])[2] == [("5", "x", GOOD)]
+    assert check(spark, "It was 5 [x].", [("x", 5)], [("x", [("+", 1.0, None, 1.0, None)], 2.0)])[2] == [("5", "x", GOOD)]
 
 
 @pytest.mark.parametrize(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from payscope.functions import calendar as C
 from payscope.functions import numbers as N
-from payscope.functions.arithmetic import value_of
+from payscope.functions.arithmetic import STEPS, recomputed
 from payscope.functions.ratios import guarded_percent
 from payscope.functions.text import evidence_id, series_evidence_id, strip
 
@@ -123,17 +123,34 @@ def test_close_agrees_with_rounding(spark):
         assert is_close == want, (claim, candidate, decimals)
 
 
-@pytest.mark.parametrize(
-    "text,value",
-    [("1234.56 / 5000 * 100", 24.6912), ("(120 - 100) / 100 * 100", 20.0), ("-(2+3)*-4", 20.0),
-     ("2-3-4", -5.0), ("7 % 4 + 1e2", 103.0), ("- -3", 3.0), ("2 * (3 + 4) % 5", 4.0)],
-)
-def test_arithmetic(text, value):
-    assert value_of(text) == pytest.approx(value)
+def number(x):
+    return (x, None)
+
+
+def step(n):
+    return (None, n)
 
 
 @pytest.mark.parametrize(
-    "text", ["2**3", "7//2", "abc", "1 2", "()", "", None, "1/0", "(1", "1)", "f(1)", "1 +", "1,2", "x.y"]
+    "steps,value",
+    [
+        ([("/", number(1234.56), number(5000.0)), ("*", step(0), number(100.0))], 24.6912),
+        ([("-", number(120.0), number(100.0)), ("/", step(0), number(100.0)), ("*", step(1), number(100.0))], 20.0),
+        ([("+", number(2.0), number(3.0)), ("-", number(0.0), step(0)), ("*", step(0), step(1))], -25.0),
+        ([("%", number(7.0), number(4.0))], 3.0),
+        ([("%", number(-7.0), number(4.0))], 1.0),
+        ([("/", number(1.0), number(0.0))], None),
+        ([("%", number(1.0), number(0.0))], None),
+        ([("^", number(2.0), number(3.0))], None),
+        ([("+", number(2.0), number(None))], None),
+        ([("+", step(0), number(1.0))], None),
+        ([("+", number(2.0), step(5))], None),
+        ([("*", number(1e300), number(1e300))], None),
+        ([], None),
+        (None, None),
+    ],
 )
-def test_not_arithmetic(text):
-    assert value_of(text) is None
+def test_derivation_steps(spark, steps, value):
+    rows = None if steps is None else [(op, *left, *right) for op, left, right in steps]
+    frame = spark.createDataFrame([(rows,)], f"steps {STEPS}")
+    assert frame.select(recomputed(F.col("steps"))).first()[0] == pytest.approx(value)

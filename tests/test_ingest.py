@@ -112,6 +112,42 @@ def test_wide_csv_by_name_over_years(spark, tmp_path):
     assert "Other_1" not in rows._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def read_ids(spark, path):
+    rows = files.read_filings(spark, [str(path)])
+    return {r[S.RECORD_ID]: (r[S.RECIPIENT_STATE], r[S.NATURE]) for r in rows.collect()}
+
+
+def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
+    names = [S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE]
+    write_csv(tmp_path / "a.csv", names, [["1", "CA", "Food"]])
+    write_csv(tmp_path / "b.csv", [names[2], names[0], "Other"], [["Travel", "2", "x"]])
+    assert read_ids(spark, tmp_path) == {"1": ("CA", "Food"), "2": (None, "Travel")}
+
+
+def test_line_breaks_within_quotes(spark, tmp_path):
+    names = [S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE]
+    write_csv(tmp_path / "a.csv", names, [["1", "CA", 'Food\nand "more", drinks'], ["2", "NY", "x"]])
+    write_csv(tmp_path / "b.csv", names, [["3", "TX", "y"]])
+    assert read_ids(spark, tmp_path) == {
+        "1": ("CA", 'Food\nand "more", drinks'), "2": ("NY", "x"), "3": ("TX", "y")}
+
+
+def test_broken_records_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{S.RECORD_ID},{S.RECIPIENT_STATE},{S.NATURE}\n1,CA,x\n2,NY\n3,TX,y,z\n")
+    assert read_ids(spark, tmp_path) == {"1": ("CA", "x")}
+    assert sorted(r.record for r in files.broken_filings(spark, [str(tmp_path)]).collect()) == ["2,NY", "3,TX,y,z"]
+
+
+def test_later_paths_and_rows_are_written_later(spark, tmp_path):
+    names = [S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE]
+    write_csv(tmp_path / "z.csv", names, [["1", "old", ""], ["2", "old", ""], ["2", "newer", ""]])
+    write_csv(tmp_path / "a.csv", names, [["1", "newest", ""]])
+    rows = files.read_filings(spark, [str(tmp_path / "z.csv"), str(tmp_path / "a.csv")])
+    assert rows.select("ingest_seq").distinct().count() == rows.count() == 4
+    kept = upsert.latest(rows, S.RECORD_ID)
+    assert {r[S.RECORD_ID]: r[S.RECIPIENT_STATE] for r in kept.collect()} == {"1": "newest", "2": "newer"}
+
+
 def test_landing_and_gzip_json(spark, tmp_path):
     year = tmp_path / "in" / "directory_year=2023"
     os.makedirs(year)
@@ -121,6 +157,7 @@ def test_landing_and_gzip_json(spark, tmp_path):
     rows = files.read_landed_json(spark, str(tmp_path / "in"))
     assert sorted(r.record_id for r in typing.good_rows(rows).collect()) == ["a", "b"]
     target = str(tmp_path / "out")
+    rows = rows.drop("ingest_seq")
     files.write_landed(rows.drop("directory_year"), target)
     files.write_landed(landed(spark, {"record_id": "c", "program_year": "2024"}).drop("ingest_seq"), target)
     files.write_landed(rows.drop("directory_year").filter("record_id = 'a'"), target)
@@ -190,18 +227,30 @@ def test_stream_equals_batch_and_restarts(spark):
     table = f"{base}/table"
     assert amounts(ingest.current(spark, table, sequence)) == amounts(want)
     by_quarter = rollups.dollars_per_quarter(want).collect()
-    got = totals(ingest.quarter_totals(spark, table))
+    got = totals(ingest.quarter_totals(spark, table, sequence))
     assert {r.quarter: pytest.approx(r.total_usd) for r in by_quarter} == {q: v[0] for q, v in got.items() if q}
     assert sum(v[1] for v in got.values()) == want.count()
 
     # The last batch once more, as after a lost commit: nothing changes.
     newest = max(int(p.split("=")[1]) for p in os.listdir(f"{table}/log") if p.startswith("batch_id="))
     ingest.apply_batch(landed(spark, *rows[:10]), newest, table)
-    assert totals(ingest.quarter_totals(spark, table)) == got
+    assert totals(ingest.quarter_totals(spark, table, sequence)) == got
 
     ingest.compact(spark, table, sequence, f"{base}/compacted")
     assert amounts(ingest.current(spark, f"{base}/compacted", sequence)) == amounts(want)
-    assert totals(ingest.quarter_totals(spark, f"{base}/compacted")) == got
+    assert totals(ingest.quarter_totals(spark, f"{base}/compacted", sequence)) == got
+
+
+def test_a_batch_reads_only_itself(spark):
+    base = scratch_dir(spark, "test-batches")
+    table = f"{base}/table"
+    for n in range(3):
+        ingest.apply_batch(landed(spark, {"record_id": f"r{n}", "ingest_seq": n}), n, table)
+    # Earlier batches can be out of reach: the next one is written all the same.
+    os.rename(f"{table}/log/batch_id=0", f"{base}/away")
+    ingest.apply_batch(landed(spark, {"record_id": "r9", "ingest_seq": 9}), 3, table)
+    sequence = landed(spark).schema["ingest_seq"].dataType
+    assert sorted(amounts(ingest.current(spark, table, sequence))) == ["r1", "r2", "r9"]
 
 
 def test_filings_as_a_stream(spark):
