@@ -171,6 +171,15 @@ def rollup(scored: DataFrame, run: str, recorded: float = 8.0, tolerance: float
     )
 
 
+def run_record(
+    scored: DataFrame, run: str, latency: str = "latency_ms", recorded: float = 8.0, tolerance: float = 0.0
+) -> DataFrame:
+    """The record of each run: `rollup` with p50, p95 and sum of the latencies."""
+    took = scored.groupBy(run).agg(F.sum(F.col(latency).cast("double")).alias("duration_ms"))
+    percentiles = latency_percentiles(scored, run, latency)
+    return rollup(scored, run, recorded, tolerance).join(took, run).join(percentiles, run, "left")
+
+
 def report_lines(scored: DataFrame, row_id: str = "id") -> DataFrame:
     return scored.select(row_id, F.concat_ws(" ", F.col(row_id), "status").alias("line"))
 

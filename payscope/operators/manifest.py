@@ -88,15 +88,33 @@ def top_other_payers(landed: DataFrame, dictionary: ProductDictionary, n: int =
     )
 
 
-def manifest_rows(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame:
-    """The scalar part of a manifest for each year that was scanned to its end, in one pass."""
+def manifest_rows(
+    filings: DataFrame, dictionary: ProductDictionary, failed: DataFrame | None = None
+) -> DataFrame:
+    """The scalar part of a manifest for each year, in one pass over the filings.
+
+    `failed` (year, error) names the years whose pull broke off: what was scanned of them is
+    counted, but they are not complete, and the gate keeps them out. A failed year without any row
+    has a manifest, too.
+    """
     is_match = mentions_any(dictionary)
     is_other = is_match & is_other_payer(dictionary.manufacturers_of_record, S.PAYER)
     share = F.try_divide(F.lit(100.0) * F.count_if(is_other), F.count_if(is_match))
-    return filings.groupBy(F.col(S.PROGRAM_YEAR).try_cast("int").alias("year")).agg(
+    scanned = filings.groupBy(F.col(S.PROGRAM_YEAR).try_cast("int").alias("year")).agg(
         F.count("*").alias("rows_scanned"),
         F.count_if(is_match).alias("rows_matched"),
         F.coalesce(F.round(share, 2), F.lit(0.0)).alias("non_manufacturer_of_record_share_pct"),
-        F.lit(True).alias("complete"),
-        F.lit(None).cast("string").alias("error"),
+    )
+    if failed is None:
+        return scanned.select("*", F.lit(True).alias("complete"), F.lit(None).cast("string").alias("error"))
+    errors = failed.groupBy("year").agg(F.min("error").alias("error"), F.lit(True).alias("broke_off"))
+    return scanned.join(errors, "year", "full_outer").select(
+        "year",
+        F.coalesce("rows_scanned", F.lit(0)).alias("rows_scanned"),
+        F.coalesce("rows_matched", F.lit(0)).alias("rows_matched"),
+        F.coalesce("non_manufacturer_of_record_share_pct", F.lit(0.0)).alias(
+            "non_manufacturer_of_record_share_pct"
+        ),
+        F.col("broke_off").isNull().alias("complete"),
+        "error",
     )

@@ -746,6 +746,22 @@ FROM fx_landed GROUP BY ALL
 """,
         "fx_landed",
     ),
+    "manifest_failures": query(
+        """
+SELECT CAST(coalesce(s.year, f.year) AS INTEGER) AS year, coalesce(rows_scanned, 0) AS rows_scanned,
+       coalesce(rows_matched, 0) AS rows_matched, f.year IS NULL AS complete,
+       CASE WHEN f.year IS NOT NULL THEN 'connection reset' END AS error
+FROM (
+    SELECT CAST(f.program_year AS INTEGER) AS year, count(*) AS rows_scanned, count(l.record_id) AS rows_matched
+    FROM fx_filings f LEFT JOIN fx_landed l USING (record_id) GROUP BY 1
+) s
+FULL JOIN (
+    SELECT DISTINCT year + plus AS year FROM fx_years, unnest([0, 2]) AS p(plus) WHERE (year + plus) % 3 = 0
+) f ON s.year = f.year
+""",
+        "fx_landed",
+        "fx_years",
+    ),
     "manifest_rows": query(
         f"""
 SELECT CAST(f.program_year AS INTEGER) AS year, count(*) AS rows_scanned,
@@ -1212,6 +1228,20 @@ SELECT CAST(run_id AS BIGINT) AS run_id, count(*) AS n, CAST(count(*) FILTER (WH
        CAST(1.0 AS DOUBLE) AS recorded, count(*) FILTER (WHERE status = 'ERR') AS errors,
        count(*) FILTER (WHERE correct) = 1 AS match
 FROM fx_canary GROUP BY 1
+""",
+        "fx_canary",
+    ),
+    "canary_record": query(
+        """
+SELECT CAST(run_id AS BIGINT) AS run_id, len(vs) AS n, observed, CAST(1.0 AS DOUBLE) AS recorded, errors,
+       observed = 1 AS match, list_sum(vs) AS duration_ms, vs[len(vs) // 2 + 1] AS p50_ms,
+       vs[CAST(least(len(vs) - 1, greatest(0, round_even(len(vs) * CAST(0.95 AS DOUBLE) - 0.5, 0))) AS BIGINT) + 1] AS p95_ms
+FROM (
+    SELECT run_id, CAST(count(*) FILTER (WHERE correct) AS DOUBLE) AS observed,
+           count(*) FILTER (WHERE status = 'ERR') AS errors, list(ms ORDER BY ms) AS vs
+    FROM (SELECT *, CAST(CAST(id[3:] AS BIGINT) * 37 % 1000 AS DOUBLE) / 4.0 - 20 AS ms FROM fx_canary)
+    GROUP BY 1
+)
 """,
         "fx_canary",
     ),

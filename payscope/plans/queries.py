@@ -27,7 +27,7 @@ from payscope.operators import (
     upsert,
 )
 from payscope.plans import testbed as tb
-from payscope.session import scratch_dir
+from payscope.session import scratch_dir, stored
 from payscope.sources import filings as filing_files
 from payscope.sources import traces as trace_files
 from payscope.streaming import ingest
@@ -253,6 +253,15 @@ def manifest_rows(spark, d):
     return manifest.manifest_rows(tb.filings(spark, d), tb.PRODUCTS).drop("error")
 
 
+@_query
+def manifest_failures(spark, d):
+    """Manifests when the pulls of some years broke off, one of them before its first row."""
+    years = tb.requested_years(spark, d).filter(F.col("year") % 3 == 0)
+    failed = years.select(F.col("year").cast("int").alias("year"), F.lit("connection reset").alias("error"))
+    made = manifest.manifest_rows(tb.filings(spark, d), tb.PRODUCTS, failed)
+    return made.select("year", "rows_scanned", "rows_matched", "complete", "error")
+
+
 @_query
 def non_record_share(spark, d):
     return manifest.other_payer_share(tb.landed(spark, d), tb.PRODUCTS)
@@ -359,6 +368,11 @@ def year_count(spark, d):
     return rollups.year_count(tb.payments(spark, d), 1998)
 
 
+def _register_views(spark: SparkSession, d: str) -> None:
+    """Views over payments that are typed and stored once, as user queries find them."""
+    rollups.register_views(stored(tb.payments(spark, d), "payments"))
+
+
 USER_CTE = """
 WITH per_product AS (
     SELECT product_generic, program_year, SUM(amount_usd) AS usd,
@@ -380,13 +394,13 @@ GROUP BY p.product_generic, p.program_year, p.n, p.urgent, p.usd, p.first_day
 
 @_query
 def user_select_cte(spark, d):
-    rollups.register_views(tb.payments(spark, d))
+    _register_views(spark, d)
     return spark.sql(USER_CTE).withColumn("state_usd", F.round("state_usd", 2))
 
 
 @_query
 def user_union(spark, d):
-    rollups.register_views(tb.payments(spark, d))
+    _register_views(spark, d)
     return spark.sql(
         "SELECT physician_state AS name, payment_count FROM q_by_state WHERE quarter = '1997Q1' "
         "UNION ALL SELECT physician_specialty, payment_count FROM q_by_specialty "
@@ -396,7 +410,7 @@ def user_union(spark, d):
 
 @_query
 def capped_select(spark, d):
-    rollups.register_views(tb.payments(spark, d))
+    _register_views(spark, d)
     rows = spark.sql(
         "SELECT record_id, CAST(amount_usd AS DOUBLE) AS amount_usd FROM payments "
         "ORDER BY amount_usd DESC, record_id"
@@ -808,6 +822,12 @@ def canary_latency(spark, d):
     return canary.latency_percentiles(events, "event_type", "value")
 
 
+@_query
+def canary_record(spark, d):
+    """The record of each run, with latencies and duration."""
+    return canary.run_record(_canary(spark, d), "run_id", recorded=1.0)
+
+
 @_query
 def case_cover(spark, d):
     k = F.substring("id", 3, 20).cast("long")

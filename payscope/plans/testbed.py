@@ -543,31 +543,32 @@ def canary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<double>"))
         .alias("gold_numbers"),
         F.when(k % 23 == 0, "timeout").alias("error"),
+        ((k * 37 % 1000) / 4.0 - 20).alias("latency_ms"),
     )
 
 
 # --- query log ----------------------------------------------------------------------------------
 
 SQL_TEXTS = [
-    "SELECT COUNT(*) FROM payments",
-    "SELECT physician_state, SUM(amount_usd) FROM payments GROUP BY physician_state LIMIT 10;",
-    "  ",
-    "DROP TABLE payments",
-    "SELECT 1; DELETE FROM payments",
-    "SELECT * FROM pg_shadow",
-    "SELECT p.product FROM payments p JOIN q_totals q ON p.product = q.product",
-    "SELECT p.product FROM payments p join users u ON true",
-    "select * from Q_BY_STATE limit 5",
-    "WITH t AS (SELECT 1) SELECT * FROM t",
-    "SELECT 1",
-    "SELECT * FROM payments -- all of it",
-    "SELECT * FROM payments /* all */",
-    "SELECT update_time, 'x' FROM payments WHERE note = 'update'",
-    "SELECT SUM(x) FILTER (WHERE y = 'z') / NULLIF(SUM(x), 0) FROM payments;;",
-    "UPDATE payments SET amount_usd = 0",
-    "SELECT created FROM q_by_specialty ; ",
-    "SELECT * FROM payments WHERE product = 'a;b'",
-    "EXPLAIN SELECT * FROM payments",
+    "SELECT max(amount_usd) FROM payments",
+    "SELECT quarter, avg(total_usd) FROM q_by_state GROUP BY quarter ORDER BY 2 LIMIT 7;",
+    "\t ",
+    "TRUNCATE q_totals",
+    "SELECT 2; INSERT INTO payments VALUES (1)",
+    "SELECT owner FROM information_schema_tables",
+    "SELECT a.quarter FROM q_totals a JOIN q_by_state b ON a.quarter = b.quarter",
+    "SELECT a.quarter FROM q_totals a join suppliers s ON true",
+    "select payment_count from Q_BY_SPECIALTY limit 12",
+    "WITH best AS (SELECT 3) SELECT * FROM best",
+    "SELECT 40 + 2",
+    "SELECT product FROM payments -- remarks are refused",
+    "SELECT product /* here as well */ FROM payments",
+    "SELECT merged, 'y' FROM payments WHERE remark = 'please merge'",
+    "SELECT count(*) FILTER (WHERE quarter >= '1995Q1') FROM q_totals;;",
+    "ALTER TABLE payments ADD COLUMN z INT",
+    "SELECT dropped FROM q_by_specialty ; ",
+    "SELECT product FROM payments WHERE manufacturer = 'one;two'",
+    "DESCRIBE payments",
 ]
 
 

@@ -57,42 +57,43 @@ def test_guarded_percent(spark):
     assert tuple(row) == (33.33, None, None)
 
 
-def walk(payload):
-    """Every number of a JSON value, the slow way."""
-    import re
-
-    if isinstance(payload, bool) or payload is None:
-        return []
-    if isinstance(payload, (int, float)):
-        return [float(payload)]
-    if isinstance(payload, str):
-        raws = [m.group(0) for m in re.finditer(N.NUMBER, payload)]
-        raws = [r for r in raws if not re.match(r"^(?:19|20)\d\d%?$", r)]
-        return [float(re.sub("[$,%]", "", r)) for r in raws]
-    inner = payload.values() if isinstance(payload, dict) else payload
-    return [n for value in inner for n in walk(value)]
+#: Texts with the numbers that they hold; years are none.
+TEXTS = {
+    'a "quoted" $1,234.5 \\ 7': [1234.5, 7.0],
+    "line\n5": [5.0],
+    "in 2023 12%": [12.0],
+    'back\\"9': [9.0],
+    "\\": [],
+    '"': [],
+    "{3: [4]}": [3.0, 4.0],
+    "": [],
+}
 
 
 def test_leaves_of_any_json(spark):
+    """Documents are made together with the numbers that must be found in them, in order."""
     rng = random.Random(7)
-    texts = ['a "quoted" $1,234.5 \\ 7', "line\n5", "GLP-1 2023 12%", 'back\\"9', "\\", '"', "{3: [4]}", ""]
-
-    def value(depth):
-        kind = rng.randrange(7 if depth < 6 else 4)
-        if kind == 0:
-            return rng.choice([True, False, None])
-        if kind == 1:
-            return rng.choice([0, -5, 3.25, 1e-7, 2023, 12345678901])
-        if kind in (2, 3):
-            return rng.choice(texts)
-        if kind == 4:
-            return [value(depth + 1) for _ in range(rng.randrange(4))]
-        return {rng.choice(["k", 'q"7', "b\\8", "n: 9"]): value(depth + 1) for _ in range(3)}
-
-    payloads = [value(0) for _ in range(150)] + [{"a": {"b": [{"c": {"d": [[{"e": 1.5}]]}}]}}]
+    payloads, wanted = [{"a": {"b": [{"c": {"d": [[{"e": 1.5}]]}}]}}], [[1.5]]
+    for _ in range(150):
+        # Leaves first; then neighbours are wrapped up, again and again, until one value is left.
+        nodes = []
+        for _ in range(rng.randrange(1, 12)):
+            text = rng.choice(list(TEXTS))
+            flag = rng.choice([True, False, None])
+            plain = rng.choice([0, -5, 3.25, 1e-7, 2023, 12345678901])
+            nodes.append(rng.choice([(text, TEXTS[text]), (flag, []), (plain, [float(plain)])]))
+        while len(nodes) > 1 or not isinstance(nodes[0][0], (list, dict)):
+            at, n = rng.randrange(len(nodes)), rng.randrange(1, 4)
+            taken = nodes[at : at + n]
+            values = [v for v, _ in taken]
+            names = ['q"7', "b\\8", "n: 9"]  # numbers in names do not count
+            whole = values if rng.random() < 0.5 else dict(zip(names, values))
+            nodes[at : at + n] = [(whole, [x for _, found in taken for x in found])]
+        payloads.append(nodes[0][0])
+        wanted.append(nodes[0][1])
     got = column(spark, [json.dumps(p) for p in payloads], N.numeric_leaves)
-    for payload, leaves in zip(payloads, got):
-        assert leaves == walk(payload), payload
+    for payload, leaves, want in zip(payloads, got, wanted):
+        assert leaves == want, payload
 
 
 def test_long_texts_do_not_overflow(spark):
