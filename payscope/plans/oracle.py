@@ -1280,3 +1280,27 @@ for _mode, _source in (("", "fx_cited"), ("_once", "fx_cited_once"), ("_strict",
     ORACLE[f"claims_attribution{_mode}"] = query(
         f"SELECT answer_id, raw, value, cited_id FROM {_source}", _source
     )
+
+ORACLE |= {
+    "manifest_files": query(
+        """
+SELECT CAST(f.program_year AS INTEGER) AS year, count(*) AS rows_scanned, count(l.record_id) AS rows_matched,
+       true AS complete
+FROM fx_filings f LEFT JOIN fx_landed l USING (record_id) GROUP BY 1
+""",
+        "fx_landed",
+    ),
+    "catalog_file": ORACLE["catalog_gate"],
+    "size_files": query("SELECT CAST(year AS INTEGER) AS year, CAST(bytes + 1 AS BIGINT) AS stored_bytes FROM fx_years", "fx_years"),
+    "dictionary_file": query("SELECT record_id, product, product_generic FROM fx_landed", "fx_landed"),
+    "user_functions": query(
+        """
+SELECT CAST(date_trunc('year', payment_date) AS DATE) AS first_day, upper(nature_of_payment) AS nature,
+       round(avg(CAST(amount_usd AS DOUBLE)), 2) AS avg_usd, CAST(max(amount_usd) AS DOUBLE) AS max_usd,
+       CAST(abs(min(amount_usd) - max(amount_usd)) AS DOUBLE) AS span_usd
+FROM fx_payments WHERE payment_date IS NOT NULL GROUP BY 1, 2
+""",
+        "fx_payments",
+    ),
+    "case_files": ORACLE["trace_read"],
+}

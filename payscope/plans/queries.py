@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ from payscope.plans import testbed as tb
 from payscope.session import scratch_dir, stored
 from payscope.sources import filings as filing_files
 from payscope.sources import traces as trace_files
+from payscope.sources.dictionary import load_dictionary
+from payscope.sources.storage import stored_sizes
 from payscope.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,6 +265,57 @@ def manifest_failures(spark, d):
     return made.select("year", "rows_scanned", "rows_matched", "complete", "error")
 
 
+@_query
+def manifest_files(spark, d):
+    """Manifests as files, one JSON document each, read back for the gate."""
+    path = scratch_dir(spark, "manifests")
+    made = manifest.manifest_rows(tb.filings(spark, d), tb.PRODUCTS).withColumn("of", F.col("year"))
+    made.repartition("of").write.partitionBy("of").json(path)
+    return filing_files.read_manifests(spark, path).select("year", "rows_scanned", "rows_matched", "complete")
+
+
+@_query
+def catalog_file(spark, d):
+    """The catalog as one JSON list, read back for the gate."""
+    path = scratch_dir(spark, "catalog")
+    download = F.when(F.col("download_url").isNotNull(), F.array(F.struct(F.col("download_url").alias("downloadURL"))))
+    item = F.to_json(F.struct("title", "identifier", "modified", download.alias("distribution")))
+    # A few data sets per year: one document.
+    listed = F.sort_array(F.collect_list(F.struct("position", "title", item.alias("item"))))["item"]
+    document = tb.catalog(spark, d).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("value"))
+    document.coalesce(1).write.text(path)
+    return gating.catalog_gate(tb.requested_years(spark, d), filing_files.read_catalog(spark, path))
+
+
+@_query
+def size_files(spark, d):
+    """Sizes of stored files, taken from the file system."""
+    path = scratch_dir(spark, "sizes")
+    years = tb.manifests(spark, d).select("year", F.expr("repeat('x', CAST(bytes AS INT))").alias("value"))
+    years.repartition("year").write.partitionBy("year").text(path)
+    sizes = stored_sizes(spark, path, key_depth=2).filter(F.col("key").startswith("year="))
+    year = F.regexp_extract("key", r"year=(\d+)/", 1).cast("int").alias("year")
+    return sizes.groupBy(year).agg(F.sum("stored_bytes").alias("stored_bytes"))
+
+
+@_query
+def dictionary_file(spark, d):
+    """The product dictionary as a file, read back and matched."""
+    path = scratch_dir(spark, "dictionary")
+    p = tb.PRODUCTS
+    document = json.dumps(
+        {
+            "generic_names": list(p.generic_names),
+            "brand_names": list(p.brand_names),
+            "brand_to_generic": dict(p.brand_to_generic),
+            "manufacturers_of_record": list(p.manufacturers_of_record),
+        }
+    )
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.text(path)
+    words = load_dictionary(spark, path)
+    return matching.land(tb.filings(spark, d), words, tb.dataset_name()).select("record_id", "product", "product_generic")
+
+
 @_query
 def non_record_share(spark, d):
     return manifest.other_payer_share(tb.landed(spark, d), tb.PRODUCTS)
@@ -398,6 +452,17 @@ def user_select_cte(spark, d):
     return spark.sql(USER_CTE).withColumn("state_usd", F.round("state_usd", 2))
 
 
+@_query
+def user_functions(spark, d):
+    _register_views(spark, d)
+    return spark.sql(
+        "SELECT CAST(date_trunc('year', payment_date) AS DATE) AS first_day, upper(nature_of_payment) AS nature, "
+        "round(avg(CAST(amount_usd AS DOUBLE)), 2) AS avg_usd, CAST(max(amount_usd) AS DOUBLE) AS max_usd, "
+        "CAST(abs(min(amount_usd) - max(amount_usd)) AS DOUBLE) AS span_usd "
+        "FROM payments WHERE payment_date IS NOT NULL GROUP BY 1, 2"
+    )
+
+
 @_query
 def user_union(spark, d):
     _register_views(spark, d)
@@ -748,6 +813,20 @@ def eval_scores(spark, d):
     return _scores(spark, d)
 
 
+@_query
+def case_files(spark, d):
+    """Cases stored as JSON files and read back for the scores."""
+    path = scratch_dir(spark, "cases")
+    cases = tb.cases(spark, d)
+    listed = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*cases.columns))), ","), F.lit("]"))
+    # One file per thousand cases or so, each a JSON list.
+    files = cases.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("file")).agg(listed.alias("value"))
+    files.write.partitionBy("file").text(path)
+    return scoring.score(trace_files.read_cases(spark, path).drop("file"), tb.traces(spark, d)).select(
+        "id", "passed", "latency_ms", "calls"
+    )
+
+
 @_query
 def eval_summary(spark, d):
     return scoring.summary(_scores(spark, d)).drop("total_cost_usd")
