@@ -19,6 +19,7 @@ HEADLINE = [
     "filings_match",
     "filings_canonical",
     "coerce_good",
+    "csv_filings",
     "manifest_rows",
     "manifest_counts",
     "upsert_latest",
@@ -27,10 +28,13 @@ HEADLINE = [
     "q_by_specialty",
     "fact_top_specialty",
     "fact_share",
+    "user_union",
     "querylog_screen",
     "series_grouping_sets",
     "naive_holdout",
+    "hw_forecast",
     "model_choice",
+    "forecast_run",
     "did_estimate",
     "claims_numbers",
     "claims_verdicts",
@@ -38,6 +42,7 @@ HEADLINE = [
     "eval_scores",
     "canary_scores",
     "canary_latency",
+    "stream_upsert",
     "stream_quarter_totals",
 ]
 
