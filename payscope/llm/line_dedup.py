@@ -191,17 +191,18 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """The documents with their later copies of repeated runs deleted, and how many lines went."""
     plan = deletions(docs, min_words).select(
-        F.col("_ha").alias("_pa"), F.col("_hb").alias("_pb"), F.col("_id").alias("_first"), "copies", "spans"
+        F.col("_ha").alias("_pa"), F.col("_hb").alias("_pb"), F.col("_id").alias("_first"),
+        F.col("copies").alias("_copies"), F.col("spans").alias("_spans")
     )
     ha, hb = _key(F.col("text"))
     joined = docs.join(plan, (ha == F.col("_pa")) & (hb == F.col("_pb")), "left")
     lines = F.split("text", "\n")
-    is_copy = F.col("copies") & (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) > F.col("_first"))
+    is_copy = F.col("_copies") & (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) > F.col("_first"))
     kept = F.when(is_copy, F.filter(lines, lambda x: _word_count(x) == 0)).when(
-        F.col("spans").isNotNull(),
+        F.col("_spans").isNotNull(),
         F.filter(
             lines,
-            lambda x, no: ~F.exists("spans", lambda s: no.between(s["first"], s["last"])) | (_word_count(x) == 0),
+            lambda x, no: ~F.exists("_spans", lambda s: no.between(s["first"], s["last"])) | (_word_count(x) == 0),
         ),
     )
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]

@@ -30,6 +30,7 @@ from payscope.llm.common import by_batch, texts
 from payscope.llm.features import BLOCKS, TERMS, Terms
 
 BLOCK_WEIGHTS = (0.3, 1.0, 0.7)
+SALTS = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,11 +49,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     )
     # Labels may be there for documents that are not: those are left out before the choice.
     present = agreed.join(docs.select("doc_id"), F.col("labelled") == F.col("doc_id"), "left_semi")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("labelled"), "labelled")
-    chosen = present.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
+    # Cut within salted parts first, so that the last cut sees SALTS * per_label rows at most.
+    hashed = present.withColumn("order", F.xxhash64("labelled"))
+    hashed = hashed.withColumn("salt", F.pmod("order", F.lit(SALTS)))
+    chosen = hashed
+    for part in (["label", "salt"], ["label"]):
+        order = Window.partitionBy(*part).orderBy("order", "labelled")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
     return (
         texts(docs)
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))  # at most 2 * per_label rows
+        .join(F.broadcast(chosen.select("labelled", "label")), F.col("doc_id") == F.col("labelled"))  # at most 2 * per_label rows
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )

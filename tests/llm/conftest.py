@@ -35,7 +35,11 @@ ODD = [
     (8, "one", "fr", "d", 9, 0.0, "x", 1),
     (-9, "éß ü 😀 " + prose(6, 30), "fr", "d", 9, 0.0, "x", 1),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, size long"
+ODD = [(*row, "x", None, 1) for row in ODD]
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, score double, label string, size long, "
+    "spans string, copies long, root long"
+)
 
 
 @pytest.fixture(scope="module")
