@@ -1303,4 +1303,27 @@ FROM fx_payments WHERE payment_date IS NOT NULL GROUP BY 1, 2
         "fx_payments",
     ),
     "case_files": ORACLE["trace_read"],
+    "canary_questions": query(
+        """
+SELECT id, CAST(len(g) AS BIGINT) AS n_gold, round(g[1], 2) AS gold, id NOT IN ('all', 'state') AS correct,
+       CASE WHEN id IN ('all', 'state') THEN 'MISS' ELSE 'OK' END AS status
+FROM (
+    SELECT unnest([
+        {'id': 'years', 'g': [sum(usd) FILTER (WHERE program_year BETWEEN 1995 AND 1999)]},
+        {'id': 'all', 'g': [sum(usd)]},
+        {'id': 'quarter', 'g': [sum(usd) FILTER (WHERE quarter = '1997Q1')]},
+        {'id': 'specialty', 'g': [(SELECT sum(CAST(amount_usd AS DOUBLE)) AS t FROM fx_payments WHERE physician_specialty IS NOT NULL
+                                   GROUP BY physician_specialty ORDER BY t DESC LIMIT 1)]},
+        {'id': 'state', 'g': [(SELECT sum(CAST(amount_usd AS DOUBLE)) AS t FROM fx_payments WHERE physician_state IS NOT NULL
+                               GROUP BY physician_state ORDER BY t DESC LIMIT 1)]},
+        {'id': 'share', 'g': [round(100.0 * sum(usd) FILTER (WHERE nature_of_payment = '1-URGENT') / sum(usd), 2)]},
+        {'id': 'count', 'g': [CAST(count(*) FILTER (WHERE program_year = 1998) AS DOUBLE)]},
+        {'id': 'generics', 'g': list_sort([sum(usd) FILTER (WHERE product_generic = 'red ring'),
+                                           sum(usd) FILTER (WHERE product_generic = 'hot gizmo')])}
+    ], recursive := true)
+    FROM (SELECT *, CAST(amount_usd AS DOUBLE) AS usd FROM fx_payments)
+)
+""",
+        "fx_payments",
+    ),
 }

@@ -873,6 +873,47 @@ def canary_gold(spark, d):
     ).withColumn("nth", F.col("nth").cast("long"))
 
 
+@_query
+def canary_questions(spark, d):
+    """Eight questions end to end: gold from the payments, recorded answers (two of them wrong), scores."""
+    rows = stored(tb.payments(spark, d), "payments")
+    urgent = F.col("nature_of_payment") == "1-URGENT"
+    facts = {
+        "years": rollups.total_dollars(rows, 1995, 1999),
+        "all": rollups.total_dollars(rows),
+        "quarter": rollups.total_dollars(rows.filter(F.col("quarter") == "1997Q1")),
+        "specialty": rollups.top_group(rows, "physician_specialty"),
+        "state": rollups.top_group(rows, "physician_state"),
+        "share": rollups.share_of(rows, urgent, "pct"),
+        "count": rollups.year_count(rows, 1998),
+        "generics": rollups.compare_groups(rows, "product_generic", ["red ring", "hot gizmo"]),
+    }
+    gold = None
+    for name, fact in facts.items():
+        numbers = canary.gold_numbers(fact.withColumn("id", F.lit(name)), "id")
+        gold = numbers if gold is None else gold.unionByName(numbers)
+    # At most two rows per question.
+    gold = gold.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("gold_numbers"))).alias("gold_numbers"))
+    stated = F.get("gold_numbers", F.lit(0)) * F.when(F.col("id").isin("all", "state"), 2).otherwise(1)
+    answers = gold.select(
+        "id",
+        "gold_numbers",
+        F.concat(F.lit("It comes to "), F.format_number(stated, 2), F.lit(" [q].")).alias("answer"),
+        F.lit(True).alias("accepted"),
+        F.array().cast("array<string>").alias("unverified"),
+        F.lit(None).cast("string").alias("sql"),
+        F.array().cast("array<string>").alias("expected_columns"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return canary.score_rows(answers).select(
+        "id",
+        F.size("gold_numbers").cast("long").alias("n_gold"),
+        F.round(F.get("gold_numbers", F.lit(0)), 2).alias("gold"),
+        "correct",
+        "status",
+    )
+
+
 def _canary(spark, d):
     return canary.score_rows(tb.canary_rows(spark, d))
 
