@@ -61,7 +61,7 @@ class Terms:
         numbers = np.fromiter(map(self.hashed, words), np.int32, len(words))
         term, count = np.unique(numbers, return_counts=True)
         shape = np.frombuffer(text.translate(_CLASS), np.uint8).astype(np.int32)
-        triples = np.bincount(shape[:-2] * 256 + shape[1:-1] * 16 + shape[2:], minlength=1) if len(shape) > 2 else np.zeros(1, np.int64)
+        triples = np.bincount(shape[:-2] * CLASSES**2 + shape[1:-1] * CLASSES + shape[2:], minlength=1)
         seen = np.flatnonzero(triples)
         # Shares, not counts: how often a word follows itself, how many words are new, how
         # long they are; each as one of four steps.

@@ -171,7 +171,8 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
     reps = staged(distinct_texts(docs), "texts")
     lines = staged(sequence(reps), "line-ids")
     later = repeated_later(lines, min_words)
-    gone = later.select(*DOC, F.explode(F.sequence("n", (F.col("n") + F.col("m") - 1).cast("int"))).alias("n")).distinct()
+    places = F.sequence("n", (F.col("n") + F.col("m") - 1).cast("int"))
+    gone = later.select(*DOC, F.explode(places).alias("n")).distinct()
     numbered = gone.join(lines.select(*DOC, "n", "no"), [*DOC, "n"])
     by_place = Window.partitionBy(*DOC).orderBy("n")
     spans = (
@@ -211,7 +212,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     n_chars = [F.length("_text").cast(t).alias(c) for c, t in docs.dtypes if c == "n_chars"]
     return (
         joined.withColumn("_kept", kept)
-        .select(*columns, text.alias("_text"), deleted.alias("_deleted"), *[F.col(c) for c in docs.columns if c == "n_chars"])
+        .select(*columns, text.alias("_text"), deleted.alias("_deleted"))
         .select(*columns, F.col("_text").alias("text"), *n_chars, "_deleted")
     )
 

@@ -173,9 +173,12 @@ def each_with_next(docs: DataFrame, make: Callable[[], Callable], ddl: str) -> D
 
     # The number of bounds below the id, by halving; ranges are numbered from the highest ids down.
     def further(low, step):
-        return F.when(F.coalesce(F.get(listed, low + step - 1) < F.col("doc_id"), F.lit(False)), low + step).otherwise(low)
+        is_below = F.coalesce(F.get(listed, low + step - 1) < F.col("doc_id"), F.lit(False))
+        return F.when(is_below, low + step).otherwise(low)
 
-    below = F.aggregate(F.array(*[F.lit(s) for s in steps]).cast("array<int>"), F.lit(0), further) if bounds else F.lit(0)
+    below = F.lit(0)
+    if bounds:
+        below = F.aggregate(F.array(*[F.lit(s) for s in steps]).cast("array<int>"), below, further)
     ranged = docs.withColumn("part", F.lit(len(bounds)) - below).withColumn("guest", F.lit(0))
 
     heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"), F.max(F.lit(1)).alias("any"))

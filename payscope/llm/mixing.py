@@ -60,10 +60,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     level = left / (F.sum("weight").over(every) - passed)
     # It rises up to the first source that stays below its cap and falls after it.
     fits = F.col("level") * F.col("weight") <= F.col("cap")
+    target = F.coalesce(F.least("cap", F.col("shared") * F.col("weight")), F.col("cap"))
     return (
         weighed.withColumn("level", level)
         .withColumn("shared", F.max(F.when(fits, F.col("level"))).over(every))
-        .select("source", "source_size", F.coalesce(F.least("cap", F.col("shared") * F.col("weight")), F.col("cap")).alias("target"))
+        .select("source", "source_size", target.alias("target"))
     )
 
 
@@ -85,7 +86,8 @@ def sample(documents: DataFrame, shares: DataFrame) -> DataFrame:
     )
     cell = ["source", "bits", "lead", "salt"]
     counts = celled.groupBy(*cell).agg(F.count("*").alias("n"))
-    expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(F.lit(UNIT)).cast("long")
+    share = F.col("target") / F.col("source_size")
+    expected = F.when(F.col("source_size") > 0, F.floor(share * UNIT + 0.5)).otherwise(F.lit(UNIT)).cast("long")
     offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 6), 16, 10).cast("long")
     shares = shares.select(
         F.col("source").alias("of"), "source_size", "target", expected.alias("expected"), offset.alias("offset")

@@ -56,9 +56,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     for part in (["label", "salt"], ["label"]):
         order = Window.partitionBy(*part).orderBy("order", "labelled")
         chosen = chosen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_label)
+    bounded = F.broadcast(chosen.select("labelled", "label"))  # at most 2 * per_label rows
     return (
         texts(docs)
-        .join(F.broadcast(chosen.select("labelled", "label")), F.col("doc_id") == F.col("labelled"))  # at most 2 * per_label rows
+        .join(bounded, F.col("doc_id") == F.col("labelled"))
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )

@@ -5,8 +5,9 @@ Markov models are trained from labelled samples, one on random strings, one on o
 identifiers, and a string is a finding if its log-likelihood ratio speaks for the random model.
 
 The labelled samples come from all texts: what the patterns find is random; another long run of
-identifier characters is ordinary if it holds no digits within letters. Transitions are counted in the tasks and summed by Spark, so
-what reaches the driver is one table of pairs of characters, whatever the number of texts.
+identifier characters is ordinary if it holds no digits within letters. Transitions are counted in
+the tasks and summed by Spark, so what reaches the driver is one table of pairs of characters,
+whatever the number of texts.
 
 Null texts are empty and have no findings. Repeated rows are each scanned. An empty table gives an
 empty result. Columns other than doc_id and text are not read.

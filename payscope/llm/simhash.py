@@ -178,7 +178,9 @@ def links(distinct: DataFrame, radius: int = 4, chunk: int = 16384) -> DataFrame
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     sequence = F.sequence(F.lit(0), chunks - 1)
     # A row of chunk c goes to every pair of chunks (i <= j) that c is part of.
-    pairs = F.transform(sequence, lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), own.alias("c")))
+    pairs = F.transform(
+        sequence, lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), own.alias("c"))
+    )
     groups = dealt.join(sizes, ["t", "key"]).select("fp", "t", "key", F.inline(pairs))
     spark = distinct.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -196,14 +198,13 @@ def links(distinct: DataFrame, radius: int = 4, chunk: int = 16384) -> DataFrame
             return [(int(values[a]), int(values[b])) for a, b in found]
 
         def emit(made):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([e[0] for e in made], pa.int64()), pa.array([e[1] for e in made], pa.int64())], names=["a", "b"]
-            )
+            columns = [pa.array([e[n] for e in made], pa.int64()) for n in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
         held = np.zeros((0, 6), np.int64)
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "i", "j", "c", "fp")]
-            held = np.concatenate([held, np.stack(columns, axis=1)])
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "i", "j", "c", "fp")]
+            held = np.concatenate([held, np.stack(columns, axis=1).astype(np.int64)])
             cuts = np.flatnonzero((held[1:, :4] != held[:-1, :4]).any(axis=1)) + 1
             made, at = [], 0
             for cut in cuts:

@@ -124,9 +124,8 @@ def _select(sample: DataFrame, most: int, least_documents: int) -> list[tuple[by
 
         return each
 
-    counted = by_batch(
-        sample.select("text", F.col("label").cast("int").alias("label")), work, "key binary, step int, clean bigint, toxic bigint"
-    )
+    texts_with_label = sample.select("text", F.col("label").cast("int").alias("label"))
+    counted = by_batch(texts_with_label, work, "key binary, step int, clean bigint, toxic bigint")
     totals = sample.agg(F.count(F.when(F.col("label") == 0, 1)), F.count(F.when(F.col("label") == 1, 1))).first()
     summed = counted.groupBy("key", "step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1.0))
@@ -143,7 +142,12 @@ def _select(sample: DataFrame, most: int, least_documents: int) -> list[tuple[by
 
 
 def ordinal_fit(
-    rows: list[list[int]], grades: np.ndarray, n_features: int, ridge: float = 1.0, rounds: int = 400, rate: float = 0.05
+    rows: list[list[int]],
+    grades: np.ndarray,
+    n_features: int,
+    ridge: float = 1.0,
+    rounds: int = 400,
+    rate: float = 0.05,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient descent on the cumulative-link likelihood (Adam steps)."""
     k = GRADES - 1
@@ -159,9 +163,9 @@ def ordinal_fit(
         thresholds = value[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
         z = np.bincount(owner, value[column], len(rows))
         # P(grade >= 0) is 1, P(grade >= GRADES) is 0.
-        at_least = np.concatenate(
-            [np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(thresholds - z[:, None], -500, 500))), np.zeros((len(rows), 1))], axis=1
-        )
+        at_least = np.zeros((len(rows), GRADES + 1))
+        at_least[:, 0] = 1
+        at_least[:, 1:GRADES] = 1 / (1 + np.exp(np.clip(thresholds - z[:, None], -500, 500)))
         i = np.arange(len(rows))
         a, b = at_least[i, grades], at_least[i, grades + 1]
         p = np.maximum(a - b, 1e-12)
