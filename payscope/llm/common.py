@@ -30,6 +30,16 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *others)
 
 
+SLICE = 1000  # rows that are turned into Python objects at once
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE rows, so that long texts fit into a small worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def by_batch(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str
 ) -> DataFrame:
@@ -42,7 +52,7 @@ def by_batch(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
-        for batch in batches:
+        for batch in slices(batches):
             made = each(batch)
             yield pa.RecordBatch.from_arrays(
                 [

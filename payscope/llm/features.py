@@ -44,7 +44,7 @@ _CLASS = bytes(_class(b) for b in range(256))
 class Terms:
     """Term numbers and their weights (1 + log of the count) of a text."""
 
-    def __init__(self, cached: int = 500_000):
+    def __init__(self, cached: int = 100_000):
         class Hashed(dict):
             def __missing__(self, word: bytes) -> int:
                 if len(self) >= cached:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from payscope.llm.common import by_batch, texts
+from payscope.llm.common import by_batch, slices, texts
 
 LONGEST = 96
 _SENTENCE_END = re.compile(r"[.!?]+\s+")
@@ -207,7 +207,7 @@ def each_with_next(docs: DataFrame, make: Callable[[], Callable], ddl: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepare, row_of = make()
         held = None  # (part, doc_id, prepared)
-        for batch in batches:
+        for batch in slices(batches):
             made = []
             columns = (batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))
             for part, guest, doc_id, text in zip(*columns, strict=True):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payscope.llm.common import by_batch, texts
+from payscope.llm.common import by_batch, slices, texts
 from payscope.llm.features import BLOCKS, TERMS, Terms
 
 BLOCK_WEIGHTS = (0.3, 1.0, 0.7)
@@ -174,7 +174,7 @@ def accepted(docs: DataFrame, labels: DataFrame, per_label: int = 1500, least: f
 
     def run(batches):
         scores_of = scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scores_of(batch.column("text")) >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -70,7 +70,7 @@ def features_of(text: bytes) -> set[tuple[bytes, int]]:
 class Extractor:
     """Numbers of the model's features in a text; words are looked up once and kept."""
 
-    def __init__(self, features: dict[tuple[bytes, int], int], cached: int = 400_000):
+    def __init__(self, features: dict[tuple[bytes, int], int], cached: int = 100_000):
         self.features = features
         known = {key for key, _ in features}
 
