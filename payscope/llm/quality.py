@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,21 +107,23 @@ def fit(sample: DataFrame, dimensions: int = 64, seed: int = 7) -> Model | None:
 
     ddl = "doc_id bigint, label int, term array<int>, value array<float>"
     taken = by_batch(sample.select("doc_id", F.col("label").cast("int").alias("label"), "text"), work, ddl)
-    rows = sorted(taken.collect(), key=lambda r: r["doc_id"])  # at most 2 * per_label
-    rows = [r for r in rows if r["term"]]
-    if not rows:
+    rows = taken.toArrow().sort_by("doc_id").combine_chunks()  # at most 2 * per_label rows, in arrays
+    rows = rows.filter(pc.greater(pc.list_value_length(rows["term"]), 0))
+    if not rows.num_rows:
         return None
-    labels = np.array([r["label"] for r in rows], np.float32)
+    labels = rows["label"].to_numpy().astype(np.float32)
+    terms_of = [t.values.to_numpy() for t in rows["term"]]
+    values_of = [v.values.to_numpy() for v in rows["value"]]
     frequency = np.zeros(TERMS)
-    for r in rows:
-        frequency[r["term"]] += 1
-    idf = (np.log((1 + len(rows)) / (1 + frequency)) + 0.1).astype(np.float32)
-    matrix = np.zeros((len(rows), TERMS), np.float32)
-    for n, r in enumerate(rows):
-        term = np.array(r["term"])
-        matrix[n, term] = _weighted(term, np.array(r["value"], np.float32), idf)
+    for term in terms_of:
+        frequency[term] += 1
+    idf = (np.log((1 + len(terms_of)) / (1 + frequency)) + 0.1).astype(np.float32)
+    matrix = np.zeros((len(terms_of), TERMS), np.float32)
+    for n, (term, value) in enumerate(zip(terms_of, values_of, strict=True)):
+        matrix[n, term] = _weighted(term, value, idf)
+    del rows, terms_of, values_of
     random = np.random.default_rng(seed)
-    width = min(dimensions + 16, len(rows))
+    width = min(dimensions + 16, len(matrix))
     basis = np.linalg.qr(matrix @ random.standard_normal((TERMS, width)).astype(np.float32))[0]
     for _ in range(3):
         basis = np.linalg.qr(matrix @ (matrix.T @ basis))[0]
