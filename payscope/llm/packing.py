@@ -7,6 +7,9 @@ tree counts the open sequences by remaining room, so that the tightest fit is fo
 time. A shard leaves at most a few sequences unfilled; shards are large, so that this does not show.
 Ids never travel: a shard is dealt the lengths alone.
 
+Ids are those of `tokenizers` with add_special_tokens=False: the literal of an added token of the
+vocabulary file, as `<|endoftext|>`, is that token's id wherever it stands in a text.
+
 Null texts are empty: one piece that holds the end id. Repeated rows are packed each. An empty table
 gives an empty result. Columns other than doc_id and text are not read.
 """
@@ -37,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit integers.
+    """Token ids of texts without added tokens as little-endian 32-bit integers.
 
     Words are looked up in a cache of bounded size: outside of runs of white space, a text falls
     apart at single spaces and line ends without changing its tokens. Other texts are encoded whole.
@@ -78,6 +81,24 @@ class Encoder:
         return np.array(self.encode(first), dtype="<u4").tobytes() + b"".join(map(self.word, rest))
 
 
+class WholeEncoder:
+    """Token ids of whole texts; those that hold an added token's literal are left to `tokenizers`."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.path, self.plain, self.reference = path, Encoder(path), None
+
+    def __call__(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self.plain(text)
+        if self.reference is None:  # rarely needed, so loaded by the first such text of a task
+            from tokenizers import Tokenizer
+
+            self.reference = Tokenizer.from_file(self.path)
+        return np.array(self.reference.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length and ids (binary, little-endian 32-bit) of every document.
 
@@ -86,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     """
 
     def work():
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = WholeEncoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
 
         def each(batch):
             rows = []

@@ -98,6 +98,19 @@ def test_pieces_and_places(spark, odd, empty, tokenizer):
     assert packing.packed_documents(empty, VOCABULARY).count() == 0
 
 
+def test_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    made, end = Tokenizer.from_file(VOCABULARY), "<|endoftext|>"
+    texts = [f"x{end}y", end, end * 3, f"a  {end}\n b", f" {end} ", end[:-1], f"<|{end}|>", f"é😀 {end}" + " word" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pieces(docs, VOCABULARY).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {n: [*made.encode(t, add_special_tokens=False).ids, 0] for n, t in enumerate(texts)}
+    assert got[0] == [87, 50256, 88, 0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=120))
 def test_best_fit_against_brute_force(lengths):
