@@ -1,7 +1,9 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with templates.
 
 Words are runs of ASCII letters (lower-cased) and digits and of all characters beyond ASCII. The
-phrases give the base labels. The join finds every block (a line, cut further at sentence ends) that
+phrases give the base labels. A block is a line, cut further at sentence ends, or a whole sentence of
+a paragraph that goes over several lines, as in hard-wrapped notices; line ends and comment marks in
+it are read as spaces, and a line without words ends the paragraph. The join finds every block that
 contains at least `threshold` of the words of a template, as sets:
 
 * all words of the templates are put in one order, rarest in the corpus first, by counts over all
@@ -42,6 +44,8 @@ TEMPLATES = [
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses."),
+    ("apache-2.0", "You may not use this file except in compliance with the License."),
+    ("apache-2.0", "You may obtain a copy of the License at apache org licenses."),
     ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
@@ -66,12 +70,31 @@ _FOLD = bytes(
     ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256)
 )
 _BLOCK_END = re.compile(rb"\n|(?<=[.!?])\s")
+_STOPS = (b".", b"!", b"?")
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def blocks_of(text: bytes) -> Iterator[tuple[int, list[bytes]]]:
+    """First word and words of every block: pieces of lines, and sentences made of several of them."""
+    start, sentence, pieces = 0, [], 0
+    for piece in _BLOCK_END.split(text):
+        own = words(piece)
+        if own:
+            yield start, own
+            start += len(own)
+            sentence += own
+            pieces += 1
+        if not own or piece.endswith(_STOPS):
+            if pieces > 1:
+                yield start - len(sentence), sentence
+            sentence, pieces = [], 0
+    if pieces > 1:
+        yield start - len(sentence), sentence
+
+
 class Index:
     """Prefix index of the templates under the global order of their words."""
 
@@ -163,9 +186,7 @@ def find(
                 )
                 hits = []
                 if not index.rare.isdisjoint(every):
-                    start = 0
-                    for block in _BLOCK_END.split(text):
-                        own = words(block)
+                    for start, own in blocks_of(text):
                         hits += [
                             {
                                 "label": templates[n][0],
@@ -175,7 +196,6 @@ def find(
                             }
                             for n, c in index.matches(own)
                         ]
-                        start += len(own)
                 blocks.append(hits)
             return {"doc_id": batch.column("doc_id"), "n_words": n_words, "base": base, "blocks": blocks}
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import textwrap
 
 import numpy as np
 import pytest
@@ -135,6 +136,39 @@ def test_licenses_against_brute_force(spark):
         assert got[n] == pytest.approx(by_brute_force(text)), text
 
 
+NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at a site.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "apache-2.0": "You may not use this file except in compliance with the License.",
+}
+
+
+@pytest.mark.parametrize(("mark", "end"), [("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("// ", "\n")])
+def test_wrapped_notices(spark, mark, end):
+    rows, want = [], []
+    for width in (30, 70, 80):
+        for label, notice in NOTICES.items():
+            lines = ["Some program of ours", "", *textwrap.wrap(notice, width), "", "import this"]
+            want.append((len(rows), label))
+            rows.append((len(rows), end.join((mark + line).rstrip(" ") for line in lines)))
+    # Paragraphs and sentences of their own are not joined.
+    apart = "Licensed under the\n{}\nApache License, Version 2.0"
+    rows += [(100, apart.format("")), (101, apart.format(" *")), (102, "Licensed under the.\nApache License, Version 2.0")]
+    want += [(100, ""), (101, ""), (102, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = license_scan.find(docs).collect()
+    assert sorted((r.doc_id, ",".join(sorted({b.label for b in [*r.base, *r.blocks]}))) for r in found) == want
+    texts = dict(rows)
+    for r in found:
+        for b in r.blocks:
+            own = words_by_rule(texts[r.doc_id])[b.first_word : b.first_word + b.n_words]
+            shares = [len(set(words_by_rule(t)) & set(own)) / len(set(words_by_rule(t))) for x, t in license_scan.TEMPLATES if x == b.label]
+            assert b.containment in shares and b.containment >= 0.85
+
+
 def test_licenses_odd_and_empty(odd, empty):
     assert license_scan.digest(license_scan.find(odd)).count() == len(ODD)
     assert license_scan.digest(license_scan.find(empty)).count() == 0
