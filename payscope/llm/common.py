@@ -40,6 +40,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def portions(sizes: list[int], most: int) -> Iterator[range]:
+    """Consecutive places whose sizes add up to at most `most`, or a single larger one."""
+    first = held = 0
+    for n, size in enumerate(sizes):
+        if n > first and held + size > most:
+            yield range(first, n)
+            first, held = n, 0
+        held += size
+    if first < len(sizes):
+        yield range(first, len(sizes))
+
+
 def by_batch(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], dict]], ddl: str
 ) -> DataFrame:

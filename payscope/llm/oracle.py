@@ -96,8 +96,33 @@ SELECT d.doc_id, coalesce(k.n_deleted, 0)::BIGINT AS n_deleted,
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+OP12 = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vec
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same,
+           list_inner_product(a.vec, x.vec)::BIGINT AS score
+    FROM v a JOIN v x ON a.vec_id <> x.vec_id AND len(a.vec) = len(x.vec)
+    WHERE a.vec_id % 100 = 0),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+            AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op2_topk_search": OP2,
     "op5_mix_sources": OP5,
     "op8_line_dedup": OP8,
+    "op12_hard_negatives": OP12,
 }

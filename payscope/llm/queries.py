@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payscope.llm import (
+    hard_negatives,
+    language_mix,
     license_scan,
     line_dedup,
     merkle,
     mixing,
     packing,
+    period_runs,
     quality,
     secret_scan,
     simhash,
@@ -65,6 +68,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mix.classify(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings").withColumn("label", changed))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find(table(spark, sf_dir, "documents"), change=period_runs.planted)
+    return period_runs.digest(found)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
@@ -76,5 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_period_runs": op13_period_runs,
 }
 
