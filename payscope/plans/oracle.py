@@ -1275,6 +1275,10 @@ FROM fx_canary GROUP BY run_id
     "stream_quarter_totals": query(
         f"SELECT quarter, {_TOTAL}, count(*) AS payment_count FROM fx_latest GROUP BY 1", "fx_latest"
     ),
+    "kept_specialty_view": query(
+        f"SELECT quarter, physician_specialty, {_TOTAL}, count(*) AS payment_count FROM fx_latest GROUP BY 1, 2",
+        "fx_latest",
+    ),
 }
 for _mode, _source in (("", "fx_cited"), ("_once", "fx_cited_once"), ("_strict", "fx_cited_strict")):
     ORACLE[f"claims_attribution{_mode}"] = query(

@@ -1,14 +1,16 @@
-"""Continuous loading: new files are matched, typed and written over the payments, batch by batch.
-
-Each micro-batch is one more partition of an append-only log of typed rows. A batch reads and writes
-its own rows and nothing else, so its cost does not grow with what was loaded before; a repeated
-batch replaces its own partition and changes nothing else. The current table is the newest row per
-record over the log, and quarterly totals are an aggregate of it: one pass, when they are asked for.
-`compact` keeps that pass as short as the table.
+"""Continuous loading: new files are matched, typed and merged into the payments, batch by batch.
+
+The payments are a keyed table (`payscope.sources.keyed`): a micro-batch reads and rewrites the buckets
+of its own records, changes the quarterly sums by what it changed, and is published as a whole. The
+batches of a stream are numbered by its checkpoint, and the table knows the last one of each stream, so a
+batch that is repeated after a failure changes nothing, and streams with checkpoints of their own do not
+meet, whatever their numbers. The current table is one scan; the quarterly totals are read as they are
+kept.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,41 +19,64 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from payscope import schemas as S
-from payscope.operators.upsert import latest, latest_payments
+from payscope.operators.upsert import latest_payments
+from payscope.sources.keyed import KeyedTable
 
-BATCH = "batch_id"
+#: The sums that are kept: those of the three views.
+VIEWS = {
+    "q_totals": ["quarter", "product", "manufacturer"],
+    "q_by_specialty": ["quarter", "physician_specialty"],
+    "q_by_state": ["quarter", "physician_state"],
+}
 
 
-def _write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{table}/log/{BATCH}={batch_id}")
+def payments_table(spark: SparkSession, table: str, n_buckets: int = 32) -> KeyedTable:
+    """The table at that place; `n_buckets` counts when its first batch is merged."""
+    return KeyedTable(spark, table, VIEWS, n_buckets=n_buckets)
 
 
-def _log(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
-    schema = T.StructType(
-        [*S.PAYMENT.fields, T.StructField("ingest_seq", sequence), T.StructField(BATCH, T.LongType())]
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The payments table as of the last batch: one row per record."""
+    rows = payments_table(spark, table).current()
+    return spark.createDataFrame([], S.PAYMENT) if rows is None else rows
+
+
+def kept_view(spark: SparkSession, table: str, name: str) -> DataFrame:
+    """One of VIEWS as of the last batch, in the columns of the view of that name."""
+    sums = payments_table(spark, table).view(name)
+    if sums is None:
+        empty = [*(T.StructField(d, T.StringType()) for d in VIEWS[name]), T.StructField("total", T.DecimalType(38, 2))]
+        sums = spark.createDataFrame([], T.StructType([*empty, T.StructField("rows", T.LongType())]))
+    return sums.select(
+        *VIEWS[name], F.col("total").cast("double").alias("total_usd"), F.col("rows").alias("payment_count")
     )
-    return spark.read.schema(schema).option("basePath", f"{table}/log").parquet(f"{table}/log")
 
 
-def current(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
-    """The payments table as of the last batch: one row per record."""
-    return latest(_log(spark, table, sequence)).drop("ingest_seq", BATCH)
+def register_kept_views(spark: SparkSession, table: str) -> None:
+    """The table and its kept views under their names, for `spark.sql`, as of the last batch."""
+    current(spark, table).createOrReplaceTempView("payments")
+    for name in VIEWS:
+        kept_view(spark, table, name).createOrReplaceTempView(name)
 
 
-def quarter_totals(spark: SparkSession, table: str, sequence: T.DataType) -> DataFrame:
-    """Dollars and rows of each quarter, as of the last batch."""
-    newest = latest(_log(spark, table, sequence).select("record_id", "quarter", "amount_usd", "ingest_seq"))
-    return newest.groupBy("quarter").agg(
-        F.sum("amount_usd").cast("double").alias("total_usd"), F.count("*").alias("payment_count")
+def quarter_totals(spark: SparkSession, table: str) -> DataFrame:
+    """Dollars and rows of each quarter, as of the last batch; added up from the kept sums."""
+    sums = payments_table(spark, table).view("q_by_state")
+    if sums is None:
+        return kept_view(spark, table, "q_by_state").drop("physician_state")
+    return sums.groupBy("quarter").agg(
+        F.sum("total").cast("double").alias("total_usd"), F.sum("rows").alias("payment_count")
     )
 
 
-def apply_batch(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Write one batch of landed rows (with `ingest_seq`) into the table. Safe to repeat.
+def apply_batch(batch: DataFrame, batch_id: int, table: str, source: str) -> int:
+    """Merge one batch of landed rows (with `ingest_seq`) into the table. Safe to repeat.
 
-    A row that is older than the stored one of its record does not replace it.
+    `source` names whose numbers `batch_id` are; of one source they ascend. A row that is older than
+    the stored one of its record does not replace it. Returns the version of the table.
     """
-    _write_batch(latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq"), table, batch_id)
+    rows = latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq")
+    return payments_table(batch.sparkSession, table).merge(rows, source, batch_id)
 
 
 def start_ingest(
@@ -67,7 +92,9 @@ def start_ingest(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table)
+        # The checkpoint holds the stream's id, which stays the same over restarts.
+        source = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table, source)
 
     return (
         stream.writeStream.foreachBatch(run)
@@ -77,6 +104,9 @@ def start_ingest(
     )
 
 
-def compact(spark: SparkSession, table: str, sequence: T.DataType, target: str) -> None:
-    """Write the current table once, as the first batch of a fresh log at `target`."""
-    _write_batch(latest(_log(spark, table, sequence)).drop(BATCH), target, 0)
+def compact(spark: SparkSession, table: str, target: str, n_buckets: int = 32) -> None:
+    """Write the current table once as a new table, with buckets for its size now.
+
+    Streams go on with the new table, from their checkpoints or with new ones.
+    """
+    payments_table(spark, table).copy_to(target, n_buckets)

@@ -11,6 +11,7 @@ from payscope.operators import gating, manifest, matching, rollups, typing, upse
 from payscope.session import scratch_dir
 from payscope.sources import filings as files
 from payscope.sources.dictionary import GLP1, load_dictionary
+from payscope.sources.keyed import Conflict, KeyedTable
 from payscope.sources.storage import stored_sizes
 from payscope.streaming import ingest
 
@@ -204,7 +205,6 @@ def stream_in(spark, base, batches, per_trigger=1):
         batch.coalesce(1).write.mode("append").parquet(f"{base}/landing")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{base}/landing")
     ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
-    return schema["ingest_seq"].dataType
 
 
 def totals(frame):
@@ -222,35 +222,132 @@ def test_stream_equals_batch_and_restarts(spark):
     parts = [landed(spark, *rows[i : i + 20]) for i in range(0, 80, 20)]
     stream_in(spark, base, parts)
     late = [landed(spark, *rows[80:]), landed(spark, *rows[:10])]  # new rows, and old ones again
-    sequence = stream_in(spark, base, late)
+    stream_in(spark, base, late)
     want = upsert.latest(typing.good_rows(landed(spark, *rows)))
     table = f"{base}/table"
-    assert amounts(ingest.current(spark, table, sequence)) == amounts(want)
+    assert amounts(ingest.current(spark, table)) == amounts(want)
     by_quarter = rollups.dollars_per_quarter(want).collect()
-    got = totals(ingest.quarter_totals(spark, table, sequence))
+    got = totals(ingest.quarter_totals(spark, table))
     assert {r.quarter: pytest.approx(r.total_usd) for r in by_quarter} == {q: v[0] for q, v in got.items() if q}
     assert sum(v[1] for v in got.values()) == want.count()
 
     # The last batch once more, as after a lost commit: nothing changes.
-    newest = max(int(p.split("=")[1]) for p in os.listdir(f"{table}/log") if p.startswith("batch_id="))
-    ingest.apply_batch(landed(spark, *rows[:10]), newest, table)
-    assert totals(ingest.quarter_totals(spark, table, sequence)) == got
-
-    ingest.compact(spark, table, sequence, f"{base}/compacted")
-    assert amounts(ingest.current(spark, f"{base}/compacted", sequence)) == amounts(want)
-    assert totals(ingest.quarter_totals(spark, f"{base}/compacted", sequence)) == got
+    (source, newest), = ingest.payments_table(spark, table).commit().applied.items()
+    ingest.apply_batch(landed(spark, {"record_id": "r1", "ingest_seq": 999}), newest, table, source)
+    assert totals(ingest.quarter_totals(spark, table)) == got
+
+    ingest.compact(spark, table, f"{base}/compacted", n_buckets=3)
+    assert amounts(ingest.current(spark, f"{base}/compacted")) == amounts(want)
+    assert totals(ingest.quarter_totals(spark, f"{base}/compacted")) == got
+
+
+def test_streams_go_on_after_compaction_and_side_by_side(spark):
+    base = scratch_dir(spark, "test-compaction")
+    stream_in(spark, base, [landed(spark, *({"record_id": f"a{i}", "ingest_seq": i} for i in range(9)))])
+    ingest.compact(spark, f"{base}/table", f"{base}/second/table", n_buckets=4)
+    # Streams with checkpoints of their own: their first batches are number 0 as well.
+    for name in "bc":
+        parts = [landed(spark, *({"record_id": f"{name}{i}", "ingest_seq": i} for i in range(n, n + 5))) for n in (0, 5)]
+        for part in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{base}/landing-{name}")
+        stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing-{name}")
+        ingest.start_ingest(stream, f"{base}/second/table", f"{base}/checkpoint-{name}").awaitTermination()
+    rows = amounts(ingest.current(spark, f"{base}/second/table"))
+    assert sorted(rows) == sorted([f"a{i}" for i in range(9)] + [f"{n}{i}" for n in "bc" for i in range(10)])
+
+
+def test_a_correction_leaves_its_old_quarter(spark):
+    base = scratch_dir(spark, "test-corrections")
+    first = [{"record_id": "a", "quarter": "2023Q1", "ingest_seq": 1, "amount_usd": "5"},
+             {"record_id": "b", "quarter": "2023Q2", "ingest_seq": 2, "amount_usd": "7"},
+             {"record_id": "c", "quarter": None, "ingest_seq": 3, "physician_state": "CA"}]
+    ingest.apply_batch(landed(spark, *first), 0, base, "s")
+    later = [{"record_id": "a", "quarter": "2023Q2", "ingest_seq": 5, "amount_usd": "6"},
+             {"record_id": "b", "quarter": "2023Q4", "ingest_seq": 1},  # older than what is there
+             {"record_id": "c", "quarter": None, "ingest_seq": 4, "physician_state": "NY", "amount_usd": "bad"}]
+    ingest.apply_batch(landed(spark, *later), 1, base, "s")
+    assert totals(ingest.quarter_totals(spark, base)) == {"2023Q2": (13.0, 2), None: (100.5, 1)}
+    current = ingest.current(spark, base)
+    for name, made in [("q_totals", rollups.quarterly_totals), ("q_by_state", rollups.quarterly_by_state),
+                       ("q_by_specialty", rollups.quarterly_by_specialty)]:
+        kept, whole = ingest.kept_view(spark, base, name), made(current)
+        assert kept.columns == whole.columns
+        assert sorted(map(str, kept.collect())) == sorted(map(str, whole.collect()))
+    ingest.register_kept_views(spark, base)
+    assert spark.sql("SELECT sum(total_usd) FROM q_totals").first()[0] == 113.5
+
+
+def test_a_batch_reads_and_writes_its_buckets_only(spark):
+    base = scratch_dir(spark, "test-buckets")
+    table = ingest.payments_table(spark, base)
+    rows = [{"record_id": f"r{n}", "ingest_seq": n} for n in range(200)]
+    ingest.apply_batch(landed(spark, *rows), 0, base, "s")
+    before = table.commit()
+    assert len(before.buckets) == 32
+    one = {"record_id": "r7", "ingest_seq": 900, "amount_usd": "1"}
+    (bucket,) = typing.good_rows(landed(spark, one)).select(table._bucket(32)).first()
+    # All other buckets can be out of reach: the batch goes in all the same.
+    folder = f"{base}/data/batch={before.buckets[str(bucket)]}"
+    os.makedirs(f"{base}/away")
+    for name in os.listdir(folder):
+        if name.startswith("bucket=") and name != f"bucket={bucket}":
+            os.rename(f"{folder}/{name}", f"{base}/away/{name}")
+    ingest.apply_batch(landed(spark, one), 1, base, "s")
+    for name in os.listdir(f"{base}/away"):
+        os.rename(f"{base}/away/{name}", f"{folder}/{name}")
+    after = table.commit()
+    assert {b for b in after.buckets if after.buckets[b] != before.buckets[b]} == {str(bucket)}
+    plan = ingest.current(spark, base)
+    assert len(plan.inputFiles()) == 32 and "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert amounts(plan) == {f"r{n}": 1.0 if n == 7 else 100.5 for n in range(200)}
+
+
+def test_a_writer_that_breaks_off_leaves_no_trace(spark, monkeypatch):
+    base = scratch_dir(spark, "test-broken")
+    table = ingest.payments_table(spark, base)
+    rows = typing.good_rows(landed(spark, {"record_id": "a", "ingest_seq": 1}, {"record_id": "b", "ingest_seq": 2}))
+    rows = rows.select(*S.PAYMENT.names, "ingest_seq")
+    assert table.current() is None and table.merge(rows, "s", 0) == 1
+    opened = table.current()
+
+    def broken(self, commit):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "publish", broken)
+        with pytest.raises(OSError):
+            table.merge(rows.withColumn("amount_usd", F.lit("1").cast(S.AMOUNT_TYPE)).withColumn(
+                "ingest_seq", F.lit(9).cast("long")), "s", 1)
+    assert table.commit().version == 1 and amounts(table.current()) == amounts(opened) == {"a": 100.5, "b": 100.5}
+    newer = rows.filter("record_id = 'a'").withColumns(
+        {"amount_usd": F.lit("3").cast(S.AMOUNT_TYPE), "ingest_seq": F.lit(9).cast("long")})
+    assert table.merge(newer, "s", 1) == 2 and table.merge(newer, "s", 1) == 2
+    assert amounts(table.current()) == {"a": 3.0, "b": 100.5}
+    assert amounts(opened) == {"a": 100.5, "b": 100.5}  # a reader keeps the version it opened
+    gone = table.vacuum()
+    assert len([g for g in gone if g.startswith("data/")]) == 1 and not os.listdir(f"{base}/work")
+    assert amounts(table.current()) == {"a": 3.0, "b": 100.5}
+
+
+def test_two_writers_both_get_in(spark, monkeypatch):
+    base = scratch_dir(spark, "test-writers")
+    table = ingest.payments_table(spark, base)
+    one, two = (
+        typing.good_rows(landed(spark, {"record_id": r, "ingest_seq": 1})).select(*S.PAYMENT.names, "ingest_seq")
+        for r in "ab"
+    )
+    publish, waiting = KeyedTable.publish, [two]
 
+    def slow(self, commit):
+        if waiting:  # the other writer is first
+            table.merge(waiting.pop(), "second")
+        publish(self, commit)
 
-def test_a_batch_reads_only_itself(spark):
-    base = scratch_dir(spark, "test-batches")
-    table = f"{base}/table"
-    for n in range(3):
-        ingest.apply_batch(landed(spark, {"record_id": f"r{n}", "ingest_seq": n}), n, table)
-    # Earlier batches can be out of reach: the next one is written all the same.
-    os.rename(f"{table}/log/batch_id=0", f"{base}/away")
-    ingest.apply_batch(landed(spark, {"record_id": "r9", "ingest_seq": 9}), 3, table)
-    sequence = landed(spark).schema["ingest_seq"].dataType
-    assert sorted(amounts(ingest.current(spark, table, sequence))) == ["r1", "r2", "r9"]
+    monkeypatch.setattr(KeyedTable, "publish", slow)
+    assert table.merge(one, "first") == 2
+    assert sorted(amounts(table.current())) == ["a", "b"]
+    with pytest.raises(Conflict):
+        publish(table, table.commit())
 
 
 def test_filings_as_a_stream(spark):
@@ -266,6 +363,4 @@ def test_filings_as_a_stream(spark):
         return matching.land(batch, GLP1, F.lit("s")).withColumn("ingest_seq", F.col("record_id").cast("long"))
 
     ingest.start_ingest(stream, f"{base}/table", f"{base}/cp", to_landed).awaitTermination()
-    from pyspark.sql import types as T
-
-    assert amounts(ingest.current(spark, f"{base}/table", T.LongType())) == {str(i): 2.0 for i in range(1, 10, 2)}
+    assert amounts(ingest.current(spark, f"{base}/table")) == {str(i): 2.0 for i in range(1, 10, 2)}
