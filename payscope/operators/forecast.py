@@ -1,8 +1,9 @@
 """Forecast every quarterly series, score models on held-out quarters, choose and refit.
 
 The seasonal-naive model alone is windows and joins. Holt-Winters has no built-in form, so it runs
-in a pandas function, one series at a time, where a series is a few values per year. `run_models`
-does a whole run that way, in one pass over series that are one row each.
+in a pandas function, over all series of one length in a batch together, where a series is one row of a
+few values per year. `run_models` does a whole run that way, in one pass. The rows are dealt over tasks
+by number, as a model takes long for few bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payscope.functions.calendar import ordinal_quarter, quarter_ordinal
-from payscope.functions.smoothing import holt_winters
+from payscope.functions.smoothing import holt_winters, holt_winters_many
 from payscope.session import stored
 
 # The 80 % two-sided normal quantile, the season and the default holdout.
@@ -99,6 +100,62 @@ def ets_model(history: list, horizon: int, season: int) -> tuple:
     return point, point - Z_80 * spread, point + Z_80 * spread
 
 
+def _ets_many(histories: list[list], horizon: int, season: int) -> list[tuple]:
+    points, spreads = holt_winters_many(np.array(histories), horizon, season)
+    return [(p, p - Z_80 * s, p + Z_80 * s) for p, s in zip(points, spreads, strict=True)]
+
+
+#: A model may have a form for many histories of one length at once.
+ets_model.many = _ets_many
+
+
+def _fit_all(model: SeriesModel, histories: list[list], horizon: int, season: int) -> list:
+    """The model on every history, in their order; the error itself where it cannot fit."""
+    made: list = [None] * len(histories)
+    by_length: dict[int, list[int]] = {}
+    for n, history in enumerate(histories):
+        by_length.setdefault(len(history), []).append(n)
+    many = getattr(model, "many", None)
+    for places in by_length.values():
+        try:
+            if many:
+                together = many([histories[n] for n in places], horizon, season)
+                for n, result in zip(places, together, strict=True):
+                    made[n] = result
+                continue
+        except ValueError as problem:
+            for n in places:
+                made[n] = problem
+            continue
+        for n in places:
+            try:
+                made[n] = model(histories[n], horizon, season)
+            except ValueError as problem:
+                made[n] = problem
+    return made
+
+
+def _dealt(series: DataFrame) -> DataFrame:
+    """Rows of one series each, dealt evenly over many tasks: models cost time, their rows few bytes.
+
+    A given number of partitions is left alone by adaptive execution, which goes by bytes.
+    """
+    spark = series.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return series.repartition(tasks, "series_key")
+
+
+def _compact(series: DataFrame) -> DataFrame:
+    """One row per series: its points (q, value), in no order. A series is a few values per year."""
+    points = F.collect_list(F.struct(quarter_ordinal(F.col("quarter")).alias("q"), "value"))
+    return series.groupBy("series_key").agg(points.alias("points"))
+
+
+def _in_order(points) -> tuple[list[int], list]:
+    ordered = sorted((p["q"], p["value"]) for p in points)
+    return [p[0] for p in ordered], [p[1] for p in ordered]
+
+
 _MODEL_ROWS = (
     "series_key string, model string, n_history long, last_q int, h int, "
     "point double, lower_80 double, upper_80 double, error string"
@@ -113,38 +170,33 @@ def fit_each(
 ) -> DataFrame:
     """Run own models on every series. A model that cannot fit gives one row with its error."""
     models = dict(models)
+    columns = [field.split()[0] for field in _MODEL_ROWS.split(", ")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("q")
-        base = {
-            "series_key": group["series_key"].iloc[0],
-            "n_history": len(group),
-            "last_q": int(group["q"].iloc[-1]),
-        }
-        rows = []
-        for name, model in models.items():
-            try:
-                point, lower, upper = model(group["value"].tolist(), horizon, season)
-            except ValueError as problem:
-                rows.append({**base, "model": name, "error": str(problem)})
-                continue
-            rows += [
-                {
-                    **base,
-                    "model": name,
-                    "h": i + 1,
-                    "point": float(point[i]),
-                    "lower_80": float(lower[i]),
-                    "upper_80": float(upper[i]),
-                }
-                for i in range(horizon)
-            ]
-        columns = [field.split()[0] for field in _MODEL_ROWS.split(", ")]
-        return pd.DataFrame(
-            {c: pd.Series([row.get(c) for row in rows], dtype=object) for c in columns}
-        )
-
-    return _with_ordinal(history).groupBy("series_key").applyInPandas(run, _MODEL_ROWS)
+    def run(batches):
+        for batch in batches:
+            ordered = [_in_order(points) for points in batch["points"]]
+            rows = []
+            for name, model in models.items():
+                fitted = _fit_all(model, [values for _, values in ordered], horizon, season)
+                for key, (q, values), made in zip(batch["series_key"], ordered, fitted, strict=True):
+                    base = {"series_key": key, "model": name, "n_history": len(values), "last_q": q[-1]}
+                    if isinstance(made, ValueError):
+                        rows.append({**base, "error": str(made)})
+                        continue
+                    point, lower, upper = made
+                    rows += [
+                        {
+                            **base,
+                            "h": i + 1,
+                            "point": float(point[i]),
+                            "lower_80": float(lower[i]),
+                            "upper_80": float(upper[i]),
+                        }
+                        for i in range(horizon)
+                    ]
+            yield pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in columns})
+
+    return _dealt(_compact(history)).mapInPandas(run, _MODEL_ROWS)
 
 
 def labelled(forecasts: DataFrame, after: Column | None = None) -> DataFrame:
@@ -341,66 +393,67 @@ def run_models(
             for h in range(horizon)
         ]
 
-    def of_series(q: list[int], value: list[float]) -> dict:
-        by_quarter = dict(zip(q, value, strict=True))
-        train = [v for at, v in zip(q, value, strict=True) if at <= end]
-        tested, scores, best = [], [], None
+    def of_batch(ordered: list[tuple[list[int], list]]) -> list[dict]:
+        """What the models make of some series, each (quarters, values)."""
+        trains = [[v for at, v in zip(q, value, strict=True) if at <= end] for q, value in ordered]
+        results = [{"tested": [], "scores": [], "primary_model": None, "mae": None, "forecasts": []} for _ in ordered]
         for name, model in chosen.items():
-            try:
-                made = steps(model(train, horizon, season), end)
-            except ValueError:
-                continue
-            pairs = [{"model": name, "actual": by_quarter[s["q"]], **s} for s in made]
-            mae = float(np.mean([abs(p["actual"] - p["point"]) for p in pairs]))
-            inside = [p["lower_80"] <= p["actual"] <= p["upper_80"] for p in pairs]
-            tested += pairs
-            scores.append(
-                {
-                    "model": name,
-                    "n_train": len(train),
-                    "n_test": len(pairs),
-                    "mae": mae,
-                    "coverage_80": float(np.mean(inside)),
-                }
-            )
-            if best is None or mae < best[1]:
-                best = (name, mae)
-        final = []
-        if best is not None:
-            made = chosen[best[0]](value, horizon, season)
-            final = [{"model": best[0], "n_history": len(value), **s} for s in steps(made, q[-1])]
-        return {
-            "tested": tested,
-            "scores": scores,
-            "primary_model": best and best[0],
-            "mae": best and best[1],
-            "forecasts": final,
-        }
+            fitted = _fit_all(model, trains, horizon, season)
+            for (q, value), train, made, result in zip(ordered, trains, fitted, results, strict=True):
+                if isinstance(made, ValueError):
+                    continue
+                by_quarter = dict(zip(q, value, strict=True))
+                pairs = [{"model": name, "actual": by_quarter[s["q"]], **s} for s in steps(made, end)]
+                mae = float(np.mean([abs(p["actual"] - p["point"]) for p in pairs]))
+                inside = [p["lower_80"] <= p["actual"] <= p["upper_80"] for p in pairs]
+                result["tested"] += pairs
+                result["scores"].append(
+                    {
+                        "model": name,
+                        "n_train": len(train),
+                        "n_test": len(pairs),
+                        "mae": mae,
+                        "coverage_80": float(np.mean(inside)),
+                    }
+                )
+                if result["mae"] is None or mae < result["mae"]:
+                    result["primary_model"], result["mae"] = name, mae
+        for name, model in chosen.items():
+            mine = [n for n, r in enumerate(results) if r["primary_model"] == name]
+            for n, made in zip(mine, _fit_all(model, [ordered[n][1] for n in mine], horizon, season), strict=True):
+                if isinstance(made, ValueError):
+                    raise made
+                q, value = ordered[n]
+                results[n]["forecasts"] = [
+                    {"model": name, "n_history": len(value), **s} for s in steps(made, q[-1])
+                ]
+        return results
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                points = sorted((p["q"], p["value"]) for p in r["points"])
-                q, value = [p[0] for p in points], [p[1] for p in points]
-                row = {
-                    "series_key": r["series_key"],
-                    "reason": r["reason"],
+            ordered = [_in_order(points) for points in batch["points"]]
+            rows = [
+                {
+                    "series_key": key,
+                    "reason": reason,
                     "n_quarters": len(q),
                     "first_q": q[0],
                     "last_q": q[-1],
                     "n_train": sum(x <= end for x in q),
                 }
-                rows.append(row | (of_series(q, value) if r["reason"] is None else {}))
+                for key, reason, (q, _) in zip(batch["series_key"], batch["reason"], ordered, strict=True)
+            ]
+            usable = [n for n, row in enumerate(rows) if row["reason"] is None]
+            for n, result in zip(usable, of_batch([ordered[n] for n in usable]), strict=True):
+                rows[n] |= result
             yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in columns})
 
-    points = F.collect_list(F.struct(quarter_ordinal(F.col("quarter")).alias("q"), "value"))
-    compact = stored(series.groupBy("series_key").agg(points.alias("points")), "series")
+    compact = stored(_compact(series), "series")
     opened = compact.select("series_key", F.inline("points")).select(
         "series_key", ordinal_quarter(F.col("q")).alias("quarter"), "value"
     )
     reasons = skipped(opened, train_end, horizon, season, tuple(chosen))
-    return compact.join(reasons, "series_key", "left").mapInPandas(run, _RUN)
+    return _dealt(compact.join(reasons, "series_key", "left")).mapInPandas(run, _RUN)
 
 
 #: Models for one pass over short series, in the order that decides ties.

@@ -1039,12 +1039,20 @@ WHERE q > last_q AND first_q <= {_END} - 7 AND last_q >= {_END} + 4
         "fx_exact",
     ),
     "forecast_run": query(
-        """
-SELECT series_key, n_quarters, first_quarter, last_quarter, CASE WHEN reason IS NULL THEN 1 END AS models,
-       CASE WHEN reason IS NULL THEN 4 END AS steps, CASE WHEN reason IS NULL THEN mae END AS naive_mae, reason
+        f"""
+SELECT series_key, n_quarters, first_quarter, last_quarter, CASE WHEN reason IS NULL THEN t.n_train END AS n_train,
+       CASE WHEN reason IS NULL THEN 1 END AS models,
+       CASE WHEN reason IS NULL THEN 4 END AS steps, CASE WHEN reason IS NULL THEN mae END AS naive_mae,
+       CASE WHEN reason IS NULL THEN TRUE END AS chose_least,
+       CASE WHEN reason IS NULL THEN t.actuals END AS actuals,
+       CASE WHEN reason IS NULL THEN t.actuals END AS ets_actuals, reason
 FROM (SELECT *, coalesce(naive_reason, ets_reason) AS reason FROM fx_skips)
 JOIN fx_windows USING (series_key) LEFT JOIN fx_naive_scores USING (series_key)
+LEFT JOIN (SELECT series_key, count(*) FILTER (WHERE q <= {_END}) AS n_train,
+                  round(sum(value) FILTER (WHERE q > {_END} AND q <= {_END} + 4), 2) AS actuals
+           FROM fx_fine GROUP BY 1) t USING (series_key)
 """,
+        "fx_fine",
         "fx_skips",
         "fx_windows",
         "fx_naive_scores",

@@ -175,7 +175,8 @@ def csv_quarantine(spark, d):
 @_query
 def upsert_stamped(spark, d):
     """Two landings of records, the second with corrections: the later written row stays."""
-    paths = [scratch_dir(spark, "landing-first"), scratch_dir(spark, "landing-second")]
+    base = scratch_dir(spark, "landing")
+    paths = [f"{base}/2023 b", f"{base}/2023"]  # the second name begins the first one
     rows = tb.landed(spark, d)
     key = F.substring_index("record_id", "-", 1).cast("long")
     rows.write.json(paths[0])
@@ -604,20 +605,45 @@ def model_choice(spark, d):
 
 @_query
 def forecast_run(spark, d):
-    """A whole run of both models stored as tables; the window, steps and skip of each series."""
+    """A whole run of both models over all real series, stored as tables: window, training quarters,
+    held-out actuals, the naive error, whether the chosen model is as good as any, steps and skips."""
     path = scratch_dir(spark, "forecast")
     forecast.store_run(_fine(spark, d), path, tb.TRAIN_END)
     windows = spark.read.parquet(f"{path}/windows")
     final = spark.read.parquet(f"{path}/forecasts").groupBy("series_key").agg(
         F.count("*").alias("steps"), F.countDistinct("model").alias("models")
     )
-    naive = spark.read.parquet(f"{path}/holdout").filter(F.col("model") == forecast.NAIVE)
+    tested = spark.read.parquet(f"{path}/runs").select("series_key", F.inline("tested"))
+    held_out = tested.groupBy("series_key").agg(
+        F.sum(F.when(F.col("model") == forecast.NAIVE, F.col("actual"))).alias("actuals"),
+        F.sum(F.when(F.col("model") == forecast.ETS, F.col("actual"))).alias("ets_actuals"),
+    )
+    scores = spark.read.parquet(f"{path}/holdout").groupBy("series_key").agg(
+        F.round(F.min(F.when(F.col("model") == forecast.NAIVE, F.col("mae"))), 4).alias("naive_mae"),
+        F.min("mae").alias("least"),
+    )
+    chosen = spark.read.parquet(f"{path}/primary").select("series_key", "mae")
     skips = spark.read.parquet(f"{path}/skipped")
     return (
         windows.join(final, "series_key", "left")
-        .join(naive.select("series_key", F.round("mae", 4).alias("naive_mae")), "series_key", "left")
+        .join(scores, "series_key", "left")
+        .join(chosen, "series_key", "left")
+        .join(held_out, "series_key", "left")
         .join(skips, "series_key", "left")
-        .select("series_key", "n_quarters", "first_quarter", "last_quarter", "models", "steps", "naive_mae", "reason")
+        .select(
+            "series_key",
+            "n_quarters",
+            "first_quarter",
+            "last_quarter",
+            F.when(F.col("reason").isNull(), F.col("n_train")).alias("n_train"),
+            "models",
+            "steps",
+            "naive_mae",
+            (F.col("mae") == F.col("least")).alias("chose_least"),
+            F.round("actuals", 2).alias("actuals"),
+            F.round("ets_actuals", 2).alias("ets_actuals"),
+            "reason",
+        )
     )
 
 
@@ -968,7 +994,7 @@ def ledger_latest(spark, d):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _ingested(spark: SparkSession, d: str):
+def _ingested(spark: SparkSession, d: str, views=ingest.QUARTERS) -> str:
     """All lines as files of a landing folder, loaded from there as a stream in several batches.
 
     The rows of a record are spread over the files, so batches correct each other, and some rows
@@ -980,7 +1006,7 @@ def _ingested(spark: SparkSession, d: str):
     stream = (
         spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/landing")
     )
-    run = ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint")
+    run = ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", views=views)
     run.awaitTermination()
     return f"{base}/table"
 
@@ -998,7 +1024,7 @@ def stream_quarter_totals(spark, d):
 @_query
 def kept_specialty_view(spark, d):
     """A kept view, changed batch by batch, equals the view over the current table."""
-    return ingest.kept_view(spark, _ingested(spark, d), "q_by_specialty")
+    return ingest.kept_view(spark, _ingested(spark, d, ingest.VIEWS), "q_by_specialty")
 
 
 @_query

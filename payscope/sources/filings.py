@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +17,37 @@ BROKEN = "_broken_record"
 SEQUENCE = "ingest_seq"
 
 
+def _plain(path: str) -> str:
+    """The absolute path without scheme and host, whatever form it is given in."""
+    spark = SparkSession.active()
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toUri().getPath()
+
+
+def _decoded(file: Column) -> Column:
+    """A path as it was given: Spark states it URL-encoded (a space as %20, but a plus as it is)."""
+    return F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+
+
 def write_order(paths: Sequence[str] = ()) -> Column:
     """Where a row stands in its source: place of its path in `paths`, file, block, row.
 
     Unique for every row of a file source, and in the order in which rows are written over each
-    other: later paths, later files by name, later rows win.
+    other: later paths, later files by name, later rows win. A file belongs to the last of the paths
+    that is the file or a folder above it; whole names count. The paths are one map, looked up by the
+    folders above a file, so the plan does not grow with them.
     """
     file = F.col("_metadata.file_path")
+    places = {_plain(path): n for n, path in enumerate(paths)}
+    # scheme://host/a/b/c or scheme:/a/b/c: the names after the host, then each folder from the top.
+    names = F.split(F.regexp_replace(_decoded(file), "^[A-Za-z0-9+.-]+:(//[^/]*)?/+", "/"), "/+")
     place = F.lit(-1)
-    for n, path in enumerate(paths):
-        place = F.when(file.contains(path.rstrip("/").split("://")[-1]), F.lit(n)).otherwise(place)
+    if places:
+        known = F.create_map(*[F.lit(x) for item in places.items() for x in item])
+        above = F.transform(
+            F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/")
+        )
+        place = F.coalesce(F.array_max(F.transform(above, lambda p: F.try_element_at(known, p))), F.lit(-1))
     return F.struct(
         place.alias("path"),
         file.alias("file"),
@@ -59,7 +81,7 @@ def _parsed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for file in file_layouts(spark, paths).collect():  # one row per file
         header = (file["header"] or "").lstrip("\ufeff").rstrip("\r")
         names = tuple(next(csv.reader([header]), []))
-        layouts.setdefault((names, file["has_breaks"]), []).append(file["file"])
+        layouts.setdefault((names, file["has_breaks"]), []).append(unquote(file["file"]))
     order = write_order(paths)
     parts = []
     for (names, has_breaks), files in layouts.items():

@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,13 +44,22 @@ class Commit:
     schema: str = ""
     n_buckets: int = 0
     buckets: dict[str, str] = field(default_factory=dict)  # bucket: folder
-    views: str = ""
+    views: dict[str, list[str]] = field(default_factory=dict)  # name: columns of its groups
+    sums: str = ""
     applied: dict[str, int] = field(default_factory=dict)  # source: last batch
 
 
+def _dims(commit: Commit) -> list[str]:
+    """The columns of all views."""
+    return list(dict.fromkeys(c for columns in commit.views.values() for c in columns))
+
+
 @dataclass(frozen=True)
 class KeyedTable:
-    """`views` maps names to the columns that a sum of `measure` and a count of rows go by."""
+    """`views` maps names to the columns that a sum of `measure` and a count of rows go by.
+
+    They and `n_buckets` are those of a table that begins; later on its commits hold them.
+    """
 
     spark: SparkSession
     path: str
@@ -58,7 +67,7 @@ class KeyedTable:
     key: str = "record_id"
     sequence: str = "ingest_seq"
     measure: str = "amount_usd"
-    n_buckets: int = 32
+    n_buckets: int = 0  # 0: as many as the session has shuffle partitions, when the table begins
 
     # --- commits ---------------------------------------------------------------------------------
 
@@ -77,7 +86,9 @@ class KeyedTable:
         """A version, or the newest one."""
         version = version or max(self._versions(), default=0)
         if not version:
-            return Commit(n_buckets=self.n_buckets)
+            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            views = {name: list(columns) for name, columns in self.views.items()}
+            return Commit(n_buckets=self.n_buckets or partitions, views=views)
         text = self.spark.read.text(f"{self.path}/commits/{version:020d}.json", wholetext=True).first()
         return Commit(**json.loads(text[0]))
 
@@ -110,7 +121,7 @@ class KeyedTable:
         named = set()
         for version in self._versions()[:keep]:
             made = self.commit(version)
-            named |= {*made.buckets.values(), made.views}
+            named |= {*made.buckets.values(), made.sums}
         gone = []
         for kind in ("data", "views", "work"):
             fs, folder = self._at(kind)
@@ -139,18 +150,14 @@ class KeyedTable:
         found = self.rows()
         return None if found is None else found.drop(self.sequence)
 
-    def _dims(self) -> list[str]:
-        return list(dict.fromkeys(d for dims in self.views.values() for d in dims))
-
     def _sums(self, commit: Commit) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/views/{commit.views}") if commit.views else None
+        return self.spark.read.parquet(f"{self.path}/views/{commit.sums}") if commit.sums else None
 
     def view(self, name: str) -> DataFrame | None:
         """The groups of one view with `total` and `rows`; None before the first commit."""
-        sums = self._sums(self.commit())
-        return None if sums is None else sums.filter(F.col("view") == name).select(
-            *self.views[name], "total", "rows"
-        )
+        commit = self.commit()
+        columns, sums = commit.views[name], self._sums(commit)
+        return None if sums is None else sums.filter(F.col("view") == name).select(*columns, "total", "rows")
 
     # --- writing ---------------------------------------------------------------------------------
 
@@ -163,30 +170,29 @@ class KeyedTable:
         rows.observe(seen, F.collect_set(BUCKET).alias("buckets")).write.parquet(f"{self.path}/work/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/work/{name}"), sorted(seen.get["buckets"])
 
-    def _signed(self, changed: DataFrame, known: bool) -> DataFrame:
+    def _signed(self, changed: DataFrame, dims: list[str]) -> DataFrame:
         """New values of changed rows with sign 1 and, where a row was there, the old ones with -1."""
-        columns = [*self._dims(), self.measure]
-        parts = [F.struct(*columns, F.lit(1).alias("sign"))]
-        if known:
-            old = F.struct(*[F.col(f"_old.{c}").alias(c) for c in columns], F.lit(-1).alias("sign"))
-            parts.append(F.when(F.col("_old").isNotNull(), old))
-        each = changed.select(F.explode(F.array(*parts)).alias("v")).filter("v IS NOT NULL")
-        return each.select("v.*")
-
-    def _next_sums(self, before: DataFrame | None, signed: DataFrame) -> DataFrame:
+        columns = [*dims, self.measure]
+        old = F.struct(*[F.col(f"_old.{c}").alias(c) for c in columns], F.lit(-1).alias("sign"))
+        both = F.array(F.struct(*columns, F.lit(1).alias("sign")), F.when(F.col("_old").isNotNull(), old))
+        return changed.select(F.explode(both).alias("v")).filter("v IS NOT NULL").select("v.*")
+
+    def _next_sums(self, commit: Commit, changed: DataFrame) -> DataFrame:
         """All views after the change, in one aggregate: a row counts once in each view."""
-        dims = self._dims()
+        dims = _dims(commit)
+        signed = self._signed(changed, dims)
         parts = [
             F.struct(
                 F.lit(name).alias("view"),
                 *[(F.col(d) if d in own else F.lit(None).cast(signed.schema[d].dataType)).alias(d) for d in dims],
             )
-            for name, own in self.views.items()
+            for name, own in commit.views.items()
         ]
         amount = (F.col(self.measure) * F.col("sign")).cast("decimal(38,2)")
         delta = signed.select(
             F.inline(F.array(*parts)), amount.alias("total"), F.col("sign").cast("long").alias("rows")
         )
+        before = self._sums(commit)
         every = delta if before is None else before.unionByName(delta)
         sums = every.groupBy("view", *dims).agg(
             F.sum("total").cast("decimal(38,2)").alias("total"), F.sum("rows").alias("rows")
@@ -210,44 +216,46 @@ class KeyedTable:
                 continue
         raise Conflict(f"no version was free in {tries} tries")
 
-    def _merge_onto(self, commit: Commit, rows: DataFrame, source: str, batch: int | None) -> int:
-        name = uuid.uuid4().hex
-        sequence = F.col(self.sequence)
-        incoming = latest(rows, self.key, self.sequence).withColumn(BUCKET, self._bucket(commit.n_buckets))
-        changed, touched = self._observed(incoming, f"{name}-incoming")
+    def _newest(self, commit: Commit, incoming: DataFrame, touched: Sequence[int]) -> DataFrame:
+        """One row for each record of the touched buckets. Where it came in now, `_came` holds so and
+        `_old` the values that it replaces.
+
+        Rows go to their bucket's partition, which serves the window as well as the write. What was
+        stored wins over an incoming row of the same sequence.
+        """
+        own = latest(incoming, self.key, self.sequence).withColumn("_came", F.lit(True))
         before = self.rows(commit, touched)
         if before is not None:
-            values = F.struct(*self._dims(), self.measure)
-            known = before.select(
-                self.key, values.alias("_old"), sequence.alias("_old_sequence"), F.lit(True).alias("_known")
-            )
-            is_newer = F.col("_old_sequence").isNull() & sequence.isNotNull() | (sequence > F.col("_old_sequence"))
-            newer = changed.join(known, self.key, "left").filter(
-                F.col("_known").isNull() | F.coalesce(is_newer, F.lit(False))
-            )
-            changed, touched = self._observed(newer.drop("_old_sequence", "_known"), f"{name}-changed")
+            stored = before.withColumn(BUCKET, self._bucket(commit.n_buckets)).withColumn("_came", F.lit(False))
+            own = stored.unionByName(own)
+        newest_first = Window.partitionBy(BUCKET, self.key).orderBy(F.col(self.sequence).desc(), "_came")
+        # At most two rows of a record are left: the one that came and the one that was stored.
+        values = F.struct(*_dims(commit), self.measure)
+        ranked = own.repartition(BUCKET).withColumns(
+            {"_nth": F.row_number().over(newest_first), "_old": F.lead(values).over(newest_first)}
+        )
+        return ranked.filter("_nth = 1").drop("_nth")
+
+    def _merge_onto(self, commit: Commit, rows: DataFrame, source: str, batch: int | None) -> int:
+        name = uuid.uuid4().hex
+        incoming, touched = self._observed(rows.withColumn(BUCKET, self._bucket(commit.n_buckets)), name)
         applied = commit.applied | ({} if batch is None else {source: batch})
         made = replace(commit, version=commit.version + 1, applied=applied)
         if touched:
-            columns = [*rows.columns, BUCKET]
-            after = changed.select(*columns)
-            old = self.rows(commit, touched)
-            if old is not None:
-                kept = old.join(changed.select(self.key), self.key, "left_anti")
-                after = kept.withColumn(BUCKET, self._bucket(commit.n_buckets)).select(*columns).unionByName(after)
-            after.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{BATCH}={name}")
-            signed = self._signed(changed, before is not None)
-            self._next_sums(self._sums(commit), signed).write.parquet(f"{self.path}/views/{name}")
+            after = self._newest(commit, incoming, touched)
+            folder = f"{self.path}/data/{BATCH}={name}"
+            after.write.partitionBy(BUCKET).parquet(folder)
+            changed = self.spark.read.schema(after.schema).parquet(folder).filter("_came")
+            self._next_sums(commit, changed).write.parquet(f"{self.path}/views/{name}")
             made = replace(
                 made,
                 schema=rows.schema.json(),
                 buckets=commit.buckets | {str(b): name for b in touched},
-                views=name,
+                sums=name,
             )
         self.publish(made)
-        for part in ("incoming", "changed"):
-            fs, path = self._at("work", f"{name}-{part}")
-            fs.delete(path, True)
+        fs, work = self._at("work", name)
+        fs.delete(work, True)
         return made.version
 
     def copy_to(self, path: str, n_buckets: int) -> KeyedTable:
@@ -257,7 +265,7 @@ class KeyedTable:
         """
         commit = self.commit()
         target = replace(self, path=path, n_buckets=n_buckets)
-        made = Commit(version=1, schema=commit.schema, n_buckets=n_buckets, applied=commit.applied)
+        made = replace(commit, version=1, n_buckets=n_buckets, buckets={}, sums="")
         rows = self.rows(commit)
         if rows is not None:
             name = uuid.uuid4().hex
@@ -267,6 +275,6 @@ class KeyedTable:
             self._sums(commit).write.parquet(f"{path}/views/{name}")
             held = self.spark.read.parquet(f"{path}/data/{BATCH}={name}").select(BUCKET).distinct()
             buckets = {str(r[0]): name for r in held.collect()}  # at most n_buckets rows
-            made = replace(made, buckets=buckets, views=name)
+            made = replace(made, buckets=buckets, sums=name)
         target.publish(made)
         return target

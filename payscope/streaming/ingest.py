@@ -11,7 +11,7 @@ kept.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +19,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from payscope import schemas as S
-from payscope.operators.upsert import latest_payments
+from payscope.operators.typing import good_rows
 from payscope.sources.keyed import KeyedTable
 
-#: The sums that are kept: those of the three views.
-VIEWS = {
+#: Sums that can be kept: those of each quarter, and the three views.
+QUARTERS = {"quarters": ["quarter"]}
+VIEWS = QUARTERS | {
     "q_totals": ["quarter", "product", "manufacturer"],
     "q_by_specialty": ["quarter", "physician_specialty"],
     "q_by_state": ["quarter", "physician_state"],
 }
 
 
-def payments_table(spark: SparkSession, table: str, n_buckets: int = 32) -> KeyedTable:
-    """The table at that place; `n_buckets` counts when its first batch is merged."""
-    return KeyedTable(spark, table, VIEWS, n_buckets=n_buckets)
+def payments_table(
+    spark: SparkSession, table: str, views: Mapping[str, list[str]] = QUARTERS, n_buckets: int = 0
+) -> KeyedTable:
+    """The table at that place. `views` and `n_buckets` (0: shuffle partitions) are for one that begins."""
+    return KeyedTable(spark, table, views, n_buckets=n_buckets)
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
@@ -43,7 +46,7 @@ def current(spark: SparkSession, table: str) -> DataFrame:
 
 def kept_view(spark: SparkSession, table: str, name: str) -> DataFrame:
     """One of VIEWS as of the last batch, in the columns of the view of that name."""
-    sums = payments_table(spark, table).view(name)
+    sums = payments_table(spark, table, VIEWS).view(name)
     if sums is None:
         empty = [*(T.StructField(d, T.StringType()) for d in VIEWS[name]), T.StructField("total", T.DecimalType(38, 2))]
         sums = spark.createDataFrame([], T.StructType([*empty, T.StructField("rows", T.LongType())]))
@@ -55,28 +58,25 @@ def kept_view(spark: SparkSession, table: str, name: str) -> DataFrame:
 def register_kept_views(spark: SparkSession, table: str) -> None:
     """The table and its kept views under their names, for `spark.sql`, as of the last batch."""
     current(spark, table).createOrReplaceTempView("payments")
-    for name in VIEWS:
+    for name in VIEWS.keys() - QUARTERS.keys():
         kept_view(spark, table, name).createOrReplaceTempView(name)
 
 
 def quarter_totals(spark: SparkSession, table: str) -> DataFrame:
-    """Dollars and rows of each quarter, as of the last batch; added up from the kept sums."""
-    sums = payments_table(spark, table).view("q_by_state")
-    if sums is None:
-        return kept_view(spark, table, "q_by_state").drop("physician_state")
-    return sums.groupBy("quarter").agg(
-        F.sum("total").cast("double").alias("total_usd"), F.sum("rows").alias("payment_count")
-    )
+    """Dollars and rows of each quarter, as of the last batch."""
+    return kept_view(spark, table, "quarters")
 
 
-def apply_batch(batch: DataFrame, batch_id: int, table: str, source: str) -> int:
+def apply_batch(
+    batch: DataFrame, batch_id: int, table: str, source: str, views: Mapping[str, list[str]] = QUARTERS
+) -> int:
     """Merge one batch of landed rows (with `ingest_seq`) into the table. Safe to repeat.
 
     `source` names whose numbers `batch_id` are; of one source they ascend. A row that is older than
     the stored one of its record does not replace it. Returns the version of the table.
     """
-    rows = latest_payments(batch).select(*S.PAYMENT.names, "ingest_seq")
-    return payments_table(batch.sparkSession, table).merge(rows, source, batch_id)
+    rows = good_rows(batch).select(*S.PAYMENT.names, "ingest_seq")
+    return payments_table(batch.sparkSession, table, views).merge(rows, source, batch_id)
 
 
 def start_ingest(
@@ -84,17 +84,19 @@ def start_ingest(
     table: str,
     checkpoint: str,
     to_landed: Callable[[DataFrame], DataFrame] | None = None,
+    views: Mapping[str, list[str]] = QUARTERS,
 ) -> StreamingQuery:
     """Load everything that is there now, in batches, and stop. Started again, it continues.
 
     `to_landed` turns a batch of source rows into landed rows with `ingest_seq` (for filings: the
-    product match). `stream` decides the batch size, e.g. by `maxFilesPerTrigger`.
+    product match). `stream` decides the batch size, e.g. by `maxFilesPerTrigger`. `views` are the sums
+    that a table that begins will keep.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # The checkpoint holds the stream's id, which stays the same over restarts.
         source = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table, source)
+        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table, source, views)
 
     return (
         stream.writeStream.foreachBatch(run)
@@ -104,7 +106,7 @@ def start_ingest(
     )
 
 
-def compact(spark: SparkSession, table: str, target: str, n_buckets: int = 32) -> None:
+def compact(spark: SparkSession, table: str, target: str, n_buckets: int) -> None:
     """Write the current table once as a new table, with buckets for its size now.
 
     Streams go on with the new table, from their checkpoints or with new ones.

@@ -149,6 +149,23 @@ def test_later_paths_and_rows_are_written_later(spark, tmp_path):
     assert {r[S.RECORD_ID]: r[S.RECIPIENT_STATE] for r in kept.collect()} == {"1": "newest", "2": "newer"}
 
 
+def test_order_of_paths_of_which_one_begins_the_other(spark, tmp_path):
+    names = [S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE]
+    folders = ["2023b", "2023", "2023 and + more%41", "deep/2023"]
+    for n, name in enumerate(folders):
+        os.makedirs(tmp_path / name)
+        write_csv(tmp_path / name / "x.csv", names, [["1", f"state {n}", ""], [f"only {n}", "x", ""]])
+    for order in (folders, folders[::-1], folders[2:] + folders[:2]):
+        rows = files.read_filings(spark, [str(tmp_path / f) for f in order])
+        assert rows.count() == 8
+        kept = {r[S.RECORD_ID]: r[S.RECIPIENT_STATE] for r in upsert.latest(rows, S.RECORD_ID).collect()}
+        assert kept["1"] == f"state {folders.index(order[-1])}"
+        places = {r[0]: r[1] for r in rows.select(S.RECORD_ID, "ingest_seq.path").collect() if r[0] != "1"}
+        assert places == {f"only {folders.index(f)}": n for n, f in enumerate(order)}
+    got = files.read_filings(spark, [f"file://{tmp_path}/2023/x.csv", f"file:{tmp_path}/deep"])
+    assert {r[0]: r[1] for r in got.select(S.RECORD_ID, "ingest_seq.path").collect()}["only 1"] == 0
+
+
 def test_landing_and_gzip_json(spark, tmp_path):
     year = tmp_path / "in" / "directory_year=2023"
     os.makedirs(year)
@@ -261,7 +278,7 @@ def test_a_correction_leaves_its_old_quarter(spark):
     first = [{"record_id": "a", "quarter": "2023Q1", "ingest_seq": 1, "amount_usd": "5"},
              {"record_id": "b", "quarter": "2023Q2", "ingest_seq": 2, "amount_usd": "7"},
              {"record_id": "c", "quarter": None, "ingest_seq": 3, "physician_state": "CA"}]
-    ingest.apply_batch(landed(spark, *first), 0, base, "s")
+    ingest.apply_batch(landed(spark, *first), 0, base, "s", ingest.VIEWS)
     later = [{"record_id": "a", "quarter": "2023Q2", "ingest_seq": 5, "amount_usd": "6"},
              {"record_id": "b", "quarter": "2023Q4", "ingest_seq": 1},  # older than what is there
              {"record_id": "c", "quarter": None, "ingest_seq": 4, "physician_state": "NY", "amount_usd": "bad"}]
@@ -279,9 +296,9 @@ def test_a_correction_leaves_its_old_quarter(spark):
 
 def test_a_batch_reads_and_writes_its_buckets_only(spark):
     base = scratch_dir(spark, "test-buckets")
-    table = ingest.payments_table(spark, base)
+    table = ingest.payments_table(spark, base, n_buckets=32)
     rows = [{"record_id": f"r{n}", "ingest_seq": n} for n in range(200)]
-    ingest.apply_batch(landed(spark, *rows), 0, base, "s")
+    table.merge(upsert.latest_payments(landed(spark, *rows)).select(*S.PAYMENT.names, "ingest_seq"), "s", 0)
     before = table.commit()
     assert len(before.buckets) == 32
     one = {"record_id": "r7", "ingest_seq": 900, "amount_usd": "1"}
