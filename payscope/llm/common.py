@@ -94,16 +94,18 @@ def repeated(docs: DataFrame, total: DataFrame) -> DataFrame:
     """The documents, same columns, as often as `total` says.
 
     It has one row (_doc, _text, _rows, _copies) per key: the rows that there are, the copies that
-    shall be. Rows with equal id and text share them evenly.
+    shall be. Rows with equal id and text share them evenly. The documents travel as one struct each,
+    so they may have columns of any name.
     """
-    joined = docs.select("*", *row_key()).join(total.filter("_copies > 0"), ["_doc", "_text"])
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select(F.struct("*").alias("row"), *row_key())
+    joined = whole.join(total.filter("_copies > 0"), ["_doc", "_text"])
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
     place = F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.xxhash64(F.lit(0), *others)))
     n = F.floor(F.col("_copies") * F.col("_place") / F.col("_rows")) - F.floor(
         F.col("_copies") * (F.col("_place") - 1) / F.col("_rows")
     )
     counted = joined.withColumn("_place", place).withColumn("_n", n.cast("int")).filter("_n > 0")
-    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).select(*docs.columns)
+    return counted.select("row", F.explode(F.sequence(F.lit(1), "_n"))).select("row.*")
 
 
 def ratio_up(n: int, size: int) -> int:

@@ -165,10 +165,11 @@ def find(
         index = Index(templates, frequency, threshold)
 
         def places(line: bytes, phrase: bytes) -> list[int]:
-            found, at = [], line.find(phrase)
-            while at >= 0:
-                found.append(line.count(b" ", 0, at))
-                at = line.find(phrase, at + 1)
+            found, at, before, word = [], line.find(phrase), 0, 0
+            while at >= 0:  # words are counted on from the last place
+                word += line.count(b" ", before, at)
+                found.append(word)
+                before, at = at, line.find(phrase, at + 1)
             return found
 
         def each(batch):

@@ -21,7 +21,8 @@ document or over cells of bounded size.
 
 Null texts stay null. Texts without words stay. Rows with the same doc_id and text are one document
 and get the same result; a null doc_id counts as the last. An empty table gives an empty result. All
-columns of the documents are returned, with the shorter text (and n_chars, if it is there).
+columns of the documents are returned, whatever their names, with the shorter text (and n_chars, if it is
+there).
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def runs(lines: DataFrame, min_words: int) -> DataFrame:
         F.count("*").over(every).alias("all_lines"),
     ).filter(F.col("all_words") >= min_words)
     counted = counted.withColumn("before", F.col("upto") - F.col("w"))
-    later = Window.partitionBy(*DOC).orderBy("before").rangeBetween(min_words, Window.unboundedFollowing)
+    # Both frames only grow from row to row (a falling order turns the sign), so each row is added once.
+    later = Window.partitionBy(*DOC).orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -min_words)
     earlier = Window.partitionBy(*DOC).orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)
     stop = F.coalesce(
         F.min("n").over(later), F.when(F.col("all_words") - F.col("before") >= min_words, F.col("all_lines"))
@@ -190,15 +192,21 @@ def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents with their later copies of repeated runs deleted, and how many lines went."""
-    plan = deletions(docs, min_words).select(
+    """`row` (a document as it was), `text` without the later copies of repeated runs, and `n_deleted`.
+
+    The documents travel as one struct each, so they may have columns of any name.
+    """
+    plan = deletions(docs.select("doc_id", "text"), min_words).select(
         F.col("_ha").alias("_pa"), F.col("_hb").alias("_pb"), F.col("_id").alias("_first"),
         F.col("copies").alias("_copies"), F.col("spans").alias("_spans")
     )
-    ha, hb = _key(F.col("text"))
-    joined = docs.join(plan, (ha == F.col("_pa")) & (hb == F.col("_pb")), "left")
-    lines = F.split("text", "\n")
-    is_copy = F.col("_copies") & (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)) > F.col("_first"))
+    text = F.col("row").getField("text")
+    ha, hb = _key(text)
+    whole = docs.select(F.struct("*").alias("row"))
+    joined = whole.join(plan, (ha == F.col("_pa")) & (hb == F.col("_pb")), "left")
+    lines = F.split(text, "\n")
+    doc_id = F.coalesce(F.col("row").getField("doc_id").cast("long"), F.lit(LAST_ID))
+    is_copy = F.col("_copies") & (doc_id > F.col("_first"))
     kept = F.when(is_copy, F.filter(lines, lambda x: _word_count(x) == 0)).when(
         F.col("_spans").isNotNull(),
         F.filter(
@@ -206,24 +214,21 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
             lambda x, no: ~F.exists("_spans", lambda s: no.between(s["first"], s["last"])) | (_word_count(x) == 0),
         ),
     )
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    text = F.coalesce(F.array_join("_kept", "\n"), F.col("text"))
-    deleted = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
-    n_chars = [F.length("_text").cast(t).alias(c) for c, t in docs.dtypes if c == "n_chars"]
-    return (
-        joined.withColumn("_kept", kept)
-        .select(*columns, text.alias("_text"), deleted.alias("_deleted"))
-        .select(*columns, F.col("_text").alias("text"), *n_chars, "_deleted")
+    return joined.withColumn("_kept", kept).select(
+        "row",
+        F.coalesce(F.array_join("_kept", "\n"), text).alias("text"),
+        F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_deleted"),
     )
 
 
 def deduplicated(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The documents, same columns, with the shorter texts."""
-    return dedup(docs, min_words).select(*docs.columns)
+    """The documents, same columns, with the shorter texts (and n_chars, if it is there)."""
+    changed = {"text": F.col("text")} | {c: F.length("text").cast(t) for c, t in docs.dtypes if c == "n_chars"}
+    return dedup(docs, min_words).select(
+        *[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+    )
 
 
 def digest(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, n_deleted (lines) and the text that is left."""
-    return dedup(docs.select("doc_id", "text"), min_words).select(
-        "doc_id", F.col("_deleted").alias("n_deleted"), "text"
-    )
+    return dedup(docs.select("doc_id", "text"), min_words).select("row.doc_id", "n_deleted", "text")

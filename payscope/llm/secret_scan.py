@@ -86,10 +86,16 @@ def scan(docs: DataFrame, least: int = 16) -> DataFrame:
                 spans.append([{"kind": k, "start": a, "stop": b} for a, k, b, _, _ in base])
                 samples.append([text[a:b] for _, _, _, a, b in base])
                 left = []
+                # Candidates and base spans both come by start: the latest end of all spans that
+                # start before a candidate's end says whether one of them reaches into it.
+                ahead, reached = iter([*base, (len(text) + 1, "", 0, 0, 0)]), 0
+                span = next(ahead)
                 for m in runs.finditer(text):
                     a, b = m.span()
+                    while span[0] < b:
+                        reached, span = max(reached, span[2]), next(ahead)
                     token = m.group().strip("=.-_/+")
-                    if letter.search(token) and not any(a < s[2] and s[0] < b for s in base):
+                    if reached <= a and letter.search(token):
                         a += m.group().index(token)
                         left.append({"start": a, "stop": a + len(token), "token": token})
                 candidates.append(left)

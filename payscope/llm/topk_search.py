@@ -13,7 +13,8 @@ earlier one. The best k of each pair of blocks meet in a window that is cut to k
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows without a
 vec_id. Only vectors of equal length are compared. Repeated rows are rows of their own: a query is
-kept from itself alone. Scores must fit a long.
+kept from itself alone. An empty table gives an empty result. Only vec_id and embedding are read, so
+further columns, whatever their names, change nothing. Scores must fit a long.
 """
 
 from __future__ import annotations

@@ -10,9 +10,9 @@ Labels say toxic or not; grades beyond that come from the labelled texts themsel
 are cut into `GRADES` - 1 equal groups by the share of their words that speak for toxicity.
 
 The model is fitted on a bounded sample: at most `per_label` documents of each label, those with the
-lowest hash of doc_id, none of them held out (see quality.held_out), and at most `most_features`
-features, those that speak for toxicity most clearly. Feature counts of the sample are summed by Spark. All
-documents are scored, whole.
+lowest hash of doc_id, none of them held out (see quality.held_out). Its features are all that occur in at
+least `least_documents` of them and speak for toxicity: what speaks against it is only how much clean
+text there is. Feature counts of the sample are summed by Spark. All documents are scored, whole.
 
 Null and empty texts have no features: their score is that of the thresholds alone. Contradicting
 labels of one doc_id are left out; repeated rows are scored each; with no label of either kind to
@@ -105,8 +105,8 @@ class Model:
     thresholds: np.ndarray  # ascending
 
 
-def _select(sample: DataFrame, most: int, least_documents: int) -> list[tuple[bytes, int, float]]:
-    """(key, step, log odds) of the features that speak for toxicity most clearly."""
+def _select(sample: DataFrame, least_documents: int) -> list[tuple[bytes, int, float]]:
+    """(key, step, log odds) of all features that speak for toxicity."""
 
     def work():
         def each(batch):
@@ -135,10 +135,10 @@ def _select(sample: DataFrame, most: int, least_documents: int) -> list[tuple[by
         # What speaks against toxicity is only how much clean text there is, so a long text would
         # outweigh its insults.
         .filter(F.col("odds") > 0)
-        .orderBy((F.col("odds") * F.sqrt(F.col("clean") + F.col("toxic"))).desc(), "key", "step")
-        .limit(most)
+        .select("key", "step", "odds")
     )
-    return [(bytes(r["key"]), r["step"], r["odds"]) for r in best.collect()]
+    # As many as a bounded sample has features in at least that many documents; in a fixed order.
+    return sorted((bytes(r["key"]), r["step"], r["odds"]) for r in best.toLocalIterator())
 
 
 def ordinal_fit(
@@ -188,9 +188,9 @@ def ordinal_fit(
     return value[:n_features], value[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def fit(sample: DataFrame, most_features: int = 1500, least_documents: int = 4) -> Model | None:
+def fit(sample: DataFrame, least_documents: int = 4) -> Model | None:
     sample = staged(sample, "toxicity-sample")
-    chosen = _select(sample, most_features, least_documents)
+    chosen = _select(sample, least_documents)
     if not chosen:
         return None
     features = {(key, s): n for n, (key, s, _) in enumerate(chosen)}
