@@ -10,9 +10,10 @@ Labels say toxic or not; grades beyond that come from the labelled texts themsel
 are cut into `GRADES` - 1 equal groups by the share of their words that speak for toxicity.
 
 The model is fitted on a bounded sample: at most `per_label` documents of each label, those with the
-lowest hash of doc_id, none of them held out (see quality.held_out). Its features are all that occur in at
-least `least_documents` of them and speak for toxicity: what speaks against it is only how much clean
-text there is. Feature counts of the sample are summed by Spark. All documents are scored, whole.
+lowest hash of doc_id, none of them held out (see quality.held_out). Its features are all that speak for
+toxicity with some certainty: their log odds are at least `least_z` standard errors above 0. What speaks
+against it is only how much clean text there is. Feature counts of the sample are summed by Spark. All
+documents are scored, whole.
 
 Null and empty texts have no features: their score is that of the thresholds alone. Contradicting
 labels of one doc_id are left out; repeated rows are scored each; with no label of either kind to
@@ -105,8 +106,8 @@ class Model:
     thresholds: np.ndarray  # ascending
 
 
-def _select(sample: DataFrame, least_documents: int) -> list[tuple[bytes, int, float]]:
-    """(key, step, log odds) of all features that speak for toxicity."""
+def _select(sample: DataFrame, least_z: float) -> list[tuple[bytes, int, float]]:
+    """(key, step, log odds) of all features that speak for toxicity with that certainty."""
 
     def work():
         def each(batch):
@@ -129,15 +130,15 @@ def _select(sample: DataFrame, least_documents: int) -> list[tuple[bytes, int, f
     totals = sample.agg(F.count(F.when(F.col("label") == 0, 1)), F.count(F.when(F.col("label") == 1, 1))).first()
     summed = counted.groupBy("key", "step").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1.0))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = (
-        summed.filter(F.col("clean") + F.col("toxic") >= least_documents)
-        .withColumn("odds", odds)
+        summed.withColumn("odds", odds)
         # What speaks against toxicity is only how much clean text there is, so a long text would
         # outweigh its insults.
-        .filter(F.col("odds") > 0)
+        .filter(F.col("odds") >= least_z * error)
         .select("key", "step", "odds")
     )
-    # As many as a bounded sample has features in at least that many documents; in a fixed order.
+    # As many as a bounded sample has such features; in a fixed order.
     return sorted((bytes(r["key"]), r["step"], r["odds"]) for r in best.toLocalIterator())
 
 
@@ -188,9 +189,9 @@ def ordinal_fit(
     return value[:n_features], value[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def fit(sample: DataFrame, least_documents: int = 4) -> Model | None:
+def fit(sample: DataFrame, least_z: float = 2.0) -> Model | None:
     sample = staged(sample, "toxicity-sample")
-    chosen = _select(sample, least_documents)
+    chosen = _select(sample, least_z)
     if not chosen:
         return None
     features = {(key, s): n for n, (key, s, _) in enumerate(chosen)}
