@@ -123,7 +123,7 @@ def _citable(
     evidence: DataFrame, derivations: DataFrame | None, strict: bool, key: str
 ) -> DataFrame:
     """One row per id that an answer may cite: evidence before derivations, later before earlier."""
-    leaves = N.whole_number_leaves if strict else N.numeric_leaves
+
     def candidates(frame: DataFrame, source_id: str, rank: int, payload: Column, result: Column, steps: Column):
         return frame.select(
             key,
@@ -150,15 +150,80 @@ def _citable(
         .filter("nth = 1")
         .select(
             key,
-            "source_id",
+            F.col("source_id").alias("cited_id"),
             "rank",
-            leaves(F.col("payload")).alias("leaves"),
+            "payload",
             "result",
             recomputed(F.col("steps")).alias("recomputed"),
         )
     )
 
 
+ALWAYS = -(1 << 20)  # level of leaves and claims that meet in any case
+REACH = 1000.0  # cells from zero that a claim can be away from it on its level, at most
+
+
+def _probes(strict: bool) -> Column:
+    """The cells in which a number that matches the claim can lie, as (level, cell).
+
+    Cells of level L are 2^L wide. A claim looks on the level where a cell is at least as wide as its
+    band, which then meets two cells at most. A percent looks for its number times and over 100 too.
+    """
+    claim = F.col("value")
+    band = F.abs(claim) * (N.RELATIVE_TOLERANCE * 1.02) + 1e-300
+    if not strict:  # also what rounds to the claim
+        band = F.greatest(band, F.pow(F.lit(10.0), -F.col("decimals").cast("double")) * 0.51)
+
+    def around(scale: float) -> Column:
+        centre, half = claim * scale, band * scale
+        level = F.ceil(F.log2(half * 2)).cast("int")
+        width = F.pow(F.lit(2.0), level)
+        ends = F.array_distinct(F.array(F.floor((centre - half) / width), F.floor((centre + half) / width)))
+        return F.transform(ends, lambda cell: F.struct(level.alias("level"), cell.alias("cell")))
+
+    in_any_case = F.array(F.struct(F.lit(ALWAYS).alias("level"), F.lit(0).cast("long").alias("cell")))
+    scaled = F.concat(around(1.0), around(0.01), around(100.0))
+    return F.concat(F.when(F.col("is_percent"), scaled).otherwise(around(1.0)), in_any_case)
+
+
+def _in_evidence(stated: DataFrame, sources: DataFrame, strict: bool, key: str) -> DataFrame:
+    """The different claims (key, cited_id, value, decimals, is_percent) that their evidence holds.
+
+    Claims and leaves are rows, each different one once, and meet in an equi-join on cells of values,
+    so an evidence with very many leaves is spread over its cells and no list of leaves is joined.
+    """
+    leaves = N.whole_number_leaves if strict else N.numeric_leaves
+    claim = [key, "cited_id", "value", "decimals", "is_percent"]
+    claims = stated.filter(F.col("cited_id").isNotNull() & F.col("value").isNotNull()).select(*claim).distinct()
+    probes = claims.select(*claim, F.inline(_probes(strict)))
+    levels = probes.groupBy(key, "cited_id").agg(F.collect_set("level").alias("levels"))
+    held = (
+        sources.filter("rank = 1")
+        .select(key, "cited_id", F.explode(F.array_distinct(leaves(F.col("payload")))).alias("leaf"))
+        .filter("leaf IS NOT NULL")
+        .join(levels, [key, "cited_id"])
+    )
+    leaf = F.col("leaf")
+    is_finite = F.abs(leaf) < float("inf")
+    near = F.filter(
+        "levels",
+        lambda n: F.when(is_finite, (n > ALWAYS) & (F.abs(leaf) < F.pow(F.lit(2.0), n) * REACH)).otherwise(n == ALWAYS),
+    )
+    celled = held.select(key, "cited_id", "leaf", F.explode(near).alias("level")).withColumn(
+        "cell",
+        F.when(F.col("level") == ALWAYS, F.lit(0).cast("long")).otherwise(
+            F.floor(leaf / F.pow(F.lit(2.0), F.greatest("level", F.lit(-1070))))
+        ),
+    )
+    stated_value, decimals, percent = F.col("value"), F.col("decimals"), F.col("is_percent")
+
+    def same(candidate: Column) -> Column:
+        return N.close_strict(stated_value, candidate) if strict else N.close(stated_value, candidate, decimals)
+
+    holds = same(leaf) | (percent & (same(leaf * 100) | same(leaf / 100)))
+    return probes.join(celled, [key, "cited_id", "level", "cell"]).filter(holds).select(*claim).distinct()
+
+
 def verdicts(
     answers: DataFrame,
     evidence: DataFrame,
@@ -174,20 +239,19 @@ def verdicts(
     """
     strict = mode == STRICT
     stated = cited_numbers(answers, mode, key, text)
-    sources = _citable(evidence, derivations, strict, key).withColumnRenamed("source_id", "cited_id")
-    joined = stated.join(sources, [key, "cited_id"], "left")
-    claim, decimals, percent = F.col("value"), F.col("decimals"), F.col("is_percent")
+    sources = _citable(evidence, derivations, strict, key)
+    found = _in_evidence(stated, sources, strict, key).withColumn("held", F.lit(True))
+    joined = stated.join(sources.drop("payload"), [key, "cited_id"], "left").join(
+        found, [key, "cited_id", "value", "decimals", "is_percent"], "left"
+    )
+    claim, decimals = F.col("value"), F.col("decimals")
 
     def same(candidate: Column) -> Column:
         if strict:
             return N.close_strict(claim, candidate)
         return N.close(claim, candidate, decimals)
 
-    def holds(leaf: Column) -> Column:
-        forms = same(leaf) | (percent & (same(leaf * 100) | same(leaf / 100)))
-        return forms
-
-    in_evidence = F.exists("leaves", holds)
+    in_evidence = F.col("held")
     result, again = F.col("result"), F.col("recomputed")
     recomputes = F.abs(again - result) <= F.greatest(
         F.abs(result), F.lit(1e-9)

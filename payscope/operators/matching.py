@@ -96,6 +96,62 @@ def slot_matches(filings: DataFrame, dictionary: ProductDictionary) -> DataFrame
     )
 
 
+GRAM = 3  # characters of a term that the index holds
+
+
+def text_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """For each different text the first term (by `place`) that it contains: (text, term).
+
+    `texts` has text (lower case, stripped), `terms` has place and term; both may be large. A term is
+    indexed by one of its runs of GRAM characters, the one that the fewest terms share (a shorter term by
+    itself), and a text looks up its own runs: an equi-join, then the exact test. Only what shares a
+    term's run is tested, and the plan is the same for any number of terms. Empty texts contain nothing.
+    """
+    def runs(of: Column, size: Column) -> Column:
+        count = F.greatest(F.length(of) - size + 1, F.lit(0))
+        return F.array_distinct(
+            F.transform(
+                F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda n: n <= count),
+                lambda n: F.substring(of, n, size),
+            )
+        )
+
+    size = F.least(F.length("term"), F.lit(GRAM))
+    known = terms.filter(F.col("term").isNotNull()).groupBy("term").agg(F.min("place").alias("place"))
+    spread = known.select("term", "place", F.explode(runs(F.col("term"), size)).alias("gram"))
+    shared = spread.groupBy("gram").agg(F.count("*").alias("n"))
+    index = (
+        spread.join(shared, "gram")
+        .groupBy("term", "place")
+        .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    )
+    own = F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in range(1, GRAM + 1)], F.array(F.lit(""))))
+    looked_up = texts.select("text").filter("text != ''").distinct().select("text", F.explode(own).alias("gram"))
+    return (
+        looked_up.join(index, "gram")
+        .filter(F.col("text").contains(F.col("term")))
+        .groupBy("text")
+        .agg(F.min_by("term", "place").alias("term"))
+    )
+
+
+def slot_matches_by_terms(filings: DataFrame, terms: DataFrame) -> DataFrame:
+    """`slot_matches` for a dictionary that is a table (place, term), of any size.
+
+    Different texts are matched once and joined back; product names are few beside the rows that hold
+    them. Small sides are broadcast by their size, and a text that very many rows hold is a skewed join,
+    which Spark splits.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(slot).alias("slot"), F.lit(field).alias("field"), F.lower(strip(F.col(field))).alias("text"))
+            for slot, field in _FIELDS
+        ]
+    )
+    every = filings.select(F.col(S.RECORD_ID).alias("record_id"), F.inline(cells)).filter("text != ''")
+    return every.join(text_terms(every, terms), "text").select("record_id", "slot", "field", "term")
+
+
 def _generic(term: Column, dictionary: ProductDictionary) -> Column:
     pairs = [F.lit(text) for pair in dictionary.generic_of().items() for text in pair]
     return F.try_element_at(F.create_map(*pairs), term)

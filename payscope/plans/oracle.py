@@ -656,6 +656,16 @@ for _name, _dims in _QUARTERS.items():
 
 ORACLE: dict[str, str] = {
     "filings_match": query("SELECT * FROM fx_matches", "fx_matches"),
+    "filings_match_table": query(
+        f"""
+SELECT record_id, slot, field, min(term) AS term
+FROM ({_CELLS}) JOIN (SELECT DISTINCT lower(term) AS term
+                      FROM (SELECT p_name AS term FROM part UNION ALL SELECT p_type FROM part)
+                      WHERE length(term) > 0) ON contains(lower(text), term)
+GROUP BY record_id, slot, field
+""",
+        "fx_filings",
+    ),
     "filings_canonical": query(f"SELECT {_LANDED} FROM fx_landed", "fx_landed"),
     "filings_dates": query(
         """

@@ -53,6 +53,16 @@ def filings_match(spark, d):
     return found.withColumn("slot", F.col("slot").cast("long"))
 
 
+@_query
+def filings_match_table(spark, d):
+    """The dictionary is a table: all names and types of parts, in the order of the alphabet."""
+    parts = tb.table(spark, d, "part")
+    words = parts.select(F.col("p_name").alias("term")).union(parts.select("p_type")).filter("length(term) > 0")
+    terms = words.select(F.lower("term").alias("term")).distinct().select("term", F.col("term").alias("place"))
+    found = matching.slot_matches_by_terms(tb.filings(spark, d), terms)
+    return found.withColumn("slot", F.col("slot").cast("long"))
+
+
 @_query
 def filings_canonical(spark, d):
     return tb.landed(spark, d).withColumn(

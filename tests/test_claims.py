@@ -163,3 +163,36 @@ def test_no_python_in_the_plan_without_derivations(spark):
     evidence = spark.createDataFrame([("a", "q", 0, "1")], EVIDENCE)
     plan = claims.verdicts(answers, evidence)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_large_evidence_cited_very_often(spark):
+    """100,000 leaves and 10,000 citations in one answer: claims and leaves meet by value."""
+    leaves = [1000 + 7 * n for n in range(100_000)]
+    stated = [1000 + 70 * n for n in range(5_000)] + [3_000_000 + 40_000 * n for n in range(5_000)]
+    text = " ".join(f"{x} [q]" for x in stated)
+    answers = spark.createDataFrame([("a", text)], "answer_id string, answer_text string")
+    evidence = spark.createDataFrame([("a", "q", 0, json.dumps(leaves))], EVIDENCE)
+    frame = claims.verdicts(answers, evidence, mode=claims.CLAIM_ONCE)
+    largest = leaves[-1]
+    want = [x for x in stated if not N_is_year(x)]
+    got = frame.orderBy("segment", "number").collect()
+    assert [int(r.raw) for r in got] == want
+    assert [r.passed for r in got] == [x <= largest * 1.005 for x in want]
+    for line in frame._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "Join" not in line or "leaves" not in line
+
+
+def N_is_year(x):
+    return 1900 <= x <= 2099
+
+
+@pytest.mark.parametrize(
+    "text, leaf, holds",
+    [("0 [q]", 0.3, True), ("0 [q]", 0.5, True), ("0 [q]", 0.6, False), ("1 [q]", 0.5, False), ("1 [q]", 0.51, True),
+     ("0 [q]", 0, True), ("0 [q]", -0.4, True), ("1,000,000 [q]", 1_004_000, True), ("1,000,000 [q]", 1_006_000, False),
+     ("0.0001 [q]", 0.000051, True), ("50% [q]", 0.5, True), ("50% [q]", 5000, True), ("50% [q]", 50.2, True),
+     ("50% [q]", 5.0, False), ("0.5% [q]", 0.0054, True), ("0 [q]", 1e-300, True), ("7 [q]", 1e300, False)],
+)
+def test_bands_of_values(spark, text, leaf, holds):
+    accepted, _, _ = check(spark, f"It was {text}.", [("q", {"x": leaf, "other": 123456789.5})])
+    assert accepted == holds

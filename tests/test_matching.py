@@ -163,3 +163,44 @@ def test_unreadable_date_stays(spark):
 def test_load_stats(spark):
     stats = typing.load_stats(landed_rows(spark, {}, {"amount_usd": "x"}, {"program_year": "2024"}))
     assert {r.program_year: tuple(r)[1:] for r in stats.collect()} == {2023: (2, 1, 1), 2024: (1, 1, 0)}
+
+
+def matched_by_hand(rows, terms):
+    """(record_id, slot, field, term) by trying every term on every field."""
+    found = []
+    for r in rows:
+        for slot in S.SLOTS:
+            for field in (name(slot), category(slot)):
+                text = (r.get(field) or "").strip().lower()
+                hits = [t for t in terms if text and t in text]
+                found += [(r[S.RECORD_ID], slot, field, hits[0])] if hits else []
+    return sorted(found)
+
+
+def test_dictionary_as_a_table(spark):
+    terms = ["ozempic", "zem", "xi", "q", "wegovy pen", "aaaa", "zzzz none", "é!"]
+    rows = [
+        {S.RECORD_ID: "1", name(1): " OZEMPIC pen ", category(1): "Taxis", name(2): "aaa", category(5): "xaaaax"},
+        {S.RECORD_ID: "1", name(3): "Zemex"},
+        {S.RECORD_ID: "2", name(1): "Wegovy  pen", name(2): "wegovy pen", name(5): "caFÉ!q", category(2): "  "},
+        {S.RECORD_ID: "3", name(1): "none of them", name(2): None, category(3): ""},
+    ]
+    for listed in (terms, terms[::-1], [*terms, ""], ["zem", *terms]):
+        table = spark.createDataFrame(list(enumerate(listed)), "place int, term string")
+        got = matching.slot_matches_by_terms(filings(spark, *rows), table).collect()
+        assert sorted(map(tuple, got)) == matched_by_hand(rows, listed)
+    nothing = spark.createDataFrame([], "place int, term string")
+    assert matching.slot_matches_by_terms(filings(spark, *rows), nothing).collect() == []
+
+
+def test_dictionary_of_a_hundred_thousand_terms(spark):
+    n = 100_000
+    table = spark.range(n).select(F.col("id").alias("place"), F.concat(F.lit("drug "), F.hex(F.col("id") * 7919), F.lit("x")).alias("term"))
+    small = spark.range(3).select(F.col("id").alias("place"), F.lit("drug").alias("term"))
+    rows = [{S.RECORD_ID: str(k), name(1): f"Drug {k * 7919:X}X forte", name(2): f"Drug {k * 7919 + 1:X}X"} for k in (0, 5, 99_999)]
+    frame = matching.slot_matches_by_terms(filings(spark, *rows), table.withColumn("term", F.lower("term")))
+    got = sorted((r.record_id, r.slot, r.term) for r in frame.collect())
+    assert got == [(str(k), 1, f"drug {k * 7919:x}x") for k in (0, 5, 99_999)]
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (
+        frame, matching.slot_matches_by_terms(filings(spark, *rows), small.withColumn("term", F.lower("term"))))]
+    assert len(plans[0]) < 2 * len(plans[1]) and "drug 7919" not in plans[0]
