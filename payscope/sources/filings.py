@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payscope import schemas as S
+from payscope.sources.records import OPENS, quoted_records
 
 BROKEN = "_broken_record"
 SEQUENCE = "ingest_seq"
@@ -60,18 +61,39 @@ def file_layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One row per file of the paths (files or folders): its header, and whether a line break
     stands within quotes.
 
-    One scan of all files as lines, however many there are. A line with an odd number of quotes
-    opens or closes a quotation that goes on in another line.
+    One scan of all files as lines, however many there are. Up to the first line that ends within
+    quotes all lines begin outside, so a file has such breaks if any of its lines would open one.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
         "value",
-        (quotes % 2 == 1).alias("odd"),
+        F.col("value").rlike(OPENS).alias("opens"),
     )
     return lines.groupBy("file").agg(
-        F.min_by("value", "place").alias("header"), F.max("odd").alias("has_breaks")
+        F.min_by("value", "place").alias("header"), F.max("opens").alias("has_breaks")
+    )
+
+
+def _wanted(names: Sequence[str]) -> list[Column]:
+    """The columns of a filing; those that a layout lacks are NULL."""
+    return [
+        (F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in S.FILING_COLUMNS
+    ]
+
+
+def _with_breaks(spark: SparkSession, names: Sequence[str], files: Sequence[str], order: Column) -> DataFrame:
+    """Rows of files with line breaks within quotes: records first, then their cells."""
+    fields = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, BROKEN])
+    options = {"escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": BROKEN}
+    found = quoted_records(spark, files, order)
+    cells = F.when(~F.col("unclosed"), F.from_csv("record", fields, options))
+    # A one-element explode: a record is parsed once, whatever is asked of its cells.
+    rows = found.select("seq", "record", "unclosed", F.explode(F.array(cells)).alias("cells"))
+    return rows.select("seq", "record", "unclosed", "cells.*").select(
+        *_wanted(names),
+        F.when(F.col("unclosed") | F.col(BROKEN).isNotNull(), F.col("record")).alias(BROKEN),
+        F.col("seq").alias(SEQUENCE),
     )
 
 
@@ -85,30 +107,18 @@ def _parsed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     order = write_order(paths)
     parts = []
     for (names, has_breaks), files in layouts.items():
+        if has_breaks:
+            parts.append(_with_breaks(spark, names, files, order))
+            continue
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
         # All cells are looked at, as a record is broken by their number.
         rows = spark.read.option("columnPruning", "false").csv(
-            files,
-            schema=schema,
-            header=True,
-            escape='"',
-            multiLine=has_breaks,
-            encoding="UTF-8",
-            columnNameOfCorruptRecord=BROKEN,
+            files, schema=schema, header=True, escape='"', encoding="UTF-8", columnNameOfCorruptRecord=BROKEN
         )
         # Spark does not read this column alone, so another one is named beside it.
         first = F.col(f"`{names[0]}`")
         broken = F.coalesce(F.col(BROKEN), F.when(first == "\0", first))
-        parts.append(
-            rows.select(
-                *[
-                    (F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c)
-                    for c in S.FILING_COLUMNS
-                ],
-                broken.alias(BROKEN),
-                order.alias(SEQUENCE),
-            )
-        )
+        parts.append(rows.select(*_wanted(names), broken.alias(BROKEN), order.alias(SEQUENCE)))
     if not parts:
         columns = [T.StructField(c, T.StringType()) for c in [*S.FILING_COLUMNS, BROKEN]]
         place = "path int, file string, block bigint, row bigint"
@@ -120,9 +130,9 @@ def read_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Filing rows of all given files and folders as text columns, with `ingest_seq`.
 
     Files are grouped by header, so a file with other columns, or in another order, is read by
-    name, also within one folder. Line breaks within quotes are kept: only files that have some are
-    read as a whole, one task each; all others are split. Records that do not fit their header are
-    left out here; `broken_filings` has them.
+    name, also within one folder. Line breaks within quotes are kept (`sources.records`); files with
+    and without them are split into byte ranges. Records that do not fit their header are left out
+    here; `broken_filings` has them.
     """
     return _parsed(spark, paths).filter(F.col(BROKEN).isNull()).drop(BROKEN)
 

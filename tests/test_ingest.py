@@ -12,6 +12,7 @@ from payscope.session import scratch_dir
 from payscope.sources import filings as files
 from payscope.sources.dictionary import GLP1, load_dictionary
 from payscope.sources.keyed import Conflict, KeyedTable
+from payscope.sources.records import OPENS, STAYS
 from payscope.sources.storage import stored_sizes
 from payscope.streaming import ingest
 
@@ -133,6 +134,83 @@ def test_line_breaks_within_quotes(spark, tmp_path):
         "1": ("CA", 'Food\nand "more", drinks'), "2": ("NY", "x"), "3": ("TX", "y")}
 
 
+def one_task_per_file(spark, path, names):
+    """What Spark's own reader gives for whole files."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = spark.read.csv(str(path), schema=schema, header=True, escape='"', multiLine=True, mode="DROPMALFORMED")
+    return sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_files_with_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    names = [S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE]
+    rng = random.Random(7)
+    pieces = ["a", "\n", '"', ",", " ", '""', "\n\n", '",\n"', "é", '\n"', "x" * 50, "\r\n", ""]
+    texts = {}
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n"), ("c.csv", "\n")):
+        rows = []
+        for n in range(600):
+            cells = [f"{name}{n}", *("".join(rng.choices(pieces, k=rng.randrange(6))) for _ in range(2))]
+            if name != "c.csv" or n not in (100, 500):  # long stretches without a break in c.csv
+                cells[1:] = [c.replace("\n", "").replace("\r", "") for c in cells[1:]] if name == "c.csv" else cells[1:]
+            else:
+                cells[2] = "first\n" + '"second", third\n' * 400
+            rows.append(cells)
+            texts[cells[0]] = tuple(c or None for c in cells[1:])
+        quoted = lambda c: '"' + c.replace('"', '""') + '"' if set(c) & set('",\r\n') or rng.random() < 0.3 else c
+        (tmp_path / name).write_bytes(end.join(",".join(map(quoted, r)) for r in [names, *rows]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_filings(spark, [str(tmp_path)])
+        got = [(r[S.RECORD_ID], r[S.RECIPIENT_STATE], r[S.NATURE]) for r in rows.collect()]
+        blocks = rows.groupBy("ingest_seq.file").agg(F.countDistinct("ingest_seq.block").alias("n")).collect()
+        assert files.broken_filings(spark, [str(tmp_path)]).count() == 0
+        kept = rows.orderBy("ingest_seq").select(S.RECORD_ID).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {g[0]: g[1:] for g in got} == texts and len(got) == 1800
+    # Spark's reader takes "\\r\\n" in a cell for "\\n" where lines end so; here cells stay as they are.
+    plain = lambda rows: sorted([tuple(c and c.replace("\r\n", "\n") for c in r) for r in rows], key=str)
+    assert plain(got) == plain(one_task_per_file(spark, tmp_path, names))
+    assert len(blocks) == 3 and all(b.n > 4 for b in blocks)
+    assert [r[0] for r in kept] == [f"{f}{n}" for f in ("a.csv", "b.csv", "c.csv") for n in range(600)]
+
+
+def ends_within_quotes(line, within):
+    """Character by character: at a cell's start, in quotes, or in the rest of a cell."""
+    state, n = "quoted" if within else "start", 0
+    while n < len(line):
+        c = line[n]
+        if state == "quoted" and c == '"':
+            if line[n + 1 : n + 2] == '"':
+                n += 1
+            else:
+                state = "rest"
+        elif state != "quoted":
+            state = "start" if c == "," else "quoted" if c == '"' and state == "start" else "rest"
+        n += 1
+    return state == "quoted"
+
+
+def test_a_line_is_a_step_between_two_states(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choices('"",a \r', k=rng.randrange(14))) for _ in range(3000)]
+    lines += ['"' + 'a""' * 100_000, "," * 200_000 + '"', 'x,"y",' * 50_000, '"","' * 50_000 + "a"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+    got = frame.select("n", F.col("value").rlike(OPENS), F.col("value").rlike(STAYS)).collect()
+    for n, opens, stays in got:
+        assert (opens, stays) == (ends_within_quotes(lines[n], False), ends_within_quotes(lines[n], True)), lines[n][:40]
+
+
+def test_a_quotation_that_is_never_closed(spark, tmp_path):
+    head = ",".join([S.RECORD_ID, S.RECIPIENT_STATE, S.NATURE])
+    (tmp_path / "a.csv").write_text(f'{head}\n1,CA,"x\ny"\n2,NY,"z\n3,TX,z\n\n4,TX,z\n')
+    (tmp_path / "b.csv").write_text(f'{head}\n5,CA,"x\ny",more\n6,5" pipe,"x\n\ny"\n')
+    assert read_ids(spark, tmp_path) == {"1": ("CA", "x\ny"), "6": ('5" pipe', "x\n\ny")}
+    broken = [r.record for r in files.broken_filings(spark, [str(tmp_path)]).collect()]
+    assert sorted(broken) == ['2,NY,"z', "3,TX,z", "4,TX,z", '5,CA,"x\ny",more']
+
+
 def test_broken_records_are_kept_apart(spark, tmp_path):
     (tmp_path / "a.csv").write_text(f"{S.RECORD_ID},{S.RECIPIENT_STATE},{S.NATURE}\n1,CA,x\n2,NY\n3,TX,y,z\n")
     assert read_ids(spark, tmp_path) == {"1": ("CA", "x")}
