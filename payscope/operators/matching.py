@@ -8,6 +8,7 @@ joined text of all ten fields; the per-field work runs on the few rows that are
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,8 +158,11 @@ def _generic(term: Column, dictionary: ProductDictionary) -> Column:
     return F.try_element_at(F.create_map(*pairs), term)
 
 
-def land(filings: DataFrame, dictionary: ProductDictionary, dataset: Column) -> DataFrame:
-    """Filing rows to landed records: relevant rows, canonical match, derived quarter.
+def land(
+    filings: DataFrame, dictionary: ProductDictionary, dataset: Column, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Filing rows to landed records: relevant rows, canonical match, derived quarter. Columns of the
+    filings that are named in `keep` stay.
 
     The canonical match is that of the lowest slot, and the name field comes before the category
     field. Its product is the stripped name in that slot, or the term when the name is blank.
@@ -187,4 +191,5 @@ def land(filings: DataFrame, dictionary: ProductDictionary, dataset: Column) ->
         F.col("_first.field").alias("matched_field"),
         F.col("_count").alias("matched_slot_count"),
         dataset.alias("source_year_dataset"),
+        *keep,
     )

@@ -47,7 +47,7 @@ def _reject_reason() -> Column:
     return reason
 
 
-def _can_load() -> Column:
+def can_load() -> Column:
     """The same decision as a plain predicate, without building a text."""
     fits = _year().isNotNull() & _amount().isNotNull()
     for name in ("record_id", *_TEXT_REQUIRED):
@@ -80,7 +80,7 @@ def typed(landed: DataFrame) -> DataFrame:
 
 def loadable(landed: DataFrame) -> DataFrame:
     """Landed rows that can load, values still as landed."""
-    return landed.filter(_can_load())
+    return landed.filter(can_load())
 
 
 def as_payments(rows: DataFrame) -> DataFrame:
@@ -99,6 +99,12 @@ def rejected_rows(landed: DataFrame) -> DataFrame:
     )
 
 
+def load_counts() -> dict[str, Column]:
+    """What a load counts of landed rows, as aggregates that can be observed while the rows are written."""
+    loads = F.coalesce(can_load(), F.lit(False))
+    return {"rows_seen": F.count("*"), "rows_upserted": F.count_if(loads), "rows_rejected": F.count_if(~loads)}
+
+
 def load_stats(landed: DataFrame) -> DataFrame:
     """Rows seen, loadable and rejected for each program year that loads (NULL: not readable)."""
     return (

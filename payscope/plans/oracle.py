@@ -760,7 +760,7 @@ FROM fx_landed GROUP BY ALL
         """
 SELECT CAST(coalesce(s.year, f.year) AS INTEGER) AS year, coalesce(rows_scanned, 0) AS rows_scanned,
        coalesce(rows_matched, 0) AS rows_matched, f.year IS NULL AS complete,
-       CASE WHEN f.year IS NOT NULL THEN 'connection reset' END AS error
+       CASE WHEN f.year IS NOT NULL THEN 'source went away' END AS error
 FROM (
     SELECT CAST(f.program_year AS INTEGER) AS year, count(*) AS rows_scanned, count(l.record_id) AS rows_matched
     FROM fx_filings f LEFT JOIN fx_landed l USING (record_id) GROUP BY 1
@@ -1304,6 +1304,30 @@ for _mode, _source in (("", "fx_cited"), ("_once", "fx_cited_once"), ("_strict",
     )
 
 ORACLE |= {
+    "land_years": query(
+        f"""
+SELECT CAST(f.program_year AS INTEGER) AS year, true AS complete,
+       CASE WHEN CAST(f.program_year AS INTEGER) % 3 = 0 THEN 2 ELSE 1 END AS run, count(*) AS rows_scanned,
+       0 AS rows_broken, count(l.record_id) AS rows_matched,
+       count(l.record_id) FILTER (WHERE reject_reason IS NULL) AS rows_loadable,
+       count(l.record_id) FILTER (WHERE reject_reason IS NOT NULL) AS rows_rejected,
+       coalesce(round(100.0 * CAST(count(l.record_id) FILTER (WHERE other) AS DOUBLE)
+             / nullif(count(l.record_id), 0), 2), 0.0) AS non_manufacturer_of_record_share_pct
+FROM fx_filings f
+LEFT JOIN (SELECT record_id, {_IS_OTHER} AS other FROM fx_landed) l USING (record_id)
+LEFT JOIN (SELECT record_id, reject_reason FROM fx_typed) t USING (record_id)
+GROUP BY ALL
+""",
+        "fx_filings",
+        "fx_landed",
+        "fx_typed",
+    ),
+    "load_landed_years": query(f"SELECT {_PAYMENT_COLUMNS} FROM fx_payments", "fx_payments"),
+    "stream_load_statistics": query(
+        "SELECT count(*) AS rows_seen, count(*) FILTER (WHERE reject_reason IS NULL) AS rows_upserted, "
+        "count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rows_rejected FROM fx_typed",
+        "fx_typed",
+    ),
     "manifest_files": query(
         """
 SELECT CAST(f.program_year AS INTEGER) AS year, count(*) AS rows_scanned, count(l.record_id) AS rows_matched,

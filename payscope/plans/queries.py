@@ -30,6 +30,7 @@ from payscope.operators import (
 from payscope.plans import testbed as tb
 from payscope.session import scratch_dir, stored
 from payscope.sources import filings as filing_files
+from payscope.sources import landing
 from payscope.sources import traces as trace_files
 from payscope.sources.dictionary import load_dictionary
 from payscope.sources.storage import stored_sizes
@@ -168,8 +169,9 @@ def csv_quarantine(spark, d):
     )
     header = ",".join(named.columns)
     text = named.select(S.RECORD_ID, lines.alias("value"))
-    # One text per task, with the header in front.
-    body = text.groupBy(F.pmod(F.xxhash64(S.RECORD_ID), F.lit(64)).alias("file")).agg(
+    # Files of about a thousand records, with the header in front.
+    n_files = text.count() // 1000 + 1
+    body = text.groupBy(F.pmod(F.xxhash64(S.RECORD_ID), F.lit(n_files)).alias("file")).agg(
         F.concat(F.lit(header + "\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("value")
     )
     body.write.partitionBy("file").text(path)
@@ -205,6 +207,35 @@ def landed_json(spark, d):
     return rows.withColumn("amount_usd", F.col("amount_usd").cast("double"))
 
 
+def _landed_years(spark: SparkSession, d: str) -> str:
+    """Filings as CSV folders by year, landed in two runs: in the first one a third of the years is
+    not there yet."""
+    base = scratch_dir(spark, "years")
+    rows = tb.filings(spark, d).withColumn("of", F.col(S.PROGRAM_YEAR))
+    rows.write.partitionBy("of").csv(f"{base}/csv", header=True, escape='"')
+    years = [r.year for r in tb.manifests(spark, d).select("year").collect()]  # one row per year
+    names = {y: f"set-{y}" for y in years}
+    for late in ("later", "csv"):
+        paths = {y: [f"{base}/{'csv' if y % 3 else late}/of={y}"] for y in years}
+        landing.land_years(spark, paths, tb.PRODUCTS, f"{base}/landed", names)
+    return f"{base}/landed"
+
+
+@_query
+def land_years(spark, d):
+    """What the markers say after both runs; all counts were observed while the rows were written."""
+    return landing.manifests(spark, _landed_years(spark, d)).drop("folder", "error")
+
+
+@_query
+def load_landed_years(spark, d):
+    """The landed years, merged into the payments in one merge."""
+    root = _landed_years(spark, d)
+    table = ingest.payments_table(spark, f"{root}/table")
+    landing.load_years(spark, root, table)
+    return _payment_columns(table.current())
+
+
 @_query
 def landing_gate(spark, d):
     """Landed records stored by program year; only years with a complete manifest are read."""
@@ -271,7 +302,7 @@ def manifest_rows(spark, d):
 def manifest_failures(spark, d):
     """Manifests when the pulls of some years broke off, one of them before its first row."""
     years = tb.requested_years(spark, d).filter(F.col("year") % 3 == 0)
-    failed = years.select(F.col("year").cast("int").alias("year"), F.lit("connection reset").alias("error"))
+    failed = years.select(F.col("year").cast("int").alias("year"), F.lit("source went away").alias("error"))
     made = manifest.manifest_rows(tb.filings(spark, d), tb.PRODUCTS, failed)
     return made.select("year", "rows_scanned", "rows_matched", "complete", "error")
 
@@ -856,7 +887,8 @@ def case_files(spark, d):
     cases = tb.cases(spark, d)
     listed = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*cases.columns))), ","), F.lit("]"))
     # One file per thousand cases or so, each a JSON list.
-    files = cases.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("file")).agg(listed.alias("value"))
+    n_files = cases.count() // 1000 + 1
+    files = cases.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_files)).alias("file")).agg(listed.alias("value"))
     files.write.partitionBy("file").text(path)
     return scoring.score(trace_files.read_cases(spark, path).drop("file"), tb.traces(spark, d)).select(
         "id", "passed", "latency_ms", "calls"
@@ -1037,8 +1069,7 @@ def kept_specialty_view(spark, d):
     return ingest.kept_view(spark, _ingested(spark, d, ingest.VIEWS), "q_by_specialty")
 
 
-@_query
-def stream_filings(spark, d):
+def _ingested_filings(spark: SparkSession, d: str) -> str:
     """Filings as files of a landing folder; the product match runs inside the stream."""
     base = scratch_dir(spark, "stream-filings")
     rows = tb.filings(spark, d).withColumn("ingest_seq", F.col(S.RECORD_ID))
@@ -1052,4 +1083,17 @@ def stream_filings(spark, d):
         return found.withColumn("ingest_seq", F.col("record_id"))
 
     ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", to_landed).awaitTermination()
-    return _payment_columns(ingest.current(spark, f"{base}/table"))
+    return f"{base}/table"
+
+
+@_query
+def stream_filings(spark, d):
+    return _payment_columns(ingest.current(spark, _ingested_filings(spark, d)))
+
+
+@_query
+def stream_load_statistics(spark, d):
+    """Rows seen, loaded and rejected, counted while the stream loaded them."""
+    names = ("rows_seen", "rows_upserted", "rows_rejected")
+    counted = ingest.load_statistics(spark, _ingested_filings(spark, d))
+    return counted.select(*names)

@@ -108,6 +108,21 @@ MANIFEST = T.StructType(
     ]
 )
 
+# What the landing of a year leaves; the gates read `year` and `complete` of it as of any manifest.
+YEAR_LANDED = T.StructType(
+    [
+        T.StructField("year", T.IntegerType()),
+        T.StructField("complete", T.BooleanType()),
+        T.StructField("run", T.LongType()),
+        *[
+            T.StructField(n, T.LongType())
+            for n in ("rows_scanned", "rows_broken", "rows_matched", "rows_loadable", "rows_rejected")
+        ],
+        T.StructField("non_manufacturer_of_record_share_pct", T.DoubleType()),
+        *_text("folder", "error"),
+    ]
+)
+
 # `detail.args` and `answer` keep whatever JSON they hold as text.
 TRACE_STEP = T.StructType(
     [

@@ -97,7 +97,7 @@ def _with_breaks(spark: SparkSession, names: Sequence[str], files: Sequence[str]
     )
 
 
-def _parsed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def parsed_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """All rows of all files by column name; what is broken is in BROKEN."""
     layouts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
     for file in file_layouts(spark, paths).collect():  # one row per file
@@ -134,12 +134,12 @@ def read_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     and without them are split into byte ranges. Records that do not fit their header are left out
     here; `broken_filings` has them.
     """
-    return _parsed(spark, paths).filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    return parsed_filings(spark, paths).filter(F.col(BROKEN).isNull()).drop(BROKEN)
 
 
 def broken_filings(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Quarantine: the records that `read_filings` leaves out, (file, record)."""
-    return _parsed(spark, paths).filter(F.col(BROKEN).isNotNull()).select(
+    return parsed_filings(spark, paths).filter(F.col(BROKEN).isNotNull()).select(
         F.col(f"{SEQUENCE}.file").alias("file"), F.col(BROKEN).alias("record")
     )
 

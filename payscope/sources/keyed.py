@@ -11,6 +11,8 @@ the views, and the last batch of every source. It gets its name last, when it is
 that version is not there yet: a writer that breaks off before leaves folders that no commit names
 (`vacuum` deletes them), readers keep the version they opened, and of two writers the second one finds
 its version taken and merges again onto the new state. A batch that was applied is not applied again.
+What is to be counted of the incoming rows is observed while they are written, and is part of the commit,
+so it counts every batch once.
 
 The number of buckets is the size of the table over that of a good file; a commit holds one entry per
 bucket and source.
@@ -20,15 +22,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payscope.operators.upsert import latest
+from payscope.sources.storage import file_at, put_text
 
 BUCKET = "bucket"
 BATCH = "batch"
@@ -47,6 +49,7 @@ class Commit:
     views: dict[str, list[str]] = field(default_factory=dict)  # name: columns of its groups
     sums: str = ""
     applied: dict[str, int] = field(default_factory=dict)  # source: last batch
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)  # source: what its batches counted
 
 
 def _dims(commit: Commit) -> list[str]:
@@ -73,8 +76,7 @@ class KeyedTable:
 
     def _at(self, *parts: str):
         """File system and path of something below the table."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path.rstrip("/"), *parts]))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        return file_at(self.spark, "/".join([self.path.rstrip("/"), *parts]))
 
     def _versions(self) -> list[int]:
         """Versions of which a file is there, newest first."""
@@ -94,24 +96,11 @@ class KeyedTable:
 
     def publish(self, commit: Commit) -> None:
         """The switch: a complete file takes its name, unless another writer has taken it."""
-        jvm = self.spark._jvm
-        fs, draft = self._at("commits", f".{uuid.uuid4().hex}.draft")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(asdict(commit)).encode()))
-        out.close()
-        _, path = self._at("commits", f"{commit.version:020d}.json")
-        never_replace = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        never_replace[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
+        text = json.dumps(asdict(commit))
         try:
-            files.rename(fs.makeQualified(draft), fs.makeQualified(path), never_replace)
-        except Py4JJavaError as error:
-            fs.delete(draft, False)
-            if "FileAlreadyExists" in error.java_exception.getClass().getName():
-                raise Conflict(f"version {commit.version} is there already") from error
-            raise
+            put_text(self.spark, f"{self.path.rstrip('/')}/commits", f"{commit.version:020d}.json", text, replace=False)
+        except FileExistsError as error:
+            raise Conflict(f"version {commit.version} is there already") from error
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete the folders that none of the `keep` newest versions names; returns them.
@@ -199,19 +188,42 @@ class KeyedTable:
         )
         return sums.filter("rows > 0")
 
-    def merge(self, rows: DataFrame, source: str, batch: int | None = None, tries: int = 5) -> int:
+    def merge(
+        self,
+        rows: DataFrame,
+        source: str,
+        batch: int | None = None,
+        prepare: Callable[[DataFrame], DataFrame] | None = None,
+        counts: Mapping[str, Column] | None = None,
+        tries: int = 5,
+    ) -> int:
         """Write rows over the table and publish the result; returns the version.
 
         Of several rows of a record the highest sequence wins, and a row that is older than the stored
         one does not replace it. `batch` numbers the merges of one `source`, ascending: one that is in
-        already changes nothing.
+        already changes nothing. `counts` are aggregates over `rows`, added up by source; `prepare`
+        turns what was counted into rows of the table.
         """
+        batches = {} if batch is None else {source: batch}
+        return self.merge_all(rows, batches, source, prepare, counts, tries)
+
+    def merge_all(
+        self,
+        rows: DataFrame,
+        batches: Mapping[str, int],
+        counted_as: str,
+        prepare: Callable[[DataFrame], DataFrame] | None = None,
+        counts: Mapping[str, Column] | None = None,
+        tries: int = 5,
+    ) -> int:
+        """The same for rows that are batches of several sources, which come in together."""
         for _ in range(tries):
             commit = self.commit()
-            if batch is not None and commit.applied.get(source, -1) >= batch:
+            if batches and all(commit.applied.get(s, -1) >= b for s, b in batches.items()):
                 return commit.version
+            made = replace(commit, applied=commit.applied | batches)
             try:
-                return self._merge_onto(commit, rows, source, batch)
+                return self._merge_onto(made, rows, counted_as, prepare, counts or {})
             except Conflict:
                 continue
         raise Conflict(f"no version was free in {tries} tries")
@@ -236,11 +248,25 @@ class KeyedTable:
         )
         return ranked.filter("_nth = 1").drop("_nth")
 
-    def _merge_onto(self, commit: Commit, rows: DataFrame, source: str, batch: int | None) -> int:
-        name = uuid.uuid4().hex
+    def _merge_onto(
+        self,
+        commit: Commit,
+        rows: DataFrame,
+        source: str,
+        prepare: Callable[[DataFrame], DataFrame] | None,
+        counts: Mapping[str, Column],
+    ) -> int:
+        name, seen = uuid.uuid4().hex, Observation()
+        if counts:
+            rows = rows.observe(seen, *[c.cast("long").alias(n) for n, c in counts.items()])
+        if prepare:
+            rows = prepare(rows)
         incoming, touched = self._observed(rows.withColumn(BUCKET, self._bucket(commit.n_buckets)), name)
-        applied = commit.applied | ({} if batch is None else {source: batch})
-        made = replace(commit, version=commit.version + 1, applied=applied)
+        made = replace(commit, version=commit.version + 1)
+        if counts:
+            so_far = commit.counts.get(source, {})
+            added = {n: so_far.get(n, 0) + value for n, value in seen.get.items()}
+            made = replace(made, counts=commit.counts | {source: added})
         if touched:
             after = self._newest(commit, incoming, touched)
             folder = f"{self.path}/data/{BATCH}={name}"

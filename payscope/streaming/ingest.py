@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from payscope import schemas as S
-from payscope.operators.typing import good_rows
+from payscope.operators.typing import good_rows, load_counts
 from payscope.sources.keyed import KeyedTable
 
 #: Sums that can be kept: those of each quarter, and the three views.
@@ -75,8 +75,19 @@ def apply_batch(
     `source` names whose numbers `batch_id` are; of one source they ascend. A row that is older than
     the stored one of its record does not replace it. Returns the version of the table.
     """
-    rows = good_rows(batch).select(*S.PAYMENT.names, "ingest_seq")
-    return payments_table(batch.sparkSession, table, views).merge(rows, source, batch_id)
+    def prepare(rows: DataFrame) -> DataFrame:
+        return good_rows(rows).select(*S.PAYMENT.names, "ingest_seq")
+
+    made = payments_table(batch.sparkSession, table, views)
+    return made.merge(batch, source, batch_id, prepare, load_counts())
+
+
+def load_statistics(spark: SparkSession, table: str) -> DataFrame:
+    """Rows seen, loadable and rejected of each source, counted while its batches were loaded."""
+    names = ["rows_seen", "rows_upserted", "rows_rejected"]
+    counted = payments_table(spark, table).commit().counts
+    rows = [(source, *[counts.get(n, 0) for n in names]) for source, counts in counted.items()]
+    return spark.createDataFrame(rows, "source string, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def start_ingest(

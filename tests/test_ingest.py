@@ -10,6 +10,7 @@ from payscope import schemas as S
 from payscope.operators import gating, manifest, matching, rollups, typing, upsert
 from payscope.session import scratch_dir
 from payscope.sources import filings as files
+from payscope.sources import landing
 from payscope.sources.dictionary import GLP1, load_dictionary
 from payscope.sources.keyed import Conflict, KeyedTable
 from payscope.sources.records import OPENS, STAYS
@@ -459,3 +460,93 @@ def test_filings_as_a_stream(spark):
 
     ingest.start_ingest(stream, f"{base}/table", f"{base}/cp", to_landed).awaitTermination()
     assert amounts(ingest.current(spark, f"{base}/table")) == {str(i): 2.0 for i in range(1, 10, 2)}
+
+
+def write_year(folder, year, ids, product="Ozempic", amount="5"):
+    os.makedirs(folder, exist_ok=True)
+    rows = [{**dict.fromkeys(S.FILING_COLUMNS, ""), S.RECORD_ID: i, S.PROGRAM_YEAR: str(year), S.PAYER: "m",
+             S.PAYMENT_DATE: f"{year}-04-15", S.AMOUNT: amount, S.NAME_FIELDS[0]: product} for i in ids]
+    write_csv(folder / "a.csv", S.FILING_COLUMNS, [[r[c] for c in S.FILING_COLUMNS] for r in rows])
+
+
+def markers(spark, root):
+    return {r.year: r for r in landing.manifests(spark, root).collect()}
+
+
+def test_years_are_landed_by_themselves_where_one_breaks(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    sources = {y: [str(tmp_path / f"in {y}")] for y in (2021, 2022, 2023, 2024)}
+    for year in (2021, 2022):
+        write_year(tmp_path / f"in {year}", year, ["same", f"r{year}", f"bad{year}"], amount=str(year))
+    with open(tmp_path / "in 2021" / "b.csv", "w") as out:  # a record too short, and one without a match
+        out.write(f"{S.RECORD_ID},{S.NATURE}\nshort\nplain,x\n")
+    os.makedirs(tmp_path / "in 2023")
+    (tmp_path / "in 2023" / "a.csv.gz").write_text("no gzip")  # fails while it is read
+    got = {r.year: r for r in landing.land_years(spark, sources, GLP1, root).collect()}
+    assert {y: (m.complete, m.run) for y, m in got.items()} == {
+        2021: (True, 1), 2022: (True, 1), 2023: (False, 1), 2024: (False, 1)}
+    first = got[2021]
+    assert (first.rows_scanned, first.rows_broken, first.rows_matched, first.rows_loadable) == (4, 1, 3, 3)
+    assert "in 2024" in got[2024].error and got[2023].error and not first.error
+    read = landing.read_years(spark, root)
+    assert sorted((r.record_id, r.directory_year) for r in read.collect()) == sorted(
+        (i, y) for y in (2021, 2022) for i in ("same", f"r{y}", f"bad{y}"))
+    assert sorted(r.year for r in gating.complete_years(landing.manifests(spark, root)).collect()) == [2021, 2022]
+
+    table = ingest.payments_table(spark, str(tmp_path / "table"))
+    assert landing.load_years(spark, root, table) == 1 == landing.load_years(spark, root, table)
+    assert amounts(table.current()) == {"same": 2022.0, "r2021": 2021.0, "r2022": 2022.0, "bad2021": 2021.0,
+                                        "bad2022": 2022.0}  # of one record the later year wins
+
+    # The missing years alone are done again; what is complete is not even looked at.
+    os.remove(tmp_path / "in 2023" / "a.csv.gz")
+    write_year(tmp_path / "in 2023", 2023, ["r2023", "bad2023"], amount="abc")
+    write_year(tmp_path / "in 2024", 2024, ["other"], product="Humira")
+    (tmp_path / "in 2021" / "a.csv").unlink()
+    again = {r.year: r for r in landing.land_years(spark, sources, GLP1, root).collect()}
+    assert again[2021] == first and [again[y].run for y in (2021, 2022, 2023, 2024)] == [1, 1, 2, 2]
+    assert (again[2023].rows_matched, again[2023].rows_loadable, again[2023].rows_rejected) == (2, 0, 2)
+    assert (again[2024].complete, again[2024].rows_scanned, again[2024].rows_matched) == (True, 1, 0)
+    landing.load_years(spark, root, table)
+    assert table.commit().counts == {"landing": {"rows_seen": 8, "rows_upserted": 6, "rows_rejected": 2}}
+
+    # A forced landing of an earlier year is the later one; one that fails takes nothing away.
+    write_year(tmp_path / "in 2021", 2021, ["same"], amount="7")
+    landing.land_years(spark, {2021: sources[2021], 2022: [str(tmp_path / "gone")]}, GLP1, root, force=True)
+    forced = markers(spark, root)
+    assert (forced[2021].run, forced[2021].rows_matched, forced[2022].run, forced[2022].complete) == (3, 1, 1, True)
+    assert "gone" in forced[2022].error
+    landing.load_years(spark, root, table)
+    assert amounts(table.current())["same"] == 7.0
+    assert sorted(r.record_id for r in landing.read_years(spark, root, [2021]).collect()) == ["same"]
+
+
+def test_a_landing_that_breaks_off_leaves_no_trace(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "lake")
+    write_year(tmp_path / "in", 2021, ["a"])
+    with monkeypatch.context() as m:
+        m.setattr(landing, "put_text", lambda *_, **__: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            landing.land_years(spark, {2021: [str(tmp_path / "in")]}, GLP1, root)
+    assert os.listdir(f"{root}/data") and not markers(spark, root) and landing.read_years(spark, root).count() == 0
+    landing.land_years(spark, {2021: [str(tmp_path / "in")]}, GLP1, root)
+    assert landing.read_years(spark, root).count() == 1
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.csv").write_text("")
+    done = landing.land_years(spark, {2021: [str(tmp_path / "in")], 2025: [str(tmp_path / "empty")]}, GLP1, root)
+    assert {r.year: (r.complete, r.rows_scanned) for r in done.collect()} == {2021: (True, 1), 2025: (True, 0)}
+
+
+def test_statistics_come_with_the_load(spark):
+    base = scratch_dir(spark, "test-statistics")
+    rows = [{"record_id": f"r{n % 7}", "ingest_seq": n, "amount_usd": "bad" if n % 3 == 0 else "1"} for n in range(20)]
+    for n, part in enumerate((rows[:8], rows[8:])):
+        ingest.apply_batch(landed(spark, *part), n, base, "a")
+        ingest.apply_batch(landed(spark, *part), n, base, "a")  # repeated: counted once
+    ingest.apply_batch(landed(spark, *rows[:3]), 0, base, "b")
+    ingest.apply_batch(landed(spark).limit(0), 1, base, "b")
+    got = {r[0]: tuple(r[1:]) for r in ingest.load_statistics(spark, base).collect()}
+    assert got == {"a": (20, 13, 7), "b": (3, 2, 1)}
+    whole = typing.load_stats(landed(spark, *rows)).agg(
+        F.sum("rows_seen"), F.sum("rows_upserted"), F.sum("rows_rejected")).first()
+    assert tuple(whole) == got["a"]
