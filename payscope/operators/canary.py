@@ -180,6 +180,23 @@ def run_record(
     return rollup(scored, run, recorded, tolerance).join(took, run).join(percentiles, run, "left")
 
 
+def run_details(scored: DataFrame, run: str, row_id: str = "id", latency: str = "latency_ms") -> DataFrame:
+    """What a run's record says of each of its rows; latencies in whole milliseconds, halves to even.
+
+    They are rows beside the record, stored by `append_ledger` in a folder of their own, so a run of any
+    number of rows needs no list in one record. A blank error is none.
+    """
+    return scored.select(
+        run,
+        row_id,
+        "cited",
+        "retrieval_ok",
+        "abstained",
+        F.bround(F.col(latency).cast("double")).cast("long").alias(latency),
+        F.when(~is_missing(F.col("error")), F.col("error")).alias("error"),
+    )
+
+
 def report_lines(scored: DataFrame, row_id: str = "id") -> DataFrame:
     return scored.select(row_id, F.concat_ws(" ", F.col(row_id), "status").alias("line"))
 

@@ -1263,6 +1263,12 @@ FROM (
 """,
         "fx_canary",
     ),
+    "canary_details": query(
+        "SELECT CAST(run_id AS BIGINT) AS run_id, id, cited, retrieval_ok, abstained, status = 'ERR' AS failed, "
+        "CAST(round_even(CAST(CAST(id[3:] AS BIGINT) * 37 % 1000 AS DOUBLE) / 4.0 - 20, 0) AS BIGINT) AS latency_ms "
+        "FROM fx_canary",
+        "fx_canary",
+    ),
     "canary_report": query("SELECT id, id || ' ' || status AS line FROM fx_canary", "fx_canary"),
     "canary_latency": query(
         """

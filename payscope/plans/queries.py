@@ -1016,6 +1016,15 @@ def canary_record(spark, d):
     return canary.run_record(_canary(spark, d), "run_id", recorded=1.0)
 
 
+@_query
+def canary_details(spark, d):
+    """The rows of each run, stored beside its record and read back."""
+    path = scratch_dir(spark, "details")
+    canary.append_ledger(canary.run_details(_canary(spark, d), "run_id"), path)
+    kept = spark.read.parquet(path)
+    return kept.withColumn("error", F.col("error").isNotNull()).withColumnRenamed("error", "failed")
+
+
 @_query
 def case_cover(spark, d):
     k = F.substring("id", 3, 20).cast("long")
