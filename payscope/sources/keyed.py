@@ -14,8 +14,9 @@ its version taken and merges again onto the new state. A batch that was applied
 What is to be counted of the incoming rows is observed while they are written, and is part of the commit,
 so it counts every batch once.
 
-The number of buckets is the size of the table over that of a good file; a commit holds one entry per
-bucket and source.
+A bucket is the work of one task, so their number follows the table: a merge that could take it beyond
+BUCKET_ROWS rows a bucket writes it all into new ones, with room for as many rows again, so such merges
+are few. A commit holds one entry per bucket and source.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from payscope.sources.storage import file_at, put_text
 
 BUCKET = "bucket"
 BATCH = "batch"
+#: Rows of a bucket, at most on average.
+BUCKET_ROWS = 1_000_000
 
 
 class Conflict(RuntimeError):
@@ -50,6 +53,7 @@ class Commit:
     sums: str = ""
     applied: dict[str, int] = field(default_factory=dict)  # source: last batch
     counts: dict[str, dict[str, int]] = field(default_factory=dict)  # source: what its batches counted
+    n_rows: int | None = 0  # None: written before rows were counted
 
 
 def _dims(commit: Commit) -> list[str]:
@@ -61,7 +65,8 @@ def _dims(commit: Commit) -> list[str]:
 class KeyedTable:
     """`views` maps names to the columns that a sum of `measure` and a count of rows go by.
 
-    They and `n_buckets` are those of a table that begins; later on its commits hold them.
+    They and `n_buckets` are those of a table that begins; later on its commits hold them, and the buckets
+    grow in number with the rows.
     """
 
     spark: SparkSession
@@ -92,7 +97,7 @@ class KeyedTable:
             views = {name: list(columns) for name, columns in self.views.items()}
             return Commit(n_buckets=self.n_buckets or partitions, views=views)
         text = self.spark.read.text(f"{self.path}/commits/{version:020d}.json", wholetext=True).first()
-        return Commit(**json.loads(text[0]))
+        return Commit(**{"n_rows": None} | json.loads(text[0]))
 
     def publish(self, commit: Commit) -> None:
         """The switch: a complete file takes its name, unless another writer has taken it."""
@@ -153,11 +158,19 @@ class KeyedTable:
     def _bucket(self, n: int) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(n)).cast("int")
 
-    def _observed(self, rows: DataFrame, name: str) -> tuple[DataFrame, list[int]]:
-        """The rows, written aside, and the buckets that they fall into, found while writing."""
+    def _observed(self, rows: DataFrame, name: str) -> tuple[DataFrame, list[int], int]:
+        """The rows, written aside, the buckets that they fall into and their number, found while writing."""
         seen = Observation()
-        rows.observe(seen, F.collect_set(BUCKET).alias("buckets")).write.parquet(f"{self.path}/work/{name}")
-        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/work/{name}"), sorted(seen.get["buckets"])
+        counted = rows.observe(seen, F.collect_set(BUCKET).alias("buckets"), F.count("*").alias("n"))
+        counted.write.parquet(f"{self.path}/work/{name}")
+        written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/work/{name}")
+        return written, sorted(seen.get["buckets"]), seen.get["n"]
+
+    def _n_rows(self, commit: Commit) -> int:
+        if commit.n_rows is not None:
+            return commit.n_rows
+        before = self.rows(commit)
+        return 0 if before is None else before.count()
 
     def _signed(self, changed: DataFrame, dims: list[str]) -> DataFrame:
         """New values of changed rows with sign 1 and, where a row was there, the old ones with -1."""
@@ -228,9 +241,17 @@ class KeyedTable:
                 continue
         raise Conflict(f"no version was free in {tries} tries")
 
-    def _newest(self, commit: Commit, incoming: DataFrame, touched: Sequence[int]) -> DataFrame:
-        """One row for each record of the touched buckets. Where it came in now, `_came` holds so and
-        `_old` the values that it replaces.
+    def _dealt(self, rows: DataFrame, n_buckets: int) -> DataFrame:
+        """Rows in their bucket's partition, which is its own if there are more than the session's."""
+        if n_buckets <= int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            return rows.repartition(BUCKET)
+        return rows.repartition(n_buckets, BUCKET)
+
+    def _newest(
+        self, commit: Commit, incoming: DataFrame, touched: Sequence[int] | None, n_buckets: int
+    ) -> DataFrame:
+        """One row for each record of the touched buckets (None: of all), in `n_buckets` buckets. Where it
+        came in now, `_came` holds so and `_old` the values that it replaces.
 
         Rows go to their bucket's partition, which serves the window as well as the write. What was
         stored wins over an incoming row of the same sequence.
@@ -238,12 +259,12 @@ class KeyedTable:
         own = latest(incoming, self.key, self.sequence).withColumn("_came", F.lit(True))
         before = self.rows(commit, touched)
         if before is not None:
-            stored = before.withColumn(BUCKET, self._bucket(commit.n_buckets)).withColumn("_came", F.lit(False))
+            stored = before.withColumn(BUCKET, self._bucket(n_buckets)).withColumn("_came", F.lit(False))
             own = stored.unionByName(own)
         newest_first = Window.partitionBy(BUCKET, self.key).orderBy(F.col(self.sequence).desc(), "_came")
         # At most two rows of a record are left: the one that came and the one that was stored.
         values = F.struct(*_dims(commit), self.measure)
-        ranked = own.repartition(BUCKET).withColumns(
+        ranked = self._dealt(own, n_buckets).withColumns(
             {"_nth": F.row_number().over(newest_first), "_old": F.lead(values).over(newest_first)}
         )
         return ranked.filter("_nth = 1").drop("_nth")
@@ -261,23 +282,33 @@ class KeyedTable:
             rows = rows.observe(seen, *[c.cast("long").alias(n) for n, c in counts.items()])
         if prepare:
             rows = prepare(rows)
-        incoming, touched = self._observed(rows.withColumn(BUCKET, self._bucket(commit.n_buckets)), name)
+        incoming, touched, n_incoming = self._observed(rows.withColumn(BUCKET, self._bucket(commit.n_buckets)), name)
         made = replace(commit, version=commit.version + 1)
         if counts:
             so_far = commit.counts.get(source, {})
             added = {n: so_far.get(n, 0) + value for n, value in seen.get.items()}
             made = replace(made, counts=commit.counts | {source: added})
         if touched:
-            after = self._newest(commit, incoming, touched)
+            n_rows, n_buckets, others = self._n_rows(commit), commit.n_buckets, commit.buckets
+            most = n_rows + n_incoming  # if all that come in are new
+            if most > n_buckets * BUCKET_ROWS:
+                n_buckets, touched, others = -(-2 * most // BUCKET_ROWS), None, {}
+                incoming = incoming.withColumn(BUCKET, self._bucket(n_buckets))
+            after, held = self._newest(commit, incoming, touched, n_buckets), Observation()
             folder = f"{self.path}/data/{BATCH}={name}"
-            after.write.partitionBy(BUCKET).parquet(folder)
+            is_new = F.col("_came") & F.col("_old").isNull()
+            after.observe(held, F.collect_set(BUCKET).alias("buckets"), F.count_if(is_new).alias("new")).write.partitionBy(
+                BUCKET
+            ).parquet(folder)
             changed = self.spark.read.schema(after.schema).parquet(folder).filter("_came")
             self._next_sums(commit, changed).write.parquet(f"{self.path}/views/{name}")
             made = replace(
                 made,
                 schema=rows.schema.json(),
-                buckets=commit.buckets | {str(b): name for b in touched},
+                n_buckets=n_buckets,
+                buckets=others | {str(b): name for b in held.get["buckets"]},
                 sums=name,
+                n_rows=n_rows + held.get["new"],
             )
         self.publish(made)
         fs, work = self._at("work", name)
@@ -295,9 +326,8 @@ class KeyedTable:
         rows = self.rows(commit)
         if rows is not None:
             name = uuid.uuid4().hex
-            rows.withColumn(BUCKET, self._bucket(n_buckets)).repartition(BUCKET).write.partitionBy(BUCKET).parquet(
-                f"{path}/data/{BATCH}={name}"
-            )
+            dealt = self._dealt(rows.withColumn(BUCKET, self._bucket(n_buckets)), n_buckets)
+            dealt.write.partitionBy(BUCKET).parquet(f"{path}/data/{BATCH}={name}")
             self._sums(commit).write.parquet(f"{path}/views/{name}")
             held = self.spark.read.parquet(f"{path}/data/{BATCH}={name}").select(BUCKET).distinct()
             buckets = {str(r[0]): name for r in held.collect()}  # at most n_buckets rows

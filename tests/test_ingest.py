@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from payscope import schemas as S
 from payscope.operators import gating, manifest, matching, rollups, typing, upsert
+from payscope.plans import queries
 from payscope.session import scratch_dir
 from payscope.sources import filings as files
-from payscope.sources import landing
+from payscope.sources import keyed, landing
 from payscope.sources.dictionary import GLP1, load_dictionary
 from payscope.sources.keyed import Conflict, KeyedTable
 from payscope.sources.records import OPENS, STAYS
@@ -398,6 +399,39 @@ def test_a_batch_reads_and_writes_its_buckets_only(spark):
     assert amounts(plan) == {f"r{n}": 1.0 if n == 7 else 100.5 for n in range(200)}
 
 
+def test_buckets_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 10)
+    base = scratch_dir(spark, "test-growth")
+    table = ingest.payments_table(spark, base, n_buckets=2)
+
+    def batch(number, ids, amount):
+        rows = [{"record_id": f"r{n}", "ingest_seq": number, "amount_usd": amount, "quarter": f"2023Q{number + 1}"} for n in ids]
+        ingest.apply_batch(landed(spark, *rows), number, base, "s")
+        return table.commit()
+
+    assert batch(0, range(20), "1").n_buckets == 2
+    before = batch(1, range(15, 60), "2")  # at most 65 rows: room for twice as many
+    assert before.n_buckets == 13 and before.n_rows == 60 and len(before.buckets) > 2
+    after = batch(2, [59, 60], "3")  # one bucket or two, as before
+    assert after.n_buckets == 13 and after.n_rows == 61
+    assert len([b for b in after.buckets if after.buckets[b] != before.buckets.get(b)]) <= 2
+    assert amounts(ingest.current(spark, base)) == {f"r{n}": 1.0 if n < 15 else 2.0 if n < 59 else 3.0 for n in range(61)}
+    assert totals(ingest.quarter_totals(spark, base)) == {"2023Q1": (15.0, 15), "2023Q2": (88.0, 44), "2023Q3": (6.0, 2)}
+    largest = max(spark.read.parquet(f"{base}/data/batch={f}/bucket={b}").count() for b, f in after.buckets.items())
+    assert largest < 20
+
+
+@pytest.mark.parametrize("name, n_files", [("_ingested", 6), ("_ingested_filings", 4)])
+def test_landing_files_grow_in_number_and_batches_do_not(spark, monkeypatch, name, n_files):
+    monkeypatch.setattr(queries, "LANDING_FILE_ROWS", 100)
+    table = getattr(queries, name)(spark, "/root/testdata/sf0.001")
+    files = spark.read.parquet(f"{table}/../landing").groupBy("_metadata.file_path").count().collect()
+    total = sum(r["count"] for r in files)
+    assert len(files) >= 0.9 * total // 100 and max(r["count"] for r in files) < 400
+    (last,) = ingest.payments_table(spark, table).commit().applied.values()
+    assert last + 1 <= n_files // 2
+
+
 def test_a_writer_that_breaks_off_leaves_no_trace(spark, monkeypatch):
     base = scratch_dir(spark, "test-broken")
     table = ingest.payments_table(spark, base)
