@@ -1044,17 +1044,17 @@ def ledger_latest(spark, d):
 
 # --- streaming ----------------------------------------------------------------------------------
 
-#: Rows of a file of a landing folder, at most on average: the files grow in number, not in size.
+#: Lines in a file of a landing folder, at most on average: the files grow in number, not in size.
 LANDING_FILE_ROWS = 500_000
 
 
-def _landing_stream(spark: SparkSession, rows: DataFrame, path: str, n_files: int, key: str) -> DataFrame:
-    """The rows as files dealt by a key, read as a stream of `n_files` / 2 batches, whatever their size.
+def _landing_stream(spark: SparkSession, d: str, rows: DataFrame, path: str, n_files: int, key: str) -> DataFrame:
+    """The rows made of all lines as files dealt by a key, read as a stream of `n_files` / 2 batches.
 
-    More rows make `n_files` times as many files, and batches of as many more, so neither a file nor
+    More lines make `n_files` times as many files, and batches of as many more, so neither a file nor
     the number of batches, each of which may rewrite the whole table, grows with them.
     """
-    times = -(-rows.count() // (n_files * LANDING_FILE_ROWS)) or 1
+    times = -(-tb.table(spark, d, "lineitem").count() // (n_files * LANDING_FILE_ROWS)) or 1
     rows.repartition(n_files * times, key).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * times).parquet(path)
 
@@ -1067,7 +1067,7 @@ def _ingested(spark: SparkSession, d: str, views=ingest.QUARTERS) -> str:
     """
     base = scratch_dir(spark, "stream")
     rows = tb.line_payments(spark, d)
-    stream = _landing_stream(spark, rows, f"{base}/landing", 6, "ingest_seq.p")
+    stream = _landing_stream(spark, d, rows, f"{base}/landing", 6, "ingest_seq.p")
     run = ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", views=views)
     run.awaitTermination()
     return f"{base}/table"
@@ -1093,7 +1093,7 @@ def _ingested_filings(spark: SparkSession, d: str) -> str:
     """Filings as files of a landing folder; the product match runs inside the stream."""
     base = scratch_dir(spark, "stream-filings")
     rows = tb.filings(spark, d).withColumn("ingest_seq", F.col(S.RECORD_ID))
-    stream = _landing_stream(spark, rows, f"{base}/landing", 4, S.RECORD_ID)
+    stream = _landing_stream(spark, d, rows, f"{base}/landing", 4, S.RECORD_ID)
 
     def to_landed(batch: DataFrame) -> DataFrame:
         found = matching.land(batch, tb.PRODUCTS, tb.dataset_name())
