@@ -31,13 +31,24 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
 
 
 SLICE = 1000  # rows that are turned into Python objects at once
+SLICE_BYTES = 4 << 20  # and their size, unless it is one row
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most SLICE rows, so that long texts fit into a small worker."""
+    """The same rows in batches of at most SLICE rows and SLICE_BYTES, so that long texts fit into a
+    small worker."""
+
+    def halves(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if part.num_rows < 2 or part.nbytes <= SLICE_BYTES:
+            yield part
+            return
+        middle = part.num_rows // 2
+        yield from halves(part.slice(0, middle))
+        yield from halves(part.slice(middle))
+
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+            yield from halves(batch.slice(at, SLICE))
 
 
 def portions(sizes: list[int], most: int) -> Iterator[range]:

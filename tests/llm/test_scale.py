@@ -4,10 +4,11 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from payscope.llm import license_scan, line_dedup, mixing, quality, secret_scan, simhash, toxicity
+from payscope.llm import common, license_scan, line_dedup, mixing, quality, secret_scan, simhash, toxicity
 from payscope.llm.features import BLOCKS, Terms
 from tests.llm.conftest import prose
 
@@ -30,6 +31,15 @@ def test_columns_may_have_any_name(spark, stage):
     assert all(r[n] == f"v{r['doc_id']}" for r in made.collect() for n in NAMES)
 
 
+def test_slices_are_small_however_long_the_texts():
+    texts = ["x" * (n % 10 * 20_000) for n in range(2500)] + ["y" * (9 << 20)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    made = list(common.slices([batch]))
+    assert pa.Table.from_batches(made).equals(pa.Table.from_batches([batch]))
+    assert all(m.num_rows <= common.SLICE for m in made)
+    assert all(m.nbytes <= common.SLICE_BYTES for m in made if m.num_rows > 1)
+
+
 def one(spark, text):
     return spark.createDataFrame([(1, text)], "doc_id long, text string")
 
