@@ -168,20 +168,20 @@ def csv_quarantine(spark, d):
         F.concat_ws(",", S.RECORD_ID, S.PROGRAM_YEAR, S.NATURE)
     )
     header = ",".join(named.columns)
-    text = named.select(S.RECORD_ID, lines.alias("value"))
+    text = stored(named.select(S.RECORD_ID, lines.alias("value")), "lines")  # counted and written
     # Files of about a thousand records, with the header in front.
     n_files = text.count() // 1000 + 1
     body = text.groupBy(F.pmod(F.xxhash64(S.RECORD_ID), F.lit(n_files)).alias("file")).agg(
         F.concat(F.lit(header + "\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("value")
     )
     body.write.partitionBy("file").text(path)
-    good = filing_files.read_filings(spark, [path]).groupBy(F.col(S.PROGRAM_YEAR).alias("year")).agg(
-        F.count("*").alias("n_good")
+    # Both kinds come from one pass over the files.
+    every = filing_files.parsed_filings(spark, [path])
+    is_broken = F.col(filing_files.BROKEN).isNotNull()
+    year = F.when(is_broken, F.element_at(F.split(filing_files.BROKEN, ","), 2)).otherwise(F.col(S.PROGRAM_YEAR))
+    return every.groupBy(year.alias("year")).agg(
+        *[F.nullif(F.count_if(c), F.lit(0)).alias(n) for n, c in (("n_good", ~is_broken), ("n_broken", is_broken))]
     )
-    broken = filing_files.broken_filings(spark, [path]).groupBy(
-        F.element_at(F.split("record", ","), 2).alias("year")
-    ).agg(F.count("*").alias("n_broken"))
-    return good.join(broken, "year", "full_outer")
 
 
 @_query

@@ -111,3 +111,7 @@ def test_screen(spark):
 
 def test_cap(spark):
     assert rollups.capped(spark.range(6000), 5000).count() == 5000
+
+
+def test_broken_and_good_records_come_from_one_pass(spark):
+    assert plan_of(QUERIES["csv_quarantine"](spark, SF)).count("FileScan csv") == 1
