@@ -18,11 +18,16 @@ BROKEN = "_broken_record"
 SEQUENCE = "ingest_seq"
 
 
-def _plain(path: str) -> str:
-    """The absolute path without scheme and host, whatever form it is given in."""
+#: Paths that are tested one by one for each row; more are looked up by all folders above its file.
+FEW_PATHS = 32
+
+
+def _plain(path: str, encoded: bool = False) -> str:
+    """The absolute path without scheme and host, whatever form it is given in; as it is, or URL-encoded."""
     spark = SparkSession.active()
     made = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toUri().getPath()
+    uri = made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toUri()
+    return uri.getRawPath() if encoded else uri.getPath()
 
 
 def _decoded(file: Column) -> Column:
@@ -35,15 +40,22 @@ def write_order(paths: Sequence[str] = ()) -> Column:
 
     Unique for every row of a file source, and in the order in which rows are written over each
     other: later paths, later files by name, later rows win. A file belongs to the last of the paths
-    that is the file or a folder above it; whole names count. The paths are one map, looked up by the
-    folders above a file, so the plan does not grow with them.
+    that is the file or a folder above it; whole names count. A few paths are comparisons, the last
+    one first. Many are one map, looked up by the folders above a file, so the plan does not grow with them.
     """
     file = F.col("_metadata.file_path")
-    places = {_plain(path): n for n, path in enumerate(paths)}
-    # scheme://host/a/b/c or scheme:/a/b/c: the names after the host, then each folder from the top.
-    names = F.split(F.regexp_replace(_decoded(file), "^[A-Za-z0-9+.-]+:(//[^/]*)?/+", "/"), "/+")
+    # scheme://host/a/b/c or scheme:/a/b/c: what follows the host.
+    host = "^[A-Za-z0-9+.-]+:(//[^/]*)?/+"
     place = F.lit(-1)
-    if places:
+    if 0 < len(paths) <= FEW_PATHS:
+        plain = F.regexp_replace(file, host, "/")
+        known = {_plain(path, encoded=True).rstrip("/"): n for n, path in enumerate(paths)}
+        tests = [((plain == p) | plain.startswith(f"{p}/"), n) for p, n in sorted(known.items(), key=lambda i: -i[1])]
+        place = F.coalesce(*[F.when(test, F.lit(n)) for test, n in tests], place)
+    elif paths:
+        places = {_plain(path): n for n, path in enumerate(paths)}
+        # Each folder from the top.
+        names = F.split(F.regexp_replace(_decoded(file), host, "/"), "/+")
         known = F.create_map(*[F.lit(x) for item in places.items() for x in item])
         above = F.transform(
             F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/")

@@ -246,6 +246,24 @@ def test_order_of_paths_of_which_one_begins_the_other(spark, tmp_path):
     assert {r[0]: r[1] for r in got.select(S.RECORD_ID, "ingest_seq.path").collect()}["only 1"] == 0
 
 
+def test_a_few_paths_and_many_give_the_same_places(spark, tmp_path, monkeypatch):
+    names = ["a", "a b", "a+b", "a%20b", "a/inner", "é"]
+    for name in names:
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(str(tmp_path / name))
+    paths = [str(tmp_path / "a"), *(str(tmp_path / n) + "/" for n in names[1:4]), f"file:{tmp_path}/a//inner", str(tmp_path)]
+    for order in (paths[:-1], paths[::-1], paths[3:5]):
+        got = []
+        for few in (files.FEW_PATHS, 0):
+            monkeypatch.setattr(files, "FEW_PATHS", few)
+            rows = spark.read.text([str(tmp_path / n) for n in names if n != "a/inner"], recursiveFileLookup=True).select(
+                "value", files.write_order(order).path.alias("path"))
+            # A few are plain comparisons: nothing is taken apart or decoded row by row.
+            assert ("transform" in rows._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+            got.append({r.value: r.path for r in rows.collect()})
+            monkeypatch.undo()
+        assert got[0] == got[1] and len(got[0]) == len(names) and len(set(got[0].values())) > 1
+
+
 def test_landing_and_gzip_json(spark, tmp_path):
     year = tmp_path / "in" / "directory_year=2023"
     os.makedirs(year)
