@@ -189,7 +189,7 @@ def upsert_stamped(spark, d):
     """Two landings of records, the second with corrections: the later written row stays."""
     base = scratch_dir(spark, "landing")
     paths = [f"{base}/2023 b", f"{base}/2023"]  # the second name begins the first one
-    rows = tb.landed(spark, d)
+    rows = stored(tb.landed(spark, d), "landed")  # written twice
     key = F.substring_index("record_id", "-", 1).cast("long")
     rows.write.json(paths[0])
     fixed = rows.filter(key % 4 == 0).withColumn("amount_usd", F.lit("7.50")).withColumn("physician_state", F.lit("ZZ"))

@@ -115,3 +115,24 @@ def test_cap(spark):
 
 def test_broken_and_good_records_come_from_one_pass(spark):
     assert plan_of(QUERIES["csv_quarantine"](spark, SF)).count("FileScan csv") == 1
+
+
+def test_records_that_are_landed_twice_are_made_once(spark, monkeypatch):
+    landed, inputs = tb.landed, []
+
+    def seen(*args):
+        rows = landed(*args)
+        monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.json", noting)
+        return rows
+
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    json = DataFrameWriter.json
+
+    def noting(self, path, **options):
+        inputs.append(self._df.inputFiles())
+        return json(self, path, **options)
+
+    monkeypatch.setattr(tb, "landed", seen)
+    QUERIES["upsert_stamped"](spark, SF)
+    assert len(inputs) == 2 and not any("lineitem" in f for files in inputs for f in files)
