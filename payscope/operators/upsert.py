@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from payscope.operators.typing import as_payments, loadable
+from payscope.operators.typing import good_rows
 from payscope.session import stored
 
 KEY = "record_id"
@@ -27,9 +27,10 @@ def latest(rows: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFra
 def latest_payments(landed: DataFrame, sequence: str = SEQUENCE) -> DataFrame:
     """Landed rows with a sequence to typed payments, one per record.
 
-    Rows that cannot load do not take part. Only the rows that win are parsed.
+    Rows that cannot load do not take part. Rows are typed before they are sorted and shuffled: years,
+    dates and amounts are smaller than their texts.
     """
-    return as_payments(latest(loadable(landed), KEY, sequence))
+    return latest(good_rows(landed), KEY, sequence)
 
 
 def merge(target: DataFrame, source: DataFrame, key: str = KEY, sequence: str = SEQUENCE) -> DataFrame:

@@ -60,6 +60,14 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 
+def test_rows_are_typed_before_they_are_shuffled(spark):
+    rows = [{"record_id": "r", "ingest_seq": n, "amount_usd": a} for n, a in enumerate(["1", " 2.5 ", "bad"])]
+    made = upsert.latest_payments(landed(spark, *rows))
+    above, below = made._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")
+    assert "cast(" not in above and "decimal(" in below
+    assert amounts(made) == {"r": 2.5}
+
+
 def test_gates(spark):
     manifests = spark.createDataFrame([(2021, True), (2022, False), (2023, None)], "year int, complete boolean")
     rows = spark.createDataFrame([("2021",), ("2022",), ("2023",), ("2024",), ("notes",)], "directory_year string")
