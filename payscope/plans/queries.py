@@ -28,12 +28,12 @@ from payscope.operators import (
     upsert,
 )
 from payscope.plans import testbed as tb
-from payscope.session import scratch_dir, stored
+from payscope.session import scratch_dir, shuffles_dropped, stored
 from payscope.sources import filings as filing_files
 from payscope.sources import landing
 from payscope.sources import traces as trace_files
 from payscope.sources.dictionary import load_dictionary
-from payscope.sources.storage import stored_sizes
+from payscope.sources.storage import CODEC, stored_sizes
 from payscope.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1048,14 +1048,18 @@ def ledger_latest(spark, d):
 LANDING_FILE_ROWS = 500_000
 
 
-def _landing_stream(spark: SparkSession, d: str, rows: DataFrame, path: str, n_files: int, key: str) -> DataFrame:
-    """The rows made of all lines as files dealt by a key, read as a stream of `n_files` / 2 batches.
+def _landing_stream(
+    spark: SparkSession, d: str, dealt: Callable[[int], DataFrame], path: str, n_files: int
+) -> DataFrame:
+    """The rows made of all lines, dealt over that many files, read as a stream of `n_files` / 2 batches.
 
     More lines make `n_files` times as many files, and batches of as many more, so neither a file nor
     the number of batches, each of which may rewrite the whole table, grows with them.
     """
     times = -(-tb.table(spark, d, "lineitem").count() // (n_files * LANDING_FILE_ROWS)) or 1
-    rows.repartition(n_files * times, key).write.parquet(path)
+    rows = dealt(n_files * times)
+    with shuffles_dropped(spark):
+        rows.write.parquet(path, compression=CODEC)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * times).parquet(path)
 
 
@@ -1066,9 +1070,8 @@ def _ingested(spark: SparkSession, d: str, views=ingest.QUARTERS) -> str:
     arrive after newer ones of their record.
     """
     base = scratch_dir(spark, "stream")
-    rows = tb.line_payments(spark, d)
-    stream = _landing_stream(spark, d, rows, f"{base}/landing", 6, "ingest_seq.p")
-    run = ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", views=views)
+    stream = _landing_stream(spark, d, lambda n: tb.line_payments(spark, d, n), f"{base}/landing", 6)
+    run = ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", views=views, keep=1)
     run.awaitTermination()
     return f"{base}/table"
 
@@ -1093,13 +1096,13 @@ def _ingested_filings(spark: SparkSession, d: str) -> str:
     """Filings as files of a landing folder; the product match runs inside the stream."""
     base = scratch_dir(spark, "stream-filings")
     rows = tb.filings(spark, d).withColumn("ingest_seq", F.col(S.RECORD_ID))
-    stream = _landing_stream(spark, d, rows, f"{base}/landing", 4, S.RECORD_ID)
+    stream = _landing_stream(spark, d, lambda n: rows.repartition(n, S.RECORD_ID), f"{base}/landing", 4)
 
     def to_landed(batch: DataFrame) -> DataFrame:
         found = matching.land(batch, tb.PRODUCTS, tb.dataset_name())
         return found.withColumn("ingest_seq", F.col("record_id"))
 
-    ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", to_landed).awaitTermination()
+    ingest.start_ingest(stream, f"{base}/table", f"{base}/checkpoint", to_landed, keep=1).awaitTermination()
     return f"{base}/table"
 
 

@@ -134,9 +134,14 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good_rows(landed(spark, sf_dir))
 
 
-def line_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert input: one landed row per lineitem with repeated keys and a total write order."""
+def line_payments(spark: SparkSession, sf_dir: str, n_parts: int = 0) -> DataFrame:
+    """Upsert input: one landed row per lineitem with repeated keys and a total write order.
+
+    With `n_parts` the lines are dealt over so many partitions by their part, before they are made wide.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    if n_parts:
+        lines = lines.repartition(n_parts, "l_partkey")
     day = F.to_date("l_shipdate")
     return lines.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(

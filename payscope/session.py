@@ -7,10 +7,12 @@ On a cluster the submitter owns the configuration.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,24 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/payscope-{purpose}-{uuid.uuid4().hex}"
 
 
+_DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files behind: they go when the write has ended.
+
+    Otherwise they stay until the driver's garbage collector meets the plan, which may be never. A plan
+    that runs again shuffles again.
+    """
+    before = spark.conf.get(_DROPS_SHUFFLES, "false")
+    spark.conf.set(_DROPS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROPS_SHUFFLES, before)
+
+
 @functools.cache
 def _own_root() -> str:
     root = tempfile.mkdtemp(prefix="payscope-")

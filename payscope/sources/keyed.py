@@ -17,6 +17,10 @@ so it counts every batch once.
 A bucket is the work of one task, so their number follows the table: a merge that could take it beyond
 BUCKET_ROWS rows a bucket writes it all into new ones, with room for as many rows again, so such merges
 are few. A commit holds one entry per bucket and source.
+
+Besides the next version a merge needs disk for its new rows once aside and for the shuffle of one round:
+it goes through its buckets in up to MOST_ROUNDS rounds, as many buckets at once as keep all cores busy,
+and a round's shuffle files go with it. Versions stay until `retire` or `vacuum`.
 """
 
 from __future__ import annotations
@@ -31,12 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payscope.operators.upsert import latest
-from payscope.sources.storage import file_at, put_text
+from payscope.session import shuffles_dropped
+from payscope.sources.storage import CODEC, file_at, put_text
 
 BUCKET = "bucket"
 BATCH = "batch"
 #: Rows of a bucket, at most on average.
 BUCKET_ROWS = 1_000_000
+#: Full buckets for each core in a round of a merge, and rounds at most: every round reads all new rows.
+ROUND_BUCKETS = 2
+MOST_ROUNDS = 16
+#: Parts of the keys' hashes by which a record with very many new rows is noticed.
+CELLS = 1_024
 
 
 class Conflict(RuntimeError):
@@ -126,6 +136,22 @@ class KeyedTable:
                     gone.append(f"{kind}/{name}")
         return gone
 
+    def retire(self, version: int) -> None:
+        """Delete the files of a version that the next one does not name; it and older ones cannot be read then."""
+        if version < 1:
+            return
+        gone, stays = self.commit(version), self.commit(version + 1)
+        folders = {f"data/{BATCH}={f}" for f in {*gone.buckets.values()} - {*stays.buckets.values()}}
+        superseded = {
+            f"data/{BATCH}={f}/{BUCKET}={b}"
+            for b, f in gone.buckets.items()
+            if stays.buckets.get(b) != f and f"data/{BATCH}={f}" not in folders
+        }
+        sums = {f"views/{gone.sums}"} if gone.sums and gone.sums != stays.sums else set()
+        for folder in sorted(folders | superseded | sums):
+            fs, path = self._at(folder)
+            fs.delete(path, True)
+
     # --- reading ---------------------------------------------------------------------------------
 
     def rows(self, commit: Commit | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
@@ -162,7 +188,7 @@ class KeyedTable:
         """The rows, written aside, the buckets that they fall into and their number, found while writing."""
         seen = Observation()
         counted = rows.observe(seen, F.collect_set(BUCKET).alias("buckets"), F.count("*").alias("n"))
-        counted.write.parquet(f"{self.path}/work/{name}")
+        counted.write.parquet(f"{self.path}/work/{name}", compression=CODEC)
         written = self.spark.read.schema(rows.schema).parquet(f"{self.path}/work/{name}")
         return written, sorted(seen.get["buckets"]), seen.get["n"]
 
@@ -236,7 +262,8 @@ class KeyedTable:
                 return commit.version
             made = replace(commit, applied=commit.applied | batches)
             try:
-                return self._merge_onto(made, rows, counted_as, prepare, counts or {})
+                with shuffles_dropped(self.spark):
+                    return self._merge_onto(made, rows, counted_as, prepare, counts or {})
             except Conflict:
                 continue
         raise Conflict(f"no version was free in {tries} tries")
@@ -247,27 +274,45 @@ class KeyedTable:
             return rows.repartition(BUCKET)
         return rows.repartition(n_buckets, BUCKET)
 
+    def _spread(self, incoming: DataFrame, n: int) -> bool:
+        """Whether no record has a large part of the rows, so they need not be reduced before they are dealt."""
+        if n <= BUCKET_ROWS:
+            return False
+        cell = F.pmod(F.xxhash64(self.key), F.lit(CELLS)).alias("cell")
+        return incoming.groupBy(cell).count().agg(F.max("count")).first()[0] * CELLS <= 4 * n
+
+    def _rounds(self, buckets: Sequence[int], n_rows: int) -> list[Sequence[int]]:
+        """Buckets that hold that many rows, in parts."""
+        at_once = ROUND_BUCKETS * BUCKET_ROWS * self.spark.sparkContext.defaultParallelism
+        n = max(1, min(MOST_ROUNDS, -(-n_rows // at_once)))
+        size = -(-len(buckets) // n)
+        return [buckets[i : i + size] for i in range(0, len(buckets), size)]
+
     def _newest(
-        self, commit: Commit, incoming: DataFrame, touched: Sequence[int] | None, n_buckets: int
+        self, commit: Commit, incoming: DataFrame, buckets: Sequence[int], n_buckets: int, spread: bool
     ) -> DataFrame:
-        """One row for each record of the touched buckets (None: of all), in `n_buckets` buckets. Where it
-        came in now, `_came` holds so and `_old` the values that it replaces.
+        """One row for each record of consecutive ones of the touched buckets, in `n_buckets` buckets. Where
+        it came in now, `_came` holds so and `_old` the values that it replaces.
 
         Rows go to their bucket's partition, which serves the window as well as the write. What was
         stored wins over an incoming row of the same sequence.
         """
-        own = latest(incoming, self.key, self.sequence).withColumn("_came", F.lit(True))
-        before = self.rows(commit, touched)
+        own = incoming.filter(F.col(BUCKET).between(min(buckets), max(buckets)))
+        if not spread:  # a record's rows are cut before they meet in one task
+            own = latest(own, self.key, self.sequence)
+        own = own.withColumn("_came", F.lit(True))
+        before = self.rows(commit, buckets)
         if before is not None:
-            stored = before.withColumn(BUCKET, self._bucket(n_buckets)).withColumn("_came", F.lit(False))
-            own = stored.unionByName(own)
+            own = own.unionByName(before.withColumns({BUCKET: F.lit(0), "_came": F.lit(False)}))
         newest_first = Window.partitionBy(BUCKET, self.key).orderBy(F.col(self.sequence).desc(), "_came")
-        # At most two rows of a record are left: the one that came and the one that was stored.
-        values = F.struct(*_dims(commit), self.measure)
-        ranked = self._dealt(own, n_buckets).withColumns(
-            {"_nth": F.row_number().over(newest_first), "_old": F.lead(values).over(newest_first)}
+        whole = newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        # Of a record one row at most was stored.
+        stored = F.when(~F.col("_came"), F.struct(*_dims(commit), self.measure))
+        ranked = self._dealt(own.withColumn(BUCKET, self._bucket(n_buckets)), n_buckets).withColumns(
+            {"_nth": F.row_number().over(newest_first), "_old": F.last(stored, ignorenulls=True).over(whole)}
         )
-        return ranked.filter("_nth = 1").drop("_nth")
+        newest = ranked.filter("_nth = 1").drop("_nth")
+        return newest.withColumn("_old", F.when(F.col("_came"), F.col("_old")))
 
     def _merge_onto(
         self,
@@ -291,24 +336,28 @@ class KeyedTable:
         if touched:
             n_rows, n_buckets, others = self._n_rows(commit), commit.n_buckets, commit.buckets
             most = n_rows + n_incoming  # if all that come in are new
+            met = n_incoming + n_rows * len(touched) // n_buckets
             if most > n_buckets * BUCKET_ROWS:
-                n_buckets, touched, others = -(-2 * most // BUCKET_ROWS), None, {}
-                incoming = incoming.withColumn(BUCKET, self._bucket(n_buckets))
-            after, held = self._newest(commit, incoming, touched, n_buckets), Observation()
-            folder = f"{self.path}/data/{BATCH}={name}"
+                touched, others, met = sorted({*touched, *map(int, commit.buckets)}), {}, most
+                n_buckets = -(-2 * most // BUCKET_ROWS)
+            spread, folder = self._spread(incoming, n_incoming), f"{self.path}/data/{BATCH}={name}"
+            written, n_new = set(), 0
             is_new = F.col("_came") & F.col("_old").isNull()
-            after.observe(held, F.collect_set(BUCKET).alias("buckets"), F.count_if(is_new).alias("new")).write.partitionBy(
-                BUCKET
-            ).parquet(folder)
+            for some in self._rounds(touched, met):
+                after, held = self._newest(commit, incoming, some, n_buckets, spread), Observation()
+                watched = after.observe(held, F.collect_set(BUCKET).alias("buckets"), F.count_if(is_new).alias("new"))
+                watched.write.mode("append").partitionBy(BUCKET).parquet(folder, compression=CODEC)
+                written.update(held.get["buckets"])
+                n_new += held.get["new"]
             changed = self.spark.read.schema(after.schema).parquet(folder).filter("_came")
             self._next_sums(commit, changed).write.parquet(f"{self.path}/views/{name}")
             made = replace(
                 made,
                 schema=rows.schema.json(),
                 n_buckets=n_buckets,
-                buckets=others | {str(b): name for b in held.get["buckets"]},
+                buckets=others | {str(b): name for b in sorted(written)},
                 sums=name,
-                n_rows=n_rows + held.get["new"],
+                n_rows=n_rows + n_new,
             )
         self.publish(made)
         fs, work = self._at("work", name)
@@ -327,7 +376,8 @@ class KeyedTable:
         if rows is not None:
             name = uuid.uuid4().hex
             dealt = self._dealt(rows.withColumn(BUCKET, self._bucket(n_buckets)), n_buckets)
-            dealt.write.partitionBy(BUCKET).parquet(f"{path}/data/{BATCH}={name}")
+            with shuffles_dropped(self.spark):
+                dealt.write.partitionBy(BUCKET).parquet(f"{path}/data/{BATCH}={name}", compression=CODEC)
             self._sums(commit).write.parquet(f"{path}/views/{name}")
             held = self.spark.read.parquet(f"{path}/data/{BATCH}={name}").select(BUCKET).distinct()
             buckets = {str(r[0]): name for r in held.collect()}  # at most n_buckets rows

@@ -8,6 +8,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of stored Parquet files that are as large as the tables.
+CODEC = "zstd"
+
 
 def stored_sizes(spark: SparkSession, path: str, key_depth: int = 1) -> DataFrame:
     """(key, stored_bytes) of every file below `path`; the contents are not read.

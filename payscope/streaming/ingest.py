@@ -68,18 +68,27 @@ def quarter_totals(spark: SparkSession, table: str) -> DataFrame:
 
 
 def apply_batch(
-    batch: DataFrame, batch_id: int, table: str, source: str, views: Mapping[str, list[str]] = QUARTERS
+    batch: DataFrame,
+    batch_id: int,
+    table: str,
+    source: str,
+    views: Mapping[str, list[str]] = QUARTERS,
+    keep: int = 0,
 ) -> int:
     """Merge one batch of landed rows (with `ingest_seq`) into the table. Safe to repeat.
 
     `source` names whose numbers `batch_id` are; of one source they ascend. A row that is older than
-    the stored one of its record does not replace it. Returns the version of the table.
+    the stored one of its record does not replace it. With `keep` the files of the version that now has
+    so many newer ones are deleted (`KeyedTable.retire`). Returns the version of the table.
     """
     def prepare(rows: DataFrame) -> DataFrame:
         return good_rows(rows).select(*S.PAYMENT.names, "ingest_seq")
 
     made = payments_table(batch.sparkSession, table, views)
-    return made.merge(batch, source, batch_id, prepare, load_counts())
+    version = made.merge(batch, source, batch_id, prepare, load_counts())
+    if keep:
+        made.retire(version - keep)
+    return version
 
 
 def load_statistics(spark: SparkSession, table: str) -> DataFrame:
@@ -96,18 +105,20 @@ def start_ingest(
     checkpoint: str,
     to_landed: Callable[[DataFrame], DataFrame] | None = None,
     views: Mapping[str, list[str]] = QUARTERS,
+    keep: int = 0,
 ) -> StreamingQuery:
     """Load everything that is there now, in batches, and stop. Started again, it continues.
 
     `to_landed` turns a batch of source rows into landed rows with `ingest_seq` (for filings: the
     product match). `stream` decides the batch size, e.g. by `maxFilesPerTrigger`. `views` are the sums
-    that a table that begins will keep.
+    that a table that begins will keep. Every batch may leave a copy of the table behind: `keep` is how many
+    versions keep their files (0: all), enough for readers and other writers that are at work meanwhile.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # The checkpoint holds the stream's id, which stays the same over restarts.
         source = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
-        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table, source, views)
+        apply_batch(to_landed(batch) if to_landed else batch, batch_id, table, source, views, keep)
 
     return (
         stream.writeStream.foreachBatch(run)

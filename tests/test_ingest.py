@@ -2,13 +2,14 @@ import gzip
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from payscope import schemas as S
 from payscope.operators import gating, manifest, matching, rollups, typing, upsert
-from payscope.plans import queries
+from payscope.plans import queries, testbed
 from payscope.session import scratch_dir
 from payscope.sources import filings as files
 from payscope.sources import keyed, landing
@@ -447,6 +448,105 @@ def test_buckets_grow_in_number_with_the_rows(spark, monkeypatch):
     assert largest < 20
 
 
+@pytest.mark.parametrize("cells", [1, 1_024])  # rows are dealt as they come; rows are reduced before
+def test_a_merge_in_rounds_equals_one_write(spark, monkeypatch, cells):
+    for name, value in [("BUCKET_ROWS", 8), ("ROUND_BUCKETS", 1), ("CELLS", cells)]:
+        monkeypatch.setattr(keyed, name, value)  # 32 rows in a round on 4 cores
+    base = scratch_dir(spark, "test-rounds")
+    table = ingest.payments_table(spark, base, n_buckets=5)
+    rng, newest, rounds = random.Random(5), KeyedTable._newest, []
+    rows = [
+        {"record_id": f"r{rng.randrange(150)}", "quarter": rng.choice(["2023Q1", "2023Q2", None]),
+         "amount_usd": rng.choice(["1.10", "2.25", "bad", "30"]), "ingest_seq": rng.randrange(10**9)}
+        for _ in range(180)
+    ]
+
+    def watched(self, commit, incoming, buckets, n_buckets, spread):
+        rounds.append((commit.version, n_buckets, spread))
+        return newest(self, commit, incoming, buckets, n_buckets, spread)
+
+    monkeypatch.setattr(KeyedTable, "_newest", watched)
+    for number, part in enumerate((rows[:70], rows[70:])):
+        good = typing.good_rows(landed(spark, *part)).select(*S.PAYMENT.names, "ingest_seq")
+        table.merge(good, "s", number)
+        done = upsert.latest(typing.good_rows(landed(spark, *rows[: rows.index(part[-1]) + 1])))
+        assert amounts(ingest.current(spark, base)) == amounts(done) and table.commit().n_rows == done.count()
+        want = done.groupBy("quarter").agg(F.sum("amount_usd"), F.count("*")).collect()
+        assert totals(ingest.quarter_totals(spark, base)) == {q: (float(usd), n) for q, usd, n in want}
+    assert min(sum(r[0] == version for r in rounds) for version in (0, 1)) >= 2
+    grown = [{r[1] for r in rounds if r[0] == version} for version in (0, 1)]
+    assert all(len(n) == 1 for n in grown) and 5 < min(grown[0]) < min(grown[1])
+    assert {r[2] for r in rounds} == {cells == 1}
+
+
+def test_a_record_with_many_rows_is_noticed(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 10)
+    table = ingest.payments_table(spark, scratch_dir(spark, "test-spread"))
+    rows = spark.range(60_000).select(F.col("id").cast("string").alias("record_id"))
+    hot = rows.select(F.when(F.col("record_id") % 50 == 0, "hot").otherwise(F.col("record_id")).alias("record_id"))
+    assert table._spread(rows, 60_000) and not table._spread(hot, 60_000)
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+
+
+def write_lines(spark, folder):
+    lines = spark.range(400).select(
+        (F.col("id") % 60).alias("l_orderkey"), (F.col("id") % 37).alias("l_partkey"),
+        (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"),
+        (F.col("id") / 4).alias("l_extendedprice"), F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+        F.timestamp_seconds(F.col("id") * 2_000_000).alias("l_shipdate"))
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_a_stream_leaves_one_version_and_no_shuffle_files(spark, tmp_path):
+    write_lines(spark, tmp_path)
+    before = shuffle_files(spark)
+    table = queries._ingested(spark, str(tmp_path))
+    for _ in range(100):  # they are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    commit = ingest.payments_table(spark, table).commit()
+    assert commit.version == 3 and sum(commit.n_rows == n for n in (60, 60 * 4)) == 1
+    held = {n.removeprefix("batch=") for n in os.listdir(f"{table}/data")}
+    assert held == {*commit.buckets.values()} and os.listdir(f"{table}/views") == [commit.sums]
+    rows = upsert.latest_payments(testbed.line_payments(spark, str(tmp_path)))
+    assert amounts(ingest.current(spark, table)) == amounts(rows)
+
+
+def test_lines_are_dealt_before_they_are_wide(spark, tmp_path):
+    write_lines(spark, tmp_path)
+    dealt, plain = (testbed.line_payments(spark, str(tmp_path), n) for n in (5, 0))
+    (exchange,) = [x for x in dealt._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert "l_partkey" in exchange and dealt.rdd.getNumPartitions() == 5
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("record_id") < plan.index("RepartitionByExpression")
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_retired_version_takes_no_file_of_the_next(spark):
+    base = scratch_dir(spark, "test-retire")
+    table = ingest.payments_table(spark, base, n_buckets=8)
+    rows = [{"record_id": f"r{n}", "ingest_seq": n} for n in range(60)]
+    ingest.apply_batch(landed(spark, *rows), 0, base, "s", keep=1)
+    first = table.commit()
+    ingest.apply_batch(landed(spark, {"record_id": "r7", "ingest_seq": 99, "amount_usd": "1"}), 1, base, "s", keep=1)
+    (folder,), second = {*first.buckets.values()}, table.commit()
+    (moved,) = [b for b in second.buckets if second.buckets[b] != folder]
+    kept = {n for n in os.listdir(f"{base}/data/batch={folder}") if n.startswith("bucket=")}
+    assert kept == {f"bucket={b}" for b in first.buckets if b != moved} and os.listdir(f"{base}/views") == [second.sums]
+    assert amounts(ingest.current(spark, base)) == {f"r{n}": 1.0 if n == 7 else 100.5 for n in range(60)}
+    # Without `keep` every version can still be read.
+    ingest.apply_batch(landed(spark, {"record_id": "r8", "ingest_seq": 99, "amount_usd": "2"}), 2, base, "s")
+    assert amounts(table.rows(table.commit(2)))["r8"] == 100.5 and amounts(table.current())["r8"] == 2.0
+    ingest.apply_batch(landed(spark, {"record_id": "r8", "ingest_seq": 99, "amount_usd": "3"}), 2, base, "s", keep=2)
+    assert table.commit().version == 3 and amounts(table.rows(table.commit(2)))["r8"] == 100.5
+
+
 @pytest.mark.parametrize("name, n_files", [("_ingested", 6), ("_ingested_filings", 4)])
 def test_landing_files_grow_in_number_and_batches_do_not(spark, monkeypatch, name, n_files):
     monkeypatch.setattr(queries, "LANDING_FILE_ROWS", 100)
